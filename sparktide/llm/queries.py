@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktide.llm import decontaminate, language, licenses, pieces, simhash, suffix_dedup, token_counts, token_files
+from sparktide.llm import decontaminate, language, licenses, pieces, quality, simhash, suffix_dedup, token_counts, token_files
 from sparktide.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
