@@ -12,8 +12,8 @@ from sparktide.llm.common import let, write_once
 _SPACE = r"[\x20\x09-\x0D]"
 #: The statistics that rules look at; all but the first are shares.
 FEATURES = ("n_words", "mean_word", "symbols", "dup_lines", "repeats", "distinct", "upper")
-#: Cut points of each statistic: these quantiles over all labelled rows.
-QUANTILES = (0.005, 0.01, 0.02, *(k / 20 for k in range(1, 20)), 0.98, 0.99, 0.995)
+#: Cut points of each statistic: these quantiles over all labelled rows of either class.
+QUANTILES = (0.0, 0.005, 0.02, *(k / 20 for k in range(1, 20)), 0.98, 0.995, 1.0)
 MAX_RULES, MAX_LITERALS = 12, 4
 #: Least share of bad rows among those a rule meets, and least number of bad rows.
 PRECISION, SUPPORT = 0.8, 5
@@ -139,8 +139,9 @@ def learn(labelled: DataFrame) -> RuleList:
     """
     prune = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
     rows = write_once(labelled.select(prune.alias("prune"), "bad", *FEATURES), "labelled")
-    points = rows.select(*[F.percentile_approx(c, F.array(*map(F.lit, QUANTILES)), 10_000).alias(c) for c in FEATURES]).first()
-    cuts = {c: sorted({float(x) for x in points[c]}) for c in FEATURES if points[c]}
+    quantiles = F.array(*map(F.lit, QUANTILES))
+    points = rows.groupBy("bad").agg(*[F.percentile_approx(c, quantiles, 10_000).alias(c) for c in FEATURES]).collect()
+    cuts = {c: sorted({float(x) for p in points for x in p[c]}) for c in FEATURES if points}
     rules: RuleList = []
     while cuts and len(rules) < MAX_RULES:
         left = rows.where(decision(rules))
