@@ -82,7 +82,7 @@ def scaled(rows: DataFrame, features: list[str]) -> DataFrame:
 def logistic(train: DataFrame, features: list[str], label: str, weight: str, c: float = 1.0):
     """An L2 logistic model on scaled features; c is the inverse strength, as a sum over weighted rows."""
     total = train.agg(F.sum(weight)).first()[0] or 1.0
-    stages = [VectorAssembler(inputCols=features, outputCol="features"), LogisticRegression(labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9)]
+    stages = [VectorAssembler(inputCols=features, outputCol="features"), LogisticRegression(labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8)]
     return Pipeline(stages=stages).fit(train)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktide.operators import metrics
 from sparktide.operators.splits import greedy_group_folds
@@ -39,7 +40,7 @@ def group_folds(rows: DataFrame, subject: str, folds: int) -> DataFrame:
     """(subject, fold): the greedy deal over subject counts, which are small next to the rows; the driver deals, the result is joined back."""
     counts = [(r[0], r[1]) for r in rows.groupBy(subject).count().collect()]
     dealt = greedy_group_folds(counts, folds)
-    return rows.sparkSession.createDataFrame(list(dealt.items()) or [], rows.select(subject).schema.add("fold", "int"))
+    return rows.sparkSession.createDataFrame(list(dealt.items()), T.StructType([rows.schema[subject], T.StructField("fold", T.IntegerType())]))
 
 
 def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, rounds: int = 50) -> np.ndarray:
