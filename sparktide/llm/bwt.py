@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of one symbol: a text is read as GRAM interleaved strings of whole grams, so that few rounds reach the wanted depth.
-GRAM = 50
+GRAM = 100
 
 
 def gram_symbols(data: np.ndarray, valid: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -17,14 +17,16 @@ def gram_symbols(data: np.ndarray, valid: np.ndarray, gram: int = GRAM) -> np.nd
     at = np.flatnonzero(valid)
     if not len(at):
         return out
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    padded = np.concatenate((data, np.zeros(gram + 8, np.uint8)))
+    eight = np.ndarray(len(data) + gram, "<u8", padded, strides=(1,))
     steps = [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]
-    h = np.zeros(len(at), np.uint64)
+    h = np.zeros(len(data), np.uint64)
     for step in steps:
-        h = (h ^ eight[at + step]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= eight[step : step + len(data)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    order = np.argsort(h, kind="stable")
+    h = h[at]
+    order = np.argsort(h)
     same = np.zeros(len(at), bool)
     same[1:] = h[order][1:] == h[order][:-1]
     a, b = at[order][1:][same[1:]], at[order][:-1][same[1:]]
@@ -40,7 +42,7 @@ def gram_symbols(data: np.ndarray, valid: np.ndarray, gram: int = GRAM) -> np.nd
 
 def _rank_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     both = first * (int(second.max(initial=0)) + 1) + second
-    order = np.argsort(both, kind="stable")
+    order = np.argsort(both)
     new = np.ones(len(both), bool)
     new[1:] = both[order][1:] != both[order][:-1]
     rank = np.empty(len(both), np.int64)
@@ -52,7 +54,7 @@ def shard_transform(sym: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.n
     """Suffix order by the first `depth` symbols (a power of two) and the symbol before each suffix, 0 if none.
 
     sym[i] is the symbol at place i of the shard's strings, laid end to end; 0 where a string has no whole gram left. The
-    suffix at i goes on at i + gram. Ranks double their depth in each step; equal suffixes keep their order.
+    suffix at i goes on at i + gram. Ranks double their depth in each step; the order of equal suffixes is open.
     """
     rank, reach = sym, gram
     for _ in range(depth.bit_length() - 1):
@@ -60,7 +62,7 @@ def shard_transform(sym: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.n
         follow[: max(0, len(rank) - reach)] = rank[reach:]
         rank = np.where(sym == 0, 0, _rank_pairs(rank, np.where(sym == 0, 0, follow)))
         reach *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     before = np.zeros(len(sym), np.int64)
     before[gram:] = sym[: max(0, len(sym) - gram)]
     return order, before[order]
@@ -82,13 +84,12 @@ def merge(transforms: list[np.ndarray], empties: list[int], depth: int) -> tuple
     the interleave is then right to one more symbol, and entries part into blocks where the symbol or the block of
     what follows differs, which gives the common prefixes. Suffixes are not compared again.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
-    fixed = np.repeat(np.arange(len(transforms), dtype=np.int32), empties)
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    fixed = np.repeat(np.arange(len(transforms), dtype=np.uint8), empties)
     block = np.zeros(len(shard), np.int64)
-    symbols = np.empty(len(shard), np.int64)
+    flat, symbols = np.concatenate(transforms), np.empty(len(shard), np.int64)
     for _ in range(depth):
-        for k, t in enumerate(transforms):
-            symbols[shard == k] = t
+        symbols[np.argsort(shard, kind="stable")] = flat
         dealt = np.flatnonzero(symbols)
         order = dealt[_stable_order(symbols[dealt])]
         new = np.ones(len(order), bool)

@@ -16,7 +16,7 @@ LENGTH = 400
 ANCHOR = 32
 #: Windows of a text that are looked at together.
 STRIDE = 4_000_000
-#: Runs of one anchor from which a second anchor parts them further.
+#: Distinct strings of one anchor from which a second anchor parts them further.
 HOT_RUNS = 2_000
 #: Bytes of strings that a task transforms together; a group of strings that is larger goes alone.
 CHUNK = 1_500_000
@@ -65,79 +65,79 @@ def _same_row(left: str, right: str):
 
 
 def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    names = ["doc_id", "th", "start", "n", "anchor"]
+    """(doc_id, th, start, n, anchor, sid): the runs of all texts; sid is a hash of the run's bytes."""
 
     def run(batches):
         for batch in batches:
-            where, parts = [], []
+            where, parts, sids = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
-                if len(data) >= length:
-                    for part in anchor_runs(data, length, gram):
-                        parts.append(part)
-                        where.append((k, len(part[0])))
+                for part in anchor_runs(data, length, gram):
+                    parts.append(part)
+                    where.append((k, len(part[0])))
+                    sids += [xxhash.xxh3_64_intdigest(data[a : a + c + length - 1]) for a, c in zip(part[0].tolist(), part[1].tolist(), strict=True)]
             if parts:
                 at = pa.array(np.repeat([k for k, _ in where], [n for _, n in where]))
                 starts, counts, anchors = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(anchors)], names=names)
+                columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(anchors), pa.array(np.array(sids, np.uint64).view(np.int64))]
+                yield pa.record_batch(columns, names=["doc_id", "th", "start", "n", "anchor", "sid"])
 
-    return rows.where(F.octet_length("text") >= length).select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th long, start long, n long, anchor long")
+    rows = rows.where(F.octet_length("text") >= length).select("doc_id", "text", "th")
+    return rows.mapInArrow(run, "doc_id long, th long, start long, n long, anchor long, sid long")
 
 
-def _strings(held: DataFrame, length: int, gram: int, with_bytes: bool) -> DataFrame:
-    """(grp, sid, doc_id, th, start[, bytes]): the strings of the runs in held, a hot anchor's runs parted by a second anchor."""
+def _strings(chosen: DataFrame, length: int, gram: int) -> DataFrame:
+    """(grp, anchor, sid, offset, times, bytes): the bytes of the runs in chosen; a hot anchor's runs are parted by a second anchor, offset being the part's place in its run."""
 
     def run(batches):
+        names = ["grp", "anchor", "sid", "offset", "times", "bytes"]
         for batch in batches:
-            texts, lists = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for k, (text, runs) in enumerate(zip(texts, lists, strict=True)):
+            rows, strings = [], []
+            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                group, start, strings = [], [], []
-                for r in {(r["start"], r["n"], r["anchor"], r["hot"]) for r in runs}:
-                    s, n, anchor, hot = r
-                    parts = [(s, n, anchor)]
-                    if hot:
-                        own = data[s : s + n + length - 1]
-                        parts = [(s + a, c, xxhash.xxh3_64_intdigest(np.array([anchor, b]).tobytes())) for p in anchor_runs(own, length, gram, salt=1) for a, c, b in zip(*(x.tolist() for x in p), strict=True)]
-                    for a, c, g in parts:
-                        group.append(g % (1 << 64))
-                        start.append(a)
-                        strings.append(data[a : a + c + length - 1])
-                m = len(group)
-                sid = np.array([xxhash.xxh3_64_intdigest(x) for x in strings], np.uint64)
-                columns = [pa.array(np.array(group, np.uint64).view(np.int64)), pa.array(sid.view(np.int64)), batch.column(0)[k : k + 1].take(pa.array([0] * m)), batch.column(1)[k : k + 1].take(pa.array([0] * m)), pa.array(start, pa.int64())]
-                names = ["grp", "sid", "doc_id", "th", "start"]
-                yield pa.record_batch([*columns, *([pa.array(strings, pa.binary())] if with_bytes else [])], names=names + ["bytes"] * with_bytes)
-
-    return held.select("doc_id", "th", "text", "runs").mapInArrow(run, "grp long, sid long, doc_id long, th long, start long" + ", bytes binary" * with_bytes)
-
-
-def _repeats(distinct: DataFrame, length: int) -> DataFrame:
-    """(grp, sid, first, last): ranges of window starts, in the string, whose windows repeat."""
+                for r in runs:
+                    own = data[r["start"] : r["start"] + r["n"] + length - 1]
+                    if not r["hot"]:
+                        rows.append((r["anchor"], r["anchor"], r["sid"], 0, r["times"]))
+                        strings.append(own)
+                        continue
+                    for part in anchor_runs(own, length, gram, salt=1):
+                        for a, c, second in zip(*(x.tolist() for x in part), strict=True):
+                            group = xxhash.xxh3_64_intdigest(np.array([r["anchor"], second], np.int64).tobytes())
+                            rows.append((group - (1 << 63), r["anchor"], r["sid"], a, r["times"]))
+                            strings.append(own[a : a + c + length - 1])
+            if rows:
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(strings, pa.binary())], names=names)
+
+    return chosen.select("text", "runs").mapInArrow(run, "grp long, anchor long, sid long, offset long, times long, bytes binary")
+
+
+def _repeats(strings: DataFrame, length: int) -> DataFrame:
+    """(anchor, sid, first, last): ranges of window starts, in the run of this hash, whose windows repeat."""
 
     def solve(rows):
-        strings, times = [r[2] for r in rows], np.array([r[3] for r in rows])
+        texts, times = [r[5] for r in rows], np.array([r[4] for r in rows])
         if len(rows) == 1:  # the windows of one string differ from each other
-            hits = [np.arange(len(strings[0]) - length + 1) if times[0] > 1 else np.array([], np.int64)]
+            hits = [np.arange(len(texts[0]) - length + 1) if times[0] > 1 else np.array([], np.int64)]
         else:
-            hits = repeated_starts(strings, times, length, gram=GRAM if length == LENGTH else 1)
+            hits = repeated_starts(texts, times, length, gram=GRAM if length == LENGTH else 1)
         out = []
         for r, hit in zip(rows, hits, strict=True):
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
-                out += [(r[0], r[1], a, b) for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["grp", "sid", "first", "last"])
+                out += [(r[1], r[2], r[3] + a, r[3] + b) for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["anchor", "sid", "first", "last"])
 
     def run(batches):
         group, chunk, size = [], [], 0
         for batch in batches:
-            for row in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][0] != row[0]:
                     if len(group) == 1:
                         yield solve(group)
                     else:
                         chunk += group
-                        size += sum(len(r[2]) for r in group)
+                        size += sum(len(r[5]) for r in group)
                     group = []
                     if size >= CHUNK:
                         yield solve(chunk)
@@ -150,8 +150,8 @@ def _repeats(distinct: DataFrame, length: int) -> DataFrame:
         if chunk:
             yield solve(chunk)
 
-    dealt = distinct.repartition(partitions(distinct.sparkSession), "grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(run, "grp long, sid long, first long, last long")
+    dealt = strings.repartition(partitions(strings.sparkSession), "grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(run, "anchor long, sid long, first long, last long")
 
 
 def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -162,19 +162,25 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     are copies of each other and come back once. Null and short texts lose nothing; other columns are ignored.
 
     Each window of `length` bytes is routed by an anchor that its bytes alone decide, so all places of a
-    repeated string meet; only anchors found twice go on. Their strings, each distinct one with its count, are
-    transformed in shards, and the merged transforms' blocks of common prefixes are the repeated strings.
+    repeated string meet; only anchors found twice go on. Runs of equal bytes are one string with a count. The distinct strings
+    of an anchor are transformed in shards, and the merged transforms' blocks of common prefixes are the repeated strings; an
+    anchor with but one string has nothing to merge, all its windows repeat. An anchor of more than hot_runs strings is parted by a second one.
     """
     rows = _key(docs)
     runs = write_once(_runs(rows, length, anchor), "runs")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
-    lists = runs.join(often, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "anchor", (F.col("times") > hot_runs).alias("hot"))).alias("runs"))
-    held = rows.alias("r").join(lists.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "text", "runs")
-    held = write_once(held, "held")
-    distinct = _strings(held, length, anchor, True).groupBy("grp", "sid", "bytes").agg(F.count("*").alias("times"))
-    repeats = write_once(_repeats(distinct.select("grp", "sid", "bytes", "times"), length), "repeats")
-    places = _strings(held, length, anchor, False).join(repeats, ["grp", "sid"])
-    ranges = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b"))).alias("ranges"))
+    often = write_once(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "often")
+    again = write_once(runs.join(often, "anchor"), "again")
+    place = F.struct("doc_id", "th", "start", "n")
+    strings = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "strings")
+    several = strings.groupBy("anchor").agg(F.count("*").alias("many"))
+    strings = strings.join(several, "anchor")
+    chosen = strings.where("many > 1").select("at.*", F.struct("anchor", "sid", "at.start", "at.n", "times", (F.col("many") > hot_runs).alias("hot")).alias("run"))
+    chosen = chosen.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
+    held = rows.alias("r").join(chosen.alias("l"), _same_row("r", "l")).select("text", "runs")
+    merged = _repeats(_strings(held, length, anchor), length)
+    alone = strings.where("many = 1").select("anchor", "sid", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
+    repeats = write_once(merged.union(alone), "repeats")
+    ranges = again.join(repeats, ["anchor", "sid"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b"))).alias("ranges"))
 
     def cut(batches):
         for batch in batches:
@@ -193,7 +199,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "th", "n_removed", "spans", "kept"])
 
-    found = held.select("doc_id", "th", "text").alias("r").join(ranges.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "text", "ranges")
+    found = rows.alias("r").join(ranges.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "text", "ranges")
     return found.mapInArrow(cut, "doc_id long, th long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
