@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from sparktide.llm.pieces import slices
 
 END = 2
 #: Pre-token runs that a worker keeps before it starts anew; the results don't depend on it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
 # The fixed set of characters that Unicode calls White_Space.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
@@ -28,39 +29,77 @@ _RUN = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 _DOUBTFUL = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 
 
+# A word of Latin letters and the ASCII punctuation behind it, which the pre-tokenizer takes for two pre-tokens.
+_WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]+)")
+# Runs that can be told apart when they go to the library as lines of one text.
+_PLAIN = re.compile(f" [^{_SPACES}]+")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """The tokenizer, the strings it looks for in raw text, and the ids of runs seen so far."""
+    """The tokenizer, the strings it looks for in raw text, the id of a line break, the type of an id and the ids of runs seen so far."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, re.compile("|".join([_DOUBTFUL.pattern, *added])), {}
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, added, tokenizer.encode("\n", add_special_tokens=False).ids, id_type(tokenizer.get_vocab_size()), {}
+
+
+def id_type(vocabulary: int) -> str:
+    """The smallest unsigned type that holds all ids."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _encode_runs(tokenizer, line: list[int], kind: str, runs: list[str]) -> dict[str, bytes]:
+    code = "H" if kind == "<u2" else "I"
+    out, plain, other = {}, [], []
+    for run in runs:
+        (plain if _PLAIN.fullmatch(run) else other).append(run)
+    for k in range(0, len(plain), 2000):
+        part = plain[k : k + 2000]
+        ids = np.array(tokenizer.encode("\n".join(part), add_special_tokens=False).ids, kind)
+        at = np.flatnonzero(ids == line[0])
+        if len(line) != 1 or len(at) != len(part) - 1:
+            other += part
+            continue
+        raw, size = ids.tobytes(), ids.itemsize
+        out.update(zip(part, (raw[a * size : b * size] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)), strict=True))
+    out.update((run, array(code, e.ids).tobytes()) for run, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True))
+    return out
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text, as little-endian unsigned 32-bit integers, by the tokenizers library.
+    """Ids of each text as little-endian unsigned integers of id_type(), by the tokenizers library.
 
     The byte-level pre-tokenizer never reaches across the place before white space that follows other
     characters, so runs cut there are encoded once and looked up after that. Texts with strings of added
     tokens or doubtful characters go to the library whole.
     """
-    tokenizer, whole, seen = _tokenizer(path)
+    tokenizer, added, line, kind, seen = _tokenizer(path)
     texts = [t or "" for t in texts]
-    odd = [k for k, t in enumerate(texts) if whole.search(t)]
-    skip = set(odd)
-    split = [[] if k in skip else _RUN.findall(t) for k, t in enumerate(texts)]
-    missing = list(set().union(*split).difference(seen))
-    if len(seen) + len(missing) > CACHE_WORDS:
+    odd = {k for k, t in enumerate(texts) if _DOUBTFUL.search(t) or any(x in t for x in added)}
+    runs: list[str] = []
+    ends = []
+    for k, t in enumerate(texts):
+        if k not in odd:
+            runs += _RUN.findall(t)
+        ends.append(len(runs))
+    if len(seen) > CACHE_WORDS:
         seen.clear()
-        missing = list(set().union(*split))
-    pack = lambda many: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(many, add_special_tokens=False)]
-    seen.update(zip(missing, pack(missing), strict=True))
-    of = seen.__getitem__
-    out = [b"".join(map(of, runs)) for runs in split]
-    for k, ids in zip(odd, pack([texts[k] for k in odd]), strict=True):
-        out[k] = ids
+    found = list(map(seen.get, runs))
+    missing = [k for k, ids in enumerate(found) if ids is None]
+    if missing:
+        new = {runs[k] for k in missing}
+        split = {run: m.groups() for run in new if (m := _WORD_AND_MARKS.fullmatch(run))}
+        wanted = new.difference(split).union(*split.values())
+        seen.update(_encode_runs(tokenizer, line, kind, [w for w in wanted if w not in seen]))
+        seen.update((run, seen[a] + seen[b]) for run, (a, b) in split.items())
+        for k in missing:
+            found[k] = seen[runs[k]]
+    out = [b"".join(found[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    for k in odd:
+        out[k] = np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, kind).tobytes()
     return out
 
 
@@ -89,9 +128,9 @@ def _open(base: str, name: str, kind: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, tokenizer_path: str, base: str, parts: int, end: int = END) -> DataFrame:
     """Writes docs(doc_id, text, ...) in ascending doc_id order to the folder `base` (a URI all executors reach); returns its manifest.
 
-    Part k is three files: part-k.tokens (unsigned 32-bit ids, each document closed by `end`),
+    Part k is three files: part-k.tokens (ids of id_type(), each document closed by `end`),
     part-k.offsets (unsigned 64-bit starts of its documents within the part, and its length) and
-    part-k.docs (64-bit doc_ids; the lowest number stands for null). The manifest is (part, n_docs, n_tokens, base_docs, base_tokens), the
+    part-k.docs (64-bit doc_ids; the lowest number stands for null). The manifest is (part, id_bytes, n_docs, n_tokens, base_docs, base_tokens), the
     bases being sums over the parts before. Null ids come first, null texts are empty, rows of one doc_id
     stand by text. A part without rows has no files and no manifest row. Other columns are ignored.
     """
@@ -106,11 +145,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, base: str, parts: in
                 ids.append(batch.column(0).fill_null(-(1 << 63)).to_numpy())
                 for a, b in slices(texts):
                     coded = [x + mark for x in encode_texts(tokenizer_path, texts[a:b])]
-                    sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
+                    sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)) // mark_size)
                     yield b"".join(coded)
                 batch = next(filled, None)
 
-        mark = np.array([end], "<u4").tobytes()
+        mark = np.array([end], _tokenizer(tokenizer_path)[3]).tobytes()
+        mark_size = len(mark)
         filled = (b for b in batches if b.num_rows)
         first = next(filled, None)
         if first is None:
@@ -119,29 +159,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, base: str, parts: in
         offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<u8")
         _put(base, f"{name}.offsets", [offsets.tobytes()])
         _put(base, f"{name}.docs", [np.concatenate(ids).astype("<i8").tobytes()])
-        yield pa.record_batch([pa.array([int(name[5:])]), pa.array([len(offsets) - 1]), pa.array([int(offsets[-1])])], names=["part", "n_docs", "n_tokens"])
+        yield pa.record_batch([pa.array([x]) for x in (int(name[5:]), mark_size, len(offsets) - 1, int(offsets[-1]))], names=["part", "id_bytes", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = write_once(dealt.mapInArrow(write, "part long, n_docs long, n_tokens long"), "manifest")
+    manifest = write_once(dealt.mapInArrow(write, "part long, id_bytes long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     return manifest.select("*", *[F.coalesce(F.sum(f"n_{x}").over(before), F.lit(0)).alias(f"base_{x}") for x in ("docs", "tokens")])
 
 
 def read_token_files(manifest: DataFrame, base: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files; start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files; start counts the ids of all documents before it, ids_crc32 is over 32-bit ids."""
 
     def read(batches):
         for batch in batches:
-            for part, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, first, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = f"part-{part:06d}"
-                tokens, offsets, docs = _open(base, f"{name}.tokens", "<u4"), _open(base, f"{name}.offsets", "<u8").astype(np.int64), _open(base, f"{name}.docs", "<i8")
-                raw = memoryview(tokens).cast("B") if len(tokens) else memoryview(b"")
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                tokens, offsets, docs = _open(base, f"{name}.tokens", f"<u{size}"), _open(base, f"{name}.offsets", "<u8").astype(np.int64), _open(base, f"{name}.docs", "<i8")
+                sums = [zlib.crc32(tokens[a:b].astype("<u4")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 ids = pa.array(docs, pa.int64(), mask=docs == -(1 << 63))
                 yield pa.record_batch([ids, pa.array(offsets[:-1] + first), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = manifest.select("part", "base_tokens")
+    rows = manifest.select("part", "base_tokens", "id_bytes")
     return rows.repartition(partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
