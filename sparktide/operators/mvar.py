@@ -77,17 +77,29 @@ def fit_window(signal: np.ndarray, c: MvarConfig) -> np.ndarray:
 def lag_variation(coefficients: np.ndarray, c: MvarConfig, norm: str | None = None) -> np.ndarray:
     """For each lag the largest norm of the difference of two of its matrices along n_time_points times.
 
-    The Frobenius norm of a difference is a quadratic form of the basis' difference with the Gram matrix of the coefficients, so no matrix is built.
+    The Frobenius norm of a difference is a quadratic form of the basis' difference with the Gram matrix of the coefficients, so no matrix is built for it.
     """
     phi = basis_matrix(np.linspace(0, 1, c.n_time_points), c.n_basis, c.basis)
     i, j = np.triu_indices(c.n_time_points, 1)
     delta = phi[i] - phi[j]
-    if (norm or c.norm) == "fro":
-        gram = np.einsum("labk,labm->lkm", coefficients, coefficients)
-        return np.sqrt(np.maximum(np.einsum("dk,lkm,dm->ld", delta, gram, delta), 0)).max(axis=1)
-    if (norm or c.norm) not in ("spectral", "operator"):
+    if (norm or c.norm) not in ("fro", "spectral", "operator"):
         raise ValueError(f"unknown norm {norm or c.norm}")
-    return np.array([np.linalg.norm(np.einsum("abk,dk->dab", lag, delta), 2, axis=(1, 2)).max() for lag in coefficients])
+    gram = np.einsum("labk,labm->lkm", coefficients, coefficients)
+    fro = np.sqrt(np.maximum(((delta @ gram) * delta).sum(axis=2), 0))
+    if (norm or c.norm) == "fro":
+        return fro.max(axis=1)
+    return np.array([_largest_spectral(lag, delta, bound) for lag, bound in zip(coefficients, fro, strict=True)])
+
+
+def _largest_spectral(lag: np.ndarray, delta: np.ndarray, bound: np.ndarray, step: int = 32) -> float:
+    """The largest spectral norm: pairs are taken by falling Frobenius norm, which bounds it, until no bound exceeds the best."""
+    order, best = np.argsort(-bound), 0.0
+    for k in range(0, len(order), step):
+        part = order[k : k + step]
+        if bound[part[0]] <= best:
+            break
+        best = max(best, float(np.linalg.norm(np.einsum("abk,dk->dab", lag, delta[part]), 2, axis=(1, 2)).max()))
+    return best
 
 
 def scalar_feature(signal: np.ndarray, c: MvarConfig) -> float:
@@ -120,6 +132,9 @@ def extract(windows: DataFrame, signal: str, c: MvarConfig, vector: bool = False
             out.append(vector_feature(m, c, per_lag) if vector else [scalar_feature(m, c)])
         return pd.DataFrame(out, columns=names, dtype=float)
 
+    cores = windows.sparkSession.sparkContext.defaultParallelism
+    if windows.rdd.getNumPartitions() < cores:  # windows cost far more than their move
+        windows = windows.repartition(cores)
     return windows.withColumn("__f", run(signal)).select("*", "__f.*").drop("__f")
 
 
