@@ -108,4 +108,14 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment
 FROM (SELECT ds.doc_id, qs.item_id, count(*) AS n_shared FROM ds JOIN qs USING (n, s) GROUP BY 1, 2) JOIN q USING (item_id)
 WHERE n_shared >= 0.8 * n_item""",
+    "op8_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT id, h, unnest(generate_series(0, len(h) // 2 - 400)) AS i FROM d WHERE len(h) >= 800)),
+hit AS (SELECT id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT id, i, CASE WHEN i - lag(i) OVER (PARTITION BY id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hit),
+s AS (SELECT id, min(i) AS a, max(i) + 400 AS b FROM (SELECT id, i, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM g) GROUP BY id, run),
+piece AS (SELECT id, coalesce(lag(b) OVER (PARTITION BY id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT d.id, coalesce(m, 0), len(h) // 2 FROM d LEFT JOIN (SELECT id, max(b) AS m FROM s GROUP BY id) USING (id)),
+kept AS (SELECT id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM piece JOIN d USING (id) GROUP BY id),
+lost AS (SELECT id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY id)
+SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (id) LEFT JOIN lost USING (id)""",
 }
