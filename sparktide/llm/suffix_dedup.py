@@ -172,7 +172,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     again = write_once(runs.join(often, "anchor"), "again")
     place = F.struct("doc_id", "th", "start", "n")
     strings = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "strings")
-    several = strings.groupBy("anchor").agg(F.count("*").alias("many"))
+    several = write_once(strings.groupBy("anchor").agg(F.count("*").alias("many")), "several")
     strings = strings.join(several, "anchor")
     chosen = strings.where("many > 1").select("at.*", F.struct("anchor", "sid", "at.start", "at.n", "times", (F.col("many") > hot_runs).alias("hot")).alias("run"))
     chosen = chosen.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
