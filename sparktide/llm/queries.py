@@ -79,7 +79,68 @@ _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x
 
 _NORM = r"trim(regexp_replace(lower({0}), '[ \t\n\f\r]+', ' ', 'g'))"
 
+# XXH64 in SQL: 64-bit arithmetic on 128-bit integers. The primes are the algorithm's fixed values.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_MOD = f"{1 << 64}::UHUGEINT"
+
+
+def _times(a: str, b: int) -> str:
+    return f"(({a}) * {b}::UHUGEINT % {_MOD})"
+
+
+def _plus(a: str, b: str) -> str:
+    return f"((({a}) + ({b})) % {_MOD})"
+
+
+def _turned(x: str, r: int) -> str:
+    return f"(({x}) * {1 << r}::UHUGEINT % {_MOD} + ({x}) // {1 << 64 - r}::UHUGEINT)"
+
+
+def _mixed(a: str, k: str) -> str:
+    return _times(_turned(_plus(a, _times(k, _PRIMES[1])), 31), _PRIMES[0])
+
+
+def _xxh64_sql(source: str, text: str, seed: int = 42) -> str:
+    """CTEs that end in hashed(text, n bytes, h UHUGEINT) for the distinct values of a text column."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    starts = [(seed + p1 + p2) % (1 << 64), (seed + p2) % (1 << 64), seed, (seed - p1) % (1 << 64)]
+    lanes = ", ".join(
+        f"list_reduce(list_concat([{v}::UHUGEINT], list_transform(generate_series(0, n // 32 - 1), lambda i: w[4 * i + {k + 1}])), lambda a, x: {_mixed('a', 'x')}) AS v{k}" for k, v in enumerate(starts)
+    )
+    joined = _plus(_plus(_turned("v0", 1), _turned("v1", 7)), _plus(_turned("v2", 12), _turned("v3", 18)))
+    steps = []
+    for k in range(4):
+        fold = _plus(_times(f"xor(h, {_mixed('0::UHUGEINT', f'v{k}')})", p1), f"{p4}::UHUGEINT")
+        steps.append(f"m{k} AS (SELECT * REPLACE ({fold} AS h) FROM {'joined' if not k else f'm{k - 1}'})")
+    eight = _plus(_times(_turned(f"xor(a, {_mixed('0::UHUGEINT', 'x')})", 27), p1), f"{p4}::UHUGEINT")
+    one = _times(_turned(f"xor(a, {_times('x', p5)})", 11), p1)
+    return f"""texts AS (SELECT DISTINCT {text} AS text FROM {source}),
+octets AS (SELECT text, len(x) // 2 AS n, list_transform(generate_series(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::UTINYINT) AS b FROM (SELECT text, hex(encode(text)) AS x FROM texts)),
+eights AS (SELECT *, list_transform(generate_series(0, n // 8 - 1), lambda i: b[8 * i + 1]::UHUGEINT + {' + '.join(f'b[8 * i + {j + 1}]::UHUGEINT * {256 ** j}::UHUGEINT' for j in range(1, 8))}) AS w FROM octets),
+lanes AS (SELECT *, {lanes} FROM eights),
+joined AS (SELECT *, {joined} AS h FROM lanes), {', '.join(steps)},
+sized AS (SELECT text, n, b, w, {_plus(f'CASE WHEN n >= 32 THEN h ELSE {(seed + p5) % (1 << 64)}::UHUGEINT END', 'n::UHUGEINT')} AS h FROM m3),
+long_tail AS (SELECT * REPLACE (list_reduce(list_concat([h], w[n // 32 * 4 + 1 :]), lambda a, x: {eight}) AS h) FROM sized),
+half AS (SELECT *, b[n // 8 * 8 + 1]::UHUGEINT + b[n // 8 * 8 + 2]::UHUGEINT * 256 + b[n // 8 * 8 + 3]::UHUGEINT * 65536 + b[n // 8 * 8 + 4]::UHUGEINT * 16777216 AS k FROM long_tail),
+halved AS (SELECT text, n, CASE WHEN n % 8 >= 4 THEN xor(h, {_times('k', p1)}) ELSE h END AS h, b[n // 4 * 4 + 1 :] AS rest FROM half),
+turned AS (SELECT text, n, rest, CASE WHEN n % 8 >= 4 THEN {_plus(_times(_turned('h', 23), p2), f'{p3}::UHUGEINT')} ELSE h END AS h FROM halved),
+ended AS (SELECT text, n, list_reduce(list_concat([h], list_transform(rest, lambda x: x::UHUGEINT)), lambda a, x: {one}) AS h FROM turned),
+a1 AS (SELECT text, n, {_times(f'xor(h, h // {1 << 33}::UHUGEINT)', p2)} AS h FROM ended),
+a2 AS (SELECT text, n, {_times(f'xor(h, h // {1 << 29}::UHUGEINT)', p3)} AS h FROM a1),
+hashed AS (SELECT text, n, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM a2)"""
+
+
 ORACLE_SQL = {
+    "op1_simhash": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT id, array_to_string(w[k : k + 3], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS k FROM d WHERE len(w) > 0)),
+{_xxh64_sql('s', 's')},
+c AS (SELECT id, count(*) AS n, {', '.join(f'sum((h >> {b}) & 1)::BIGINT AS c{b}' for b in range(64))} FROM s JOIN hashed ON hashed.text = s.s GROUP BY id),
+f AS (SELECT d.id, d.doc_id, CASE WHEN c.id IS NULL THEN 0::UBIGINT ELSE ({' + '.join(f'CASE WHEN 2 * c{b} > n THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END' for b in range(64))})::UBIGINT END AS fp FROM d LEFT JOIN c USING (id)),
+u AS (SELECT DISTINCT fp FROM f), link AS (SELECT x.fp AS a, y.fp AS b FROM u x, u y WHERE x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)) <= 4),
+reach AS (SELECT fp AS a, fp AS b FROM u UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT reach.a AS fp, min(f.doc_id) AS component_id FROM reach JOIN f ON f.fp = reach.b GROUP BY 1)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN low USING (fp)""",
     "op5_conversations": r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS text FROM conversations),
 l AS (SELECT id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM m),
