@@ -89,7 +89,7 @@ def nested_cv(windows: DataFrame, features: list[str], cs: list[float], outer: i
     spark = windows.sparkSession
     grid = spark.createDataFrame(list(enumerate(cs)), "param_idx int, c double")
     outer_folds = group_folds(windows, "subject", outer)
-    rows = windows.join(F.broadcast(outer_folds), "subject")
+    rows = windows.join(outer_folds, "subject")
     each = rows.crossJoin(F.broadcast(spark.range(outer).select(F.col("id").cast("int").alias("held"))))
     train = each.where("fold <> held").drop("fold")
     inner_folds = None
@@ -98,18 +98,18 @@ def nested_cv(windows: DataFrame, features: list[str], cs: list[float], outer: i
         inner_folds = part if inner_folds is None else inner_folds.union(part)
     by = ["held", "inner_held", "param_idx"]
     task = F.concat_ws("/", *by).alias("task")
-    inside = train.join(F.broadcast(inner_folds), ["held", "subject"]).crossJoin(F.broadcast(spark.range(inner).select(F.col("id").cast("int").alias("inner_held")))).crossJoin(F.broadcast(grid))
+    inside = train.join(inner_folds, ["held", "subject"]).crossJoin(F.broadcast(spark.range(inner).select(F.col("id").cast("int").alias("inner_held")))).crossJoin(F.broadcast(grid))
     part = F.when(F.col("inner") == F.col("inner_held"), "score").otherwise("fit").alias("part")
     scored = task_scores(inside.select(task, "c", part, "window_id", "subject", "y", *features), features).withColumn("t", F.split("task", "/"))
-    scored = scored.select(F.col("t")[0].cast("int").alias("fold"), F.col("t")[1].cast("int").alias("inner"), F.col("t")[2].cast("int").alias("param_idx"), "y", F.round("proba", 9).alias("proba"))
+    scored = scored.select(F.col("t")[0].cast("int").alias("fold"), F.col("t")[1].cast("int").alias("inner"), F.col("t")[2].cast("int").alias("param_idx"), "y", F.round("proba", 9).alias("proba")).cache()
     points = metrics.curve(scored, "y", "proba", ["fold", "inner", "param_idx"])
     ap = metrics.ranking(points, ["fold", "inner", "param_idx"]).select("fold", "inner", "param_idx", F.col("average_precision").alias("score"))
     best = best_parameters(ap).join(grid, "param_idx")
     cut = metrics.best_f1(points, ["fold", "inner", "param_idx"]).join(best.select("fold", "param_idx"), ["fold", "param_idx"]).groupBy("fold").agg(F.median("threshold").alias("threshold"))
-    chosen = best.join(cut, "fold").select(F.col("fold").alias("held"), "c", "threshold")
+    chosen = best.join(cut, "fold").select(F.col("fold").alias("held"), "c", "threshold").cache()  # one row for each fold
     final = each.join(F.broadcast(chosen), "held").select(F.col("held").cast("string").alias("task"), "c", F.when(F.col("fold") == F.col("held"), "score").otherwise("fit").alias("part"), "window_id", "subject", "y", *features)
     out = task_scores(final, features).select(F.col("task").cast("int").alias("held"), "y", F.round("proba", 9).alias("proba")).join(F.broadcast(chosen), "held")
-    out = out.withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int"))
+    out = out.withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int")).cache()
     counts = metrics.classification(metrics.confusion(out, "y", "pred", ["held"]), ["held"]).select("held", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), F.col("f1_1").alias("f1"))
     ranks = metrics.ranking(metrics.curve(out, "y", "proba", ["held"]), ["held"])
     return chosen.join(counts, "held").join(ranks, "held").select(F.col("held").alias("fold"), "c", "threshold", "n", "roc_auc", "average_precision", "f1")
