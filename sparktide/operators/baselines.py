@@ -111,9 +111,13 @@ def forest(rows: DataFrame, features: list[str], label: str, trees: int = 50, se
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="vec"), RandomForestClassifier(featuresCol="vec", labelCol=label, numTrees=trees, seed=seed)]).fit(rows)
 
 
+def as_vector(rows: DataFrame, flat: str) -> DataFrame:
+    return rows.withColumn("vec", array_to_vector(flat))
+
+
 def network(rows: DataFrame, flat: str, label: str, inputs: int, hidden: int = 16, seed: int = 42):
     """A perceptron on the samples of a window, in place of convolutional and recurrent networks."""
-    data = rows.withColumn("vec", array_to_vector(flat))
+    data = as_vector(rows, flat)
     model = MultilayerPerceptronClassifier(featuresCol="vec", labelCol=label, layers=[inputs, hidden, 2], maxIter=50, seed=seed).fit(data)
     return model, data
 

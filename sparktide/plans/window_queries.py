@@ -188,3 +188,56 @@ def q77_subject_threshold_model(spark, sf_dir):
     scored = classifiers.predict_threshold(rows, "f", classifiers.fit_threshold(rows, "f", "y"))
     subjects = metrics.by_subject(scored, "subject", "y", "pred", "proba", "mean_proba")
     return metrics.classification(metrics.confusion(subjects, "y", "pred"))
+
+
+def _held_out(rows):
+    held = splits.group_shuffle_split(rows.select("subject").distinct(), "subject", 0.3, 42)
+    return rows.join(held, "subject").cache()
+
+
+def _interval_rows(spark, sf_dir):
+    """Mean, deviation and slope of the channels' average over the whole window, its halves and its quarters."""
+    rows = windows(spark, sf_dir).withColumn("u", baselines.channel_mean(F.col("v"), 4, 16))
+    names = []
+    for length in (16, 8, 4):
+        for first in range(0, 16, length):
+            for kind, value in zip(("mean", "std", "slope"), baselines.interval_statistics(F.col("u"), first, length), strict=True):
+                names.append(f"{kind}_{first}_{length}")
+                rows = rows.withColumn(names[-1], value)
+    return rows.select("vec_id", "subject", "y", *names), names
+
+
+@query()
+def q78_interval_forest(spark, sf_dir):
+    """A forest on interval statistics, trained on one part of the subjects and applied to the other."""
+    rows, names = _interval_rows(spark, sf_dir)
+    rows = _held_out(rows)
+    model = baselines.forest(rows.where("split = 'train'"), names, "y", trees=20)
+    return model.transform(rows.where("split = 'test'")).select("vec_id", "subject", "y", F.col("prediction").cast("int").alias("pred"))
+
+
+@query()
+def q79_baseline_methods(spark, sf_dir):
+    """The accuracy of each kind of baseline on held-out subjects, or the error that ended it."""
+
+    def train(kind: str) -> float:
+        if kind == "random_kernels":
+            rows = _held_out(baselines.random_kernel_features(windows(spark, sf_dir), "v", 4, 50).select("vec_id", "subject", "y", "features"))
+            weights, _ = baselines.ridge_classifier(rows.where("split = 'train'"), "y")
+            scored = baselines.score_ridge(rows.where("split = 'test'"), weights)
+        elif kind == "network":
+            rows = _held_out(windows(spark, sf_dir))
+            model, _ = baselines.network(rows.where("split = 'train'"), "v", "y", 64)
+            scored = model.transform(baselines.as_vector(rows.where("split = 'test'"), "v")).withColumn("pred", F.col("prediction").cast("int"))
+        else:
+            if kind == "shapelets":
+                shapes = [[float(x) for x in s] for s in ([0.1, -0.1, 0.2, 0.0, -0.2], [0.2, 0.1, 0.0, -0.1, -0.2], [-0.2, 0.2, -0.2, 0.2, -0.2])]
+                names = [f"d{k}" for k in range(len(shapes))]
+                rows = windows(spark, sf_dir).select("vec_id", "subject", "y", *[baselines.shapelet_distance(F.col("v"), s).alias(n) for n, s in zip(names, shapes, strict=True)])
+            else:
+                rows, names = _interval_rows(spark, sf_dir)
+            rows = _held_out(rows)
+            scored = baselines.forest(rows.where("split = 'train'"), names, "y", trees=20).transform(rows.where("split = 'test'")).withColumn("pred", F.col("prediction").cast("int"))
+        return scored.agg(F.avg((F.col("pred") == F.col("y")).cast("int"))).first()[0]
+
+    return baselines.run_methods(["rocket", "tsf", "shapelet", "cnn", "dwt"], train, spark)
