@@ -16,11 +16,13 @@ LENGTH = 400
 ANCHOR = 32
 #: Windows of a text that are looked at together.
 STRIDE = 4_000_000
-#: Distinct strings of one anchor from which a second anchor parts them further.
-HOT_RUNS = 2_000
+#: Distinct strings of one group from which it is parted further, and the widths in windows of the parts, level by level.
+HOT_STRINGS = 1_000
+WIDTHS = (64, 8, 1)
 #: Bytes of strings that a task transforms together; a group of strings that is larger goes alone.
-CHUNK = 1_500_000
+CHUNK = 800_000
 _PLACE = np.uint64((1 << 24) - 1)
+_MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1) for k in range(5)]
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -33,22 +35,24 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: len(values) - width + 1], ahead[width - 1 : len(values)])
 
 
-def anchor_runs(data: bytes, length: int = LENGTH, gram: int = ANCHOR, salt: int = 0) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
+    h = np.zeros(len(octets) - gram + 1, np.uint64)
+    for k, step in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
+        h += np.ndarray(len(h), "<u8", octets, offset=step, strides=(1,)) * _MIX[k % 5]
+    h ^= h >> np.uint64(31)
+    h *= _MIX[4]
+    return h ^ (h >> np.uint64(29))
+
+
+def anchor_runs(data: bytes, length: int = LENGTH, gram: int = ANCHOR) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(start, count, anchor) of runs of consecutive windows of `length` bytes that share their anchor's place.
 
     A window's anchor is its gram of least hash, the leftmost of equals: it depends on the window's bytes alone, so equal windows
     have equal anchors, wherever they stand. Windows of one run differ from each other.
     """
     out, octets = [], np.frombuffer(data, np.uint8)
-    mix = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * salt * 0xD6E8FEB86659FD93) % (1 << 64) | 1) for k in range(5)]
     for first in range(0, len(octets) - length + 1, STRIDE):
-        piece = octets[first : first + STRIDE + length - 1]
-        h = np.zeros(len(piece) - gram + 1, np.uint64)
-        for k, step in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
-            h += np.ndarray(len(h), "<u8", piece, offset=step, strides=(1,)) * mix[k % 5]
-        h ^= h >> np.uint64(31)
-        h *= mix[4]
-        h ^= h >> np.uint64(29)
+        h = _gram_hashes(octets[first : first + STRIDE + length - 1], gram)
         least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & _PLACE
         starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         out.append((starts + first, np.diff(np.append(starts, len(least))), h[least[starts]].view(np.int64)))
@@ -86,37 +90,78 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, start long, n long, anchor long, sid long")
 
 
-def _strings(chosen: DataFrame, length: int, gram: int) -> DataFrame:
-    """(grp, anchor, sid, offset, times, bytes): the bytes of the runs in chosen; a hot anchor's runs are parted by a second anchor, offset being the part's place in its run."""
+def _strings(chosen: DataFrame, length: int) -> DataFrame:
+    """(grp, sid, times, bytes): the bytes of the runs in chosen, grouped by their anchor."""
 
     def run(batches):
-        names = ["grp", "anchor", "sid", "offset", "times", "bytes"]
         for batch in batches:
             rows, strings = [], []
             for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in runs:
-                    own = data[r["start"] : r["start"] + r["n"] + length - 1]
-                    if not r["hot"]:
-                        rows.append((r["anchor"], r["anchor"], r["sid"], 0, r["times"]))
-                        strings.append(own)
-                        continue
-                    for part in anchor_runs(own, length, gram, salt=1):
-                        for a, c, second in zip(*(x.tolist() for x in part), strict=True):
-                            group = xxhash.xxh3_64_intdigest(np.array([r["anchor"], second], np.int64).tobytes())
-                            rows.append((group - (1 << 63), r["anchor"], r["sid"], a, r["times"]))
-                            strings.append(own[a : a + c + length - 1])
+                    rows.append((r["anchor"], r["sid"], r["times"]))
+                    strings.append(data[r["start"] : r["start"] + r["n"] + length - 1])
             if rows:
-                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(strings, pa.binary())], names=names)
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(strings, pa.binary())], names=["grp", "sid", "times", "bytes"])
 
-    return chosen.select("text", "runs").mapInArrow(run, "grp long, anchor long, sid long, offset long, times long, bytes binary")
+    return chosen.select("text", "runs").mapInArrow(run, "grp long, sid long, times long, bytes binary")
+
+
+def _parts(strings: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """(grp, sid, up_grp, up_sid, offset, times, bytes): strings of crowded groups cut into parts of at most `width` windows.
+
+    A window's distance to its anchor is decided by its bytes, so parts are cut at multiples of `width` of that distance.
+    All windows of a part then hold the same length - width + 1 bytes, whose hash names the part's group: equal windows
+    still meet, while strings that share less than that go apart. At width 1 a group is one string.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows, strings = [], []
+            for up, sid, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = _gram_hashes(np.frombuffer(data[:length], np.uint8), gram)
+                place = int(np.argmin(h & ~_PLACE))
+                start, end = 0, len(data) - length + 1
+                while start < end:
+                    q = (place - start) // width
+                    stop = min(end, place - q * width + 1)
+                    core = data[place - q * width : place - q * width + length - width + 1]
+                    grp = xxhash.xxh3_64_intdigest(np.array([up, q, width], np.int64).tobytes() + core)
+                    part = data[start : stop + length - 1]
+                    rows.append((grp - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), up, sid, start, times))
+                    strings.append(part)
+                    start = stop
+            if rows:
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(strings, pa.binary())], names=["grp", "sid", "up_grp", "up_sid", "offset", "times", "bytes"])
+
+    return strings.select("grp", "sid", "times", "bytes").mapInArrow(run, "grp long, sid long, up_grp long, up_sid long, offset long, times long, bytes binary")
+
+
+def _crowded_repeats(strings: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """As _repeats(), for strings of crowded groups: cut finer and finer until no group is crowded, results carried back up."""
+    owners, found = [], []
+    for width in WIDTHS:
+        parts = _parts(strings, length, gram, width)
+        owners.append(write_once(parts.select("grp", "sid", "up_grp", "up_sid", "offset"), "owners"))
+        distinct = write_once(parts.groupBy("grp", "sid", "bytes").agg(F.sum("times").alias("times")), "parts")
+        crowded = write_once(distinct.groupBy("grp").agg(F.count("*").alias("many")).where(F.col("many") > hot).select("grp"), "crowded")
+        found.append(write_once(_repeats(distinct.join(crowded, "grp", "left_anti"), length), "part-repeats"))
+        if crowded.isEmpty():
+            break
+        strings = distinct.join(crowded, "grp", "left_semi")
+    while True:
+        own, got = owners.pop(), found.pop()
+        up = got.join(own, ["grp", "sid"]).select(F.col("up_grp").alias("grp"), F.col("up_sid").alias("sid"), (F.col("first") + F.col("offset")).alias("first"), (F.col("last") + F.col("offset")).alias("last"))
+        if not owners:
+            return up
+        found[-1] = found[-1].union(up)
 
 
 def _repeats(strings: DataFrame, length: int) -> DataFrame:
-    """(anchor, sid, first, last): ranges of window starts, in the run of this hash, whose windows repeat."""
+    """(grp, sid, first, last) of strings(grp, sid, times, bytes): ranges of window starts whose windows repeat."""
 
     def solve(rows):
-        texts, times = [r[5] for r in rows], np.array([r[4] for r in rows])
+        texts, times = [r[3] for r in rows], np.array([r[2] for r in rows])
         if len(rows) == 1:  # the windows of one string differ from each other
             hits = [np.arange(len(texts[0]) - length + 1) if times[0] > 1 else np.array([], np.int64)]
         else:
@@ -125,8 +170,8 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
         for r, hit in zip(rows, hits, strict=True):
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
-                out += [(r[1], r[2], r[3] + a, r[3] + b) for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["anchor", "sid", "first", "last"])
+                out += [(r[0], r[1], a, b) for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["grp", "sid", "first", "last"])
 
     def run(batches):
         group, chunk, size = [], [], 0
@@ -137,7 +182,7 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
                         yield solve(group)
                     else:
                         chunk += group
-                        size += sum(len(r[5]) for r in group)
+                        size += sum(len(r[3]) for r in group)
                     group = []
                     if size >= CHUNK:
                         yield solve(chunk)
@@ -150,11 +195,11 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
         if chunk:
             yield solve(chunk)
 
-    dealt = strings.repartition(partitions(strings.sparkSession), "grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(run, "anchor long, sid long, first long, last long")
+    dealt = strings.select("grp", "sid", "times", "bytes").repartition(partitions(strings.sparkSession), "grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(run, "grp long, sid long, first long, last long")
 
 
-def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS) -> DataFrame:
+def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(doc_id, th, n_removed, spans, kept) of the documents that lose bytes; th is xxhash64 of the text.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else in docs(doc_id, text, ...), the same document
@@ -164,7 +209,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Each window of `length` bytes is routed by an anchor that its bytes alone decide, so all places of a
     repeated string meet; only anchors found twice go on. Runs of equal bytes are one string with a count. The distinct strings
     of an anchor are transformed in shards, and the merged transforms' blocks of common prefixes are the repeated strings; an
-    anchor with but one string has nothing to merge, all its windows repeat. An anchor of more than hot_runs strings is parted by a second one.
+    anchor with but one string has nothing to merge, all its windows repeat. An anchor of more than hot_strings strings is parted (see _parts).
     """
     rows = _key(docs)
     runs = write_once(_runs(rows, length, anchor), "runs")
@@ -174,12 +219,16 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     strings = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "strings")
     several = write_once(strings.groupBy("anchor").agg(F.count("*").alias("many")), "several")
     strings = strings.join(several, "anchor")
-    chosen = strings.where("many > 1").select("at.*", F.struct("anchor", "sid", "at.start", "at.n", "times", (F.col("many") > hot_runs).alias("hot")).alias("run"))
-    chosen = chosen.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
-    held = rows.alias("r").join(chosen.alias("l"), _same_row("r", "l")).select("text", "runs")
-    merged = _repeats(_strings(held, length, anchor), length)
-    alone = strings.where("many = 1").select("anchor", "sid", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
-    repeats = write_once(merged.union(alone), "repeats")
+
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        runs = chosen.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("anchor", "sid", "at.start", "at.n", "times")).alias("runs"))
+        return _strings(rows.alias("r").join(runs.alias("l"), _same_row("r", "l")).select("text", "runs"), length)
+
+    merged = _repeats(texts_of(strings.where((F.col("many") > 1) & (F.col("many") <= hot_strings))), length)
+    if not several.where(F.col("many") > hot_strings).isEmpty():
+        merged = merged.union(_crowded_repeats(write_once(texts_of(strings.where(F.col("many") > hot_strings)), "crowded-strings"), length, anchor, hot_strings))
+    alone = strings.where("many = 1").select(F.col("anchor").alias("grp"), "sid", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
+    repeats = write_once(merged.union(alone).withColumnRenamed("grp", "anchor"), "repeats")
     ranges = again.join(repeats, ["anchor", "sid"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b"))).alias("ranges"))
 
     def cut(batches):
@@ -203,9 +252,9 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return found.mapInArrow(cut, "doc_id long, th long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS) -> DataFrame:
+def removal_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; only rows that lose bytes are joined by their text."""
-    lost = repeated_parts(docs, length, anchor, hot_runs).select("doc_id", "th", "n_removed", F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "th"])
+    lost = repeated_parts(docs, length, anchor, hot_strings).select("doc_id", "th", "n_removed", F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "th"])
     every = _key(docs).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     return every.alias("r").join(lost.alias("l"), _same_row("r", "l"), "left").select(
         "r.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")

@@ -205,7 +205,7 @@ def test_suffix_dedup(spark, hot):
                 gone[k : k + 400] = True
         spans = int((np.diff(np.concatenate(([0], gone.astype(int), [0]))) == 1).sum())
         want[(i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
-    assert Counter(map(tuple, suffix_dedup.removal_report(documents(spark, rows), hot_runs=hot).collect())) == want
+    assert Counter(map(tuple, suffix_dedup.removal_report(documents(spark, rows), hot_strings=hot).collect())) == want
     assert suffix_dedup.removal_report(documents(spark, [])).count() == 0
 
 
