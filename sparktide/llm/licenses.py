@@ -59,7 +59,7 @@ FAMILIES = [
     ("unlicense", "unlicense", r"(?:the )?unlicense", ""),
     ("wtfpl", "wtfpl", r"wtfpl", "2"),
     ("zlib", "zlib", r"zlib(?: libpng)?", ""),
-    ("bsl-1.0", "boost", r"boost software licen[sc]e", "1.0"),
+    ("bsl", "boost", r"boost software licen[sc]e", "1.0"),
     ("busl", "business", r"business source licen[sc]e", "1.1"),
     ("sspl", "side", r"server side public licen[sc]e", "1"),
     ("elastic", "elastic", r"elastic licen[sc]e", "2.0"),
@@ -117,7 +117,7 @@ SENTENCES = [
     ("public-domain", "domain", r"(?:released|placed|dedicated|put|is) (?:in|into|to) the public domain"),
     ("public-domain", "domain", r"public domain"),
     ("wtfpl", "fuck", r"do what the fuck you want to public licen[sc]e"),
-    ("boost", "furnished", r"to whom the software is furnished to do so all subject to the following"),
+    ("bsl", "furnished", r"to whom the software is furnished to do so all subject to the following"),
     ("commons-clause", "clause", r"commons clause licen[sc]e condition"),
     ("cc", "creative", r"creative commons licen[sc]e"),
     ("proprietary", "reserved", r"all rights reserved"),
@@ -156,7 +156,7 @@ def rules() -> list[Rule]:
             add(full, keyword, rf"{name}{number}", 80)
         add(label, "spdx", rf"spdx licen[sc]e identifier {name}", 95)
         add(label, keyword, rf"{notice}{name}(?: licen[sc]e)?", 60)
-        add(label, keyword, rf"(?:the )?{name}(?: style)? licen[sc]e", 50)
+        add(label, keyword, rf"(?:the )?{name}(?: style)? licen[sc]ed?", 50)
         if "licen" in name or keyword in UNMISTAKABLE:
             add(label, keyword, name, 40)
     for label, keyword, expression in SENTENCES:
