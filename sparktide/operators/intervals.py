@@ -29,14 +29,18 @@ def label_by_overlap(windows: DataFrame, intervals: DataFrame, keys: list[str],
     return windows.join(hit, [*keys, "start"], "left").withColumn("label", F.coalesce("__hit", F.lit(0))).drop("__hit")
 
 
-def gaps(intervals: DataFrame, recordings: DataFrame, keys: list[str], length: str, least: int) -> DataFrame:
+def gaps(intervals: DataFrame, recordings: DataFrame, keys: list[str], length: str, least: int, width: int | None = None) -> DataFrame:
     """(keys, begin, end): what intervals(begin, end) leave of [0, length), where at least `least` long.
 
-    The gap before an interval starts at the largest end so far; recordings without intervals are one gap.
+    The gap before an interval starts at the largest end so far; recordings without intervals are one gap. The largest end
+    runs within ranges of `width` (1,000 times least unless given) of begin and over the ranges' largest ends, so a key with very many intervals fills many tasks.
     """
-    order = Window.partitionBy(*keys).orderBy("begin", "end")
-    so_far = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    before = intervals.select(*keys, so_far.alias("g"), F.col("begin").alias("h"))
+    cut = intervals.withColumn("__range", F.floor(F.col("begin") / (width or 1000 * least)))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, "__range").agg(F.max("end").alias("__top")).select(*keys, "__range", F.coalesce(F.max("__top").over(earlier), F.lit(0).cast("long")).alias("__before"))
+    order = Window.partitionBy(*keys, "__range").orderBy("begin", "end")
+    within = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = cut.withColumn("__within", within).join(tops, [*keys, "__range"]).select(*keys, F.greatest("__within", "__before").alias("g"), F.col("begin").alias("h"))
     ends = intervals.groupBy(*keys).agg(F.max("end").alias("__end"))
     tail = recordings.join(ends, keys, "left").select(*keys, F.coalesce("__end", F.lit(0).cast("long")).alias("g"), F.col(length).cast("long").alias("h"))
     return before.union(tail).where(F.col("h") - F.col("g") >= least).select(*keys, F.col("g").alias("begin"), F.col("h").alias("end"))
@@ -67,7 +71,6 @@ def subject_rates(positive: DataFrame, negative: DataFrame, keys: list[str], win
 
 def event_time_hops(events: DataFrame, keys: list[str], time: str, window: str, stride: str) -> DataFrame:
     """Counts of events in hopping windows that lie within the key's first and last event."""
-    span = Window.partitionBy(*keys)
-    held = events.select(*keys, time, F.min(time).over(span).alias("__lo"), F.max(time).over(span).alias("__hi"))
-    hops = held.groupBy(*keys, "__lo", "__hi", F.window(time, window, stride).alias("w")).agg(F.count("*").alias("n"))
+    span = events.groupBy(*keys).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    hops = events.groupBy(*keys, F.window(time, window, stride).alias("w")).agg(F.count("*").alias("n")).join(span, keys)
     return hops.where("w.start >= __lo AND w.end <= __hi").select(*keys, F.col("w.start").alias("start"), "n")

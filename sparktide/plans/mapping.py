@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
@@ -31,7 +31,7 @@ def utc(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with us, the microseconds since the user's first one."""
     df = utc(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    return df.withColumn("us", F.col("at") - F.min("at").over(Window.partitionBy("user_id"))).drop("at")
+    return df.join(df.groupBy("user_id").agg(F.min("at").alias("first")), "user_id").withColumn("us", F.col("at") - F.col("first")).drop("at", "first")
 
 
 def recordings(ev: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def test_channels(spark):
 def test_intervals(spark):
     rec = spark.createDataFrame([(1, 45), (2, 10), (3, 3)], "k int, n long")
     seiz = spark.createDataFrame([(1, 10, 20), (1, 15, 30), (1, 40, 41)], "k int, begin long, end long")
-    free = intervals.gaps(seiz, rec, ["k"], "n", 4)
-    assert sorted(map(tuple, free.collect())) == [(1, 0, 10), (1, 30, 40), (1, 41, 45), (2, 0, 10)]
+    for width in (None, 1, 12):
+        free = intervals.gaps(seiz, rec, ["k"], "n", 4, width)
+        assert sorted(map(tuple, free.collect())) == [(1, 0, 10), (1, 30, 40), (1, 41, 45), (2, 0, 10)]
     assert sorted((r.begin, r.w) for r in free.where("k = 1").withColumn("w", intervals.windows_per_interval(4, 4)).collect()) == [(0, 2), (30, 2), (41, 1)]
     assert intervals.windows_in_intervals(free.where("k = 1"), 4, 4).count() == 5
     starts = intervals.hop_starts(rec, "n", 4, 3)
