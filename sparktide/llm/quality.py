@@ -14,6 +14,8 @@ _SPACE = r"[\x20\x09-\x0D]"
 FEATURES = ("n_words", "mean_word", "symbols", "dup_lines", "repeats", "distinct", "upper")
 #: Cut points of each statistic: these quantiles over all labelled rows of either class.
 QUANTILES = (0.0, 0.005, 0.02, *(k / 20 for k in range(1, 20)), 0.98, 0.995, 1.0)
+#: Digits to which statistics are rounded for the quantiles, which are exact; so they need memory for the different rounded values alone.
+DIGITS = 4
 MAX_RULES, MAX_LITERALS = 12, 4
 #: Least share of bad rows among those a rule meets, and least number of bad rows.
 PRECISION, SUPPORT = 0.8, 5
@@ -112,8 +114,9 @@ def _bin(name: str, cuts: list[float]) -> Column:
 
 
 def _best_literal(counts: dict, cuts: dict[str, list[float]]) -> tuple[float, Literal | None, float, float]:
-    """The threshold of greatest information gain over bad rows, by running sums over the intervals."""
+    """The threshold of greatest information gain over bad rows, by running sums over the intervals; the middle of those that part the rows alike."""
     best: tuple[float, Literal | None, float, float] = (0.0, None, 0.0, 0.0)
+    top = 0.0
     for name, at in cuts.items():
         p_all = sum(counts.get((name, b), (0, 0))[0] for b in range(len(at) + 1))
         n_all = sum(counts.get((name, b), (0, 0))[1] for b in range(len(at) + 1))
@@ -126,8 +129,11 @@ def _best_literal(counts: dict, cuts: dict[str, list[float]]) -> tuple[float, Li
             n += counts.get((name, k), (0, 0))[1]
             for side, a, b in (("<", p, n), (">=", p_all - p, n_all - n)):
                 if a >= SUPPORT and (gain := a * (log2(a / (a + b)) - before)) > best[0] + 1e-9:
-                    best = (gain, (name, side, cut), a, b)
-    return best
+                    best, top = (gain, (name, side, cut), a, b), cut
+                elif best[1] and (name, side, a, b) == (*best[1][:2], *best[2:]):
+                    top = cut
+    gain, literal, a, b = best
+    return (gain, (*literal[:2], (literal[2] + top) / 2), a, b) if literal else best
 
 
 def learn(labelled: DataFrame) -> RuleList:
@@ -140,8 +146,9 @@ def learn(labelled: DataFrame) -> RuleList:
     prune = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
     rows = write_once(labelled.select(prune.alias("prune"), "bad", *FEATURES), "labelled")
     quantiles = F.array(*map(F.lit, QUANTILES))
-    points = rows.groupBy("bad").agg(*[F.percentile_approx(c, quantiles, 10_000).alias(c) for c in FEATURES]).collect()
-    cuts = {c: sorted({float(x) for p in points for x in p[c]}) for c in FEATURES if points}
+    points = rows.groupBy("bad").agg(*[F.percentile(F.round(c, DIGITS), quantiles).alias(c) for c in FEATURES]).collect()
+    half = 0.5 * 10.0**-DIGITS  # to either side of a rounded value lies what was rounded to it
+    cuts = {c: sorted({round(x + side, DIGITS + 2) for p in points for x in p[c] for side in (-half, half)}) for c in FEATURES if points}
     rules: RuleList = []
     while cuts and len(rules) < MAX_RULES:
         left = rows.where(decision(rules))
