@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktide.llm.bwt import GRAM, repeated_starts
-from sparktide.llm.common import partitions, write_once
+from sparktide.llm.common import forget, partitions, write_once
 
 LENGTH = 400
+#: Words of the least passage that repeated_passages() reports, and of the gram whose hash routes it.
+WORDS = 51
+WORD_ANCHOR = 16
 #: Bytes of the gram whose hash routes a window; a window holds LENGTH - ANCHOR + 1 of them.
 ANCHOR = 32
 #: Windows of a text that are looked at together.
@@ -259,3 +262,109 @@ def removal_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return every.alias("r").join(lost.alias("l"), _same_row("r", "l"), "left").select(
         "r.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")
     )
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _word_grams(hashes: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of each `gram` consecutive words."""
+    h = np.zeros(len(hashes) - gram + 1, np.uint64)
+    for k in range(gram):
+        h = h * _MIX[0] + hashes[k : k + len(h)]
+    h ^= h >> np.uint64(31)
+    h *= _MIX[4]
+    return h ^ (h >> np.uint64(29))
+
+
+def passage_runs(hashes: np.ndarray, words: int = WORDS, gram: int = WORD_ANCHOR) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As anchor_runs(), for windows of `words` words and their grams of `gram` words."""
+    out = []
+    for first in range(0, len(hashes) - words + 1, STRIDE):
+        h = _word_grams(hashes[first : first + STRIDE + words - 1], gram)
+        least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), words - gram + 1) & _PLACE
+        starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        out.append((starts + first, np.diff(np.append(starts, len(least))), h[least[starts]].view(np.int64)))
+    return out
+
+
+def _passage_runs(rows: DataFrame, words: int, gram: int) -> DataFrame:
+    """(doc_id, th, start, n, anchor, sid): the runs of all texts in words; sid is a hash of the run's words."""
+
+    def run(batches):
+        for batch in batches:
+            where, parts, sids = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                hashes = _word_hashes(text.encode("utf-8", "surrogatepass"))
+                for part in passage_runs(hashes, words, gram):
+                    parts.append(part)
+                    where.append((k, len(part[0])))
+                    sids += [xxhash.xxh3_64_intdigest(hashes[a : a + c + words - 1].tobytes()) for a, c in zip(part[0].tolist(), part[1].tolist(), strict=True)]
+            if parts:
+                at = pa.array(np.repeat([k for k, _ in where], [n for _, n in where]))
+                starts, counts, anchors = (np.concatenate([p[j] for p in parts]) for j in range(3))
+                columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(anchors), pa.array(np.array(sids, np.uint64).view(np.int64))]
+                yield pa.record_batch(columns, names=["doc_id", "th", "start", "n", "anchor", "sid"])
+
+    rows = rows.where(F.octet_length("text") >= 2 * words - 1).select("doc_id", "text", "th")
+    return rows.mapInArrow(run, "doc_id long, th long, start long, n long, anchor long, sid long")
+
+
+def _passage_windows(chosen: DataFrame, words: int) -> DataFrame:
+    """(anchor, sid, times, at, window): the hash of each window of the runs in chosen(text, runs)."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[np.array([], np.int64)] * 5]
+            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = _word_grams(_word_hashes(text.encode("utf-8", "surrogatepass")), words).view(np.int64)
+                for r in runs:
+                    n = r["n"]
+                    out.append([*(np.full(n, r[c]) for c in ("anchor", "sid", "times")), np.arange(n), h[r["start"] : r["start"] + n]])
+            yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["anchor", "sid", "times", "at", "window"])
+
+    return chosen.select("text", "runs").mapInArrow(run, "anchor long, sid long, times long, at long, window long")
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS, anchor: int = WORD_ANCHOR) -> DataFrame:
+    """(doc_id, th, spans) of the documents that hold a passage of `words` words or more which also starts anywhere else in docs, the same document included.
+
+    Words are parted by ASCII white space and compared as they stand. spans: the maximal such passages as (start, end) bytes, from the first word to the last.
+    Rows are told apart as in repeated_parts(), and windows are routed alike, by an anchor of words. Repeated rows come back as often as they came. Runs found twice repeat as a
+    whole; of an anchor's distinct runs, each is read at one place and its windows are counted by their hash.
+    """
+    rows = _key(docs)
+    runs = write_once(_passage_runs(rows, words, anchor), "passage-runs")
+    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    again = write_once(runs.join(often, "anchor"), "passages-again")
+    forget(runs)
+    place = F.struct("doc_id", "th", "start", "n")
+    strings = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "passages")
+    several = strings.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
+    chosen = strings.join(several, "anchor").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("anchor", "sid", "at.start", "at.n", "times")).alias("runs"))
+    texts = rows.alias("r").join(chosen.alias("l"), _same_row("r", "l")).select("text", "runs")
+    windows = write_once(_passage_windows(texts, words), "passage-windows")
+    twice = windows.distinct().groupBy("anchor", "window").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "window")
+    part = windows.where("times = 1").join(twice, ["anchor", "window"]).groupBy("anchor", "sid").agg(F.collect_set("at").alias("hits"))
+    whole = strings.where("times > 1").select("anchor", "sid", F.sequence(F.lit(0).cast("long"), F.col("at.n") - 1).alias("hits"))
+    found = write_once(part.union(whole), "passage-repeats")
+    forget(windows)
+    hits = again.join(found, ["anchor", "sid"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "hits")).alias("runs"))
+
+    def spans(batches):
+        for batch in batches:
+            out = []
+            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                space = np.isin(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+                edges = np.diff(np.concatenate(([1], space, [1])).astype(np.int8))
+                begin, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+                at = np.unique(np.concatenate([np.array(r["hits"], np.int64) + r["start"] for r in runs]))
+                cut = np.flatnonzero(np.diff(at) > words)  # windows that touch make one run
+                out.append([{"start": a, "end": b} for a, b in zip(begin[at[np.append(0, cut + 1)]].tolist(), end[at[np.append(cut, len(at) - 1)] + words - 1].tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "th", "spans"])
+
+    joined = rows.alias("r").join(hits.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "text", "runs")
+    return joined.mapInArrow(spans, "doc_id long, th long, spans array<struct<start: long, end: long>>")

@@ -9,7 +9,9 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from .test_text_operators import brute_containment, brute_fingerprint
+from sparktide.llm import suffix_dedup
+
+from .test_text_operators import brute_containment, brute_fingerprint, documents
 
 
 def tables(spark, folder):
@@ -82,3 +84,33 @@ def test_stages_and_run(spark, tmp_path):
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
     assert {x.doc_id: x.lang for x in docs.collect()}[3] == "en"
+
+
+def test_passages_of_short_words(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 4)))
+    many, few = ([word() for _ in range(n)] for n in (51, 50))
+    rows = [(k, "  ".join([word() for _ in range(60)]) + "\n" + " ".join(many if k % 2 else few) + f" é{k} " + " ".join(word() for _ in range(60))) for k in range(12)]
+    rows += [(50, "again " * 60), (51, "once " * 51), (None, "é" + " ".join(many[:30] + few)), (60, None), (61, "")]
+    rows += [(70 + k, " ".join(r.choice(["p", "q"]) for _ in range(4)) + " " + " ".join((many + few)[: 53 + r.randint(0, 40)])) for k in range(6)]
+    count = Counter(tuple(w[k : k + 51]) for _, t in rows for w in [(t or "").split()] for k in range(len(w) - 50))
+    want = {}
+    for i, t in rows:
+        at = [m.span() for m in re.finditer(r"\S+", t or "")]
+        words = (t or "").split()
+        gone = np.zeros(len(t or ""), bool)
+        for k in range(len(words) - 50):
+            if count[tuple(words[k : k + 51])] > 1:
+                gone[at[k][0] : at[k + 50][1]] = True
+        want[i] = None if t is None else "".join(c for c, g in zip(t, gone) if not g)
+    assert len(" ".join(many)) < 400 and " ".join(many) not in want[1] and " ".join(few) in want[0] and want[50] == " " and want[51] == rows[13][1]
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    passages = suffix_dedup.repeated_passages(docs).collect()
+    spans = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in passages}
+    for i, t in rows:
+        b, kept, last = (t or "").encode(), b"", 0
+        for start, end in spans.get(i, []):
+            kept, last = kept + b[last:start], end
+        assert (kept + b[last:]).decode() == (want[i] or ""), i
+    got = {x.doc_id: x for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert " ".join(many) not in got[1].text and got[1].text == want[1] and got[0].text == rows[0][1] and got[1].n_chars == len(want[1])
