@@ -31,8 +31,8 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id stays, once; rows without an id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of linked documents (five-word shingles, Jaccard similarity 0.8 or more) the one of the smallest id stays, once; rows without an id stay."""
+    found = simhash.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 

@@ -17,6 +17,12 @@ from sparktide.llm.components import connected_components
 BITS = 64
 SHINGLE = 4
 DISTANCE = 4
+#: Hash functions of a band and bands of similar_documents(): a pair at 0.8 shares no band in 3 of 100,000 cases.
+BAND = 4
+BANDS = 20
+#: Members of a bucket up to which all its pairs are compared, and the members that all others meet beyond.
+BUCKET = 32
+HUBS = 8
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -192,3 +198,69 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return marks.join(rooted.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 of the text's word shingles, cut as in fingerprint()."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    size = min(shingle, len(words))
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    pairs = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True) if words else ()
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64))
+
+
+def _bands(values: np.ndarray) -> list[int]:
+    """The hash of each band's least values, under hash functions of which each is a product and a shift."""
+    low = []
+    for k in range(BAND * BANDS):
+        h = values * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1)
+        h ^= h >> np.uint64(32)
+        low.append((h * np.uint64(0xD6E8FEB86659FD93)).min() if len(h) else np.uint64(0))
+    low = np.array(low, np.uint64).reshape(BANDS, BAND)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(low)]
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, hubs: int = HUBS) -> DataFrame:
+    """(doc_id, th, node, component_id) for each row of docs(doc_id, text, ...); th is xxhash64 of the text.
+
+    Rows of equal shingle sets are one node; nodes whose sets have a Jaccard similarity of `similarity` or more link; component_id as in near_duplicates().
+    Candidates share a band of least hashes and are verified on the sets themselves. Of a bucket of more than
+    `bucket` nodes, each is compared with `hubs` of them, which differ from band to band, so no group is paired with itself.
+    """
+
+    def of(batches):
+        for batch in batches:
+            marks, bands = [], []
+            for text in batch.column(2).to_pylist():
+                values = _shingles(text, shingle)
+                marks.append(xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63))
+                bands.append(_bands(values))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "bands"])
+
+    def sets(batches):
+        for batch in batches:
+            values = [_shingles(x, shingle).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["node", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    marks = write_once(rows.mapInArrow(of, "doc_id long, th long, node long, bands array<long>"), "marks")
+    nodes = write_once(marks.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("bands").alias("bands")), "nodes")
+    data = nodes.select("node", F.explode("bands").alias("band"))
+    met = write_once(data.groupBy("band").agg(F.count("*").alias("n"), F.array(*[F.min(F.struct(F.xxhash64("node", "band", F.lit(j)).alias("o"), "node"))["node"] for j in range(hubs)]).alias("hubs")).where("n > 1"), "met")
+    some = data.join(met.where(F.col("n") <= bucket).select("band"), "band")
+    small = some.alias("x").join(some.alias("y"), "band").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    large = data.join(met.where(F.col("n") > bucket).select("band", "hubs"), "band").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    pairs = write_once(small.union(large.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.th").alias("h"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
+    held = write_once(texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    edges = write_once(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+    rooted = nodes.select("node", "low").join(connected_components(edges), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marks.select("doc_id", "th", "node").join(rooted.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "th", "node", "component_id")

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 import corpus_pipeline
 
-from sparktide.llm import suffix_dedup
+from sparktide.llm import simhash, suffix_dedup
 
 from .test_text_operators import brute_containment, brute_fingerprint, documents
 
@@ -114,3 +115,32 @@ def test_passages_of_short_words(spark):
         assert (kept + b[last:]).decode() == (want[i] or ""), i
     got = {x.doc_id: x for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     assert " ".join(many) not in got[1].text and got[1].text == want[1] and got[0].text == rows[0][1] and got[1].n_chars == len(want[1])
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_similar_documents(spark, bucket):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abdeginorst") for _ in range(6)) for _ in range(4000)]
+    rows = [(900, "Too few words"), (901, "too  few words"), (902, None), (903, ""), (None, "no id here")]
+    for k in range(30):
+        base = [r.choice(vocabulary) for _ in range(150)]
+        for j in range(4):
+            words = list(base)
+            for at in r.sample(range(150), j and r.randint(1, 6)):
+                words[at] = r.choice(vocabulary)
+            rows.append((10 * k + j, " ".join(words)))
+    sets = [{tuple(w[x : x + 5]) for x in range(max(1, len(w) - 4))} if w else set() for _, t in rows for w in [(t or "").lower().split()]]
+    root = list(range(len(rows)))
+    border = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                border += rows[a][0] is not None and len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b])
+                root = [root[b] if x == root[a] else x for x in root]
+    low = {k: min((i for (i, _), x in zip(rows, root) if x == k and i is not None), default=None) for k in root}
+    want = Counter((i, low[x]) for (i, _), x in zip(rows, root))
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    assert border > 20 and Counter((x.doc_id, x.component_id) for x in simhash.similar_documents(docs, bucket=bucket).collect()) == want
+    if bucket > 2:
+        kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+        assert kept == {i for i, _ in want if i is None} | {c for i, c in want if i == c}
