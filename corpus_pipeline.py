@@ -31,10 +31,11 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, Jaccard similarity 0.8 or more) the one of the smallest id stays, once; rows without an id stay."""
-    found = simhash.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Of each group of linked documents (five-word shingles, Jaccard similarity 0.8 or more) the one of the smallest id stays, once; rows without an id come last."""
+    found = simhash.similar_documents(docs).where("first").select("doc_id", "th").distinct()
+    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    kept = own.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("own") == F.col("th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "own"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 or more of a benchmark item's shingles go."""
-    found = write_once(decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold 0.8 or more of a benchmark item's shingles go; rows are told apart by id and text, so that rows without an id and of equal ids are judged by themselves."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    items = decontaminate.contained_items(keyed.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = write_once(items.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return keyed.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,9 +223,10 @@ def _bands(values: np.ndarray) -> list[int]:
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, hubs: int = HUBS) -> DataFrame:
-    """(doc_id, th, node, component_id) for each row of docs(doc_id, text, ...); th is xxhash64 of the text.
+    """(doc_id, th, component_id, first) for each row of docs(doc_id, text, ...); th is xxhash64 of the text.
 
     Rows of equal shingle sets are one node; nodes whose sets have a Jaccard similarity of `similarity` or more link; component_id as in near_duplicates().
+    first: whether the row has its component's smallest doc_id, and the smallest th of that id; true for one text of each component.
     Candidates share a band of least hashes and are verified on the sets themselves. Of a bucket of more than
     `bucket` nodes, each is compared with `hubs` of them, which differ from band to band, so no group is paired with itself.
     """
@@ -247,7 +248,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     marks = write_once(rows.mapInArrow(of, "doc_id long, th long, node long, bands array<long>"), "marks")
-    nodes = write_once(marks.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("bands").alias("bands")), "nodes")
+    nodes = write_once(marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at"), F.first("bands").alias("bands")), "nodes")
     data = nodes.select("node", F.explode("bands").alias("band"))
     met = write_once(data.groupBy("band").agg(F.count("*").alias("n"), F.array(*[F.min(F.struct(F.xxhash64("node", "band", F.lit(j)).alias("o"), "node"))["node"] for j in range(hubs)]).alias("hubs")).where("n > 1"), "met")
     some = data.join(met.where(F.col("n") <= bucket).select("band"), "band")
@@ -261,6 +262,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     edges = write_once(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
-    rooted = nodes.select("node", "low").join(connected_components(edges), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marks.select("doc_id", "th", "node").join(rooted.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "th", "node", "component_id")
+    rooted = nodes.select("node", "at").join(connected_components(edges), "node", "left").select("node", "at", F.coalesce("root", "node").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("at").alias("low"))
+    found = marks.select("doc_id", "th", "node").join(rooted.join(lows, "root").select("node", "low"), "node")
+    return found.select("doc_id", "th", F.col("low.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("th") == F.col("low.th"))).alias("first"))

@@ -144,3 +144,17 @@ def test_similar_documents(spark, bucket):
     if bucket > 2:
         kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
         assert kept == {i for i, _ in want if i is None} | {c for i, c in want if i == c}
+
+
+def test_rows_of_null_and_equal_ids(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda n=40: " ".join("".join(r.choice("abdeginorst") for _ in range(6)) for _ in range(n))
+    item, copied, other, lone = text(20), text(), text(), text()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean = text()
+    rows = [(None, "x " + item), (7, item), (7, clean), (3, copied), (5, copied), (5, other), (None, lone), (None, lone), (None, copied), (9, lone + " end"), (2, other)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}").collect())
+    assert got == Counter(x for x in rows if item not in x[1])
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(7, item), (7, clean), (3, copied), (2, other), (9, lone + " end")])
