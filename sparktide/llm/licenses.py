@@ -178,7 +178,7 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8: all but the ASCII that i
 def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, str, int]]]:
     """Words of the text; base places (first word, end, label); detections that stand (first word, end, label, rule, priority).
 
-    A rule runs only on texts with its keyword. Detections are taken by falling priority, longer and earlier ones first among equals; one that lies within, or
+    A rule runs only on texts that hold its keyword, alone or within a word ("gplv3", "freebsd"). Detections are taken by falling priority, longer and earlier ones first among equals; one that lies within, or
     overlaps, a detection already taken is suppressed. Base places are never suppressed.
     """
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
@@ -189,10 +189,10 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[
         if present.issuperset(phrase):
             size = len(phrase)
             base += [(k, k + size, label) for k, w in enumerate(words) if w == phrase[0] and words[k : k + size] == phrase]
-    chosen = [r for k in index.keys() & present for r in index[k]]
+    joined = b" " + b" ".join(words) + b" "
+    chosen = [r for k, mine in index.items() if k in joined for r in mine]
     if not chosen:
         return len(words), sorted(base), []
-    joined = b" " + b" ".join(words) + b" "
     found = []
     for rule in chosen:
         for m in rule.pattern.finditer(joined):

@@ -111,6 +111,35 @@ def test_licenses(spark):
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
 
 
+def all_rules(text):
+    """scan() with every rule run, whatever words the text has."""
+    words = licenses._WORD.findall(text.encode().lower())
+    joined = b" " + b" ".join(words) + b" "
+    found = {(joined.count(b" ", 0, m.start()) - 1, joined.count(b" ", 0, m.end()), r.label, r.name, r.priority) for r in licenses.rules() for m in r.pattern.finditer(joined)}
+    taken, covered = [], set()
+    for d in sorted(found, key=lambda d: (-d[4], d[0] - d[1], d[0], d[2], d[3])):
+        if covered.isdisjoint(range(d[0], d[1])):
+            taken.append(d)
+            covered.update(range(d[0], d[1]))
+    return sorted(taken)
+
+
+def test_license_keywords_within_words():
+    texts = {
+        "Licensed under GPLv3 or later": "gpl-3", "GNU LGPLv2.1": "lgpl-2.1", "AGPLv3 only": "agpl-3", "under MPLv2": "mpl-2.0", "EPLv2": "epl-2.0", "licensed under Apache2": "apache-2.0",
+        "CreativeML OpenRAIL-M": "rail", "an OpenRAIL license": "rail", "Beerware License": "beerware", "FreeBSD License": "bsd-2-clause", "CDDLv1.1": "cddl-1.1", "EUPLv1.2": "eupl-1.2",
+        "noncommercial use only": "non-commercial", "GPL 3": "gpl-3",
+    }
+    for text, label in texts.items():
+        found = licenses.scan(text)[2]
+        assert found == all_rules(text) and label in {d[2] for d in found}, text
+    r = random.Random(31)
+    names = " ".join(texts).split() + [p for f in licenses.FAMILIES for p in re.sub(r"[^a-z0-9 ]", "", f[2]).split()]
+    for _ in range(300):
+        text = " ".join(r.choice(names) for _ in range(r.randint(1, 12)))
+        assert licenses.scan(text)[2] == all_rules(text), text
+
+
 def brute_statistics(i, text):
     text = text or ""
     words = WORDS.findall(text)
