@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm import decontaminate, language, pieces, simhash, suffix_dedup
-from sparktide.llm.common import let, table, write_once
+from sparktide.llm.common import table, write_once
 from sparktide.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,17 +19,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
-def without(text: Column, spans: Column) -> Column:
-    """The bytes of the text outside the spans, which may overlap; null spans take nothing."""
-    octets = text.cast("binary")
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<a: long, b: long>>").alias("kept"))
-    step = lambda s, x: F.struct(
-        F.greatest(s["end"], x["end"]).alias("end"), F.when(x["start"] > s["end"], F.concat(s["kept"], F.array(F.struct(s["end"].alias("a"), x["start"].alias("b"))))).otherwise(s["kept"]).alias("kept")
-    )
-    rest = let(F.aggregate(F.array_sort(spans), start, step), lambda s: F.concat(s["kept"], F.array(F.struct(s["end"].alias("a"), F.octet_length(text).cast("long").alias("b")))))
-    return F.aggregate(rest, F.lit(b""), lambda s, x: F.concat(s, F.substring(octets, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))))
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (five-word shingles, Jaccard similarity 0.8 or more) the one of the smallest id stays, once; rows without an id come last."""
     found = simhash.similar_documents(docs).where("first").select("doc_id", "th").distinct()
@@ -39,14 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of more than 50 words and strings of 400 bytes that start at two places or more are cut out; what remains of a character cut in two goes as well."""
-    lost = suffix_dedup.repeated_parts(docs).select("doc_id", "th", "spans").union(suffix_dedup.repeated_passages(docs).select("doc_id", "th", "spans"))
-    lost = write_once(lost.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans")), "lost")
-    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
-    joined = own.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("own") == F.col("th")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(without(F.col("text"), F.col("spans")).cast("string")), "�", ""))
-    cut = joined.select("d.doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("spans").isNotNull().alias("changed"))
-    return cut.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Strings of 400 bytes and passages of more than 50 words that start at two places or more are cut out; what remains of a character cut in two goes as well.
+
+    Null texts stay null; texts that lose nothing stay as they are, n_chars included; of a text that is cut, n_chars counts what remains.
+    """
+    cut = suffix_dedup.remove_repeats(docs, suffix_dedup.BYTES, suffix_dedup.PASSAGES, keep=tuple(c for c in COLUMNS if c != "text"))
+    chars = F.when(F.size("spans") > 0, F.length("rest").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", chars).withColumnRenamed("rest", "text").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of one symbol: a text is read as GRAM interleaved strings of whole grams, so that few rounds reach the wanted depth.
+#: Units (bytes, or hashes of words) of one symbol: a text is read as GRAM interleaved strings of whole grams, so that few rounds reach the wanted depth.
 GRAM = 100
 
 
+def gram_size(length: int) -> int:
+    """Units of a symbol for strings of `length` units: a quarter of them, or else the largest part that divides them."""
+    return length // next(d for d in (4, 3, 2, 1) if length % d == 0)
+
+
+def lanes(units: np.ndarray, gram: int) -> tuple[np.ndarray, list[int]]:
+    """64-bit numbers, one for each place of the units, and the steps at which those of a gram lie; behind the end are zeros."""
+    if units.dtype == np.uint8 and gram >= 8:
+        padded = np.concatenate((units, np.zeros(gram + 8, np.uint8)))
+        return np.ndarray(len(units) + gram, "<u8", padded, strides=(1,)), [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]
+    return np.concatenate((units.astype(np.uint64), np.zeros(gram, np.uint64))), list(range(gram))
+
+
 def gram_symbols(data: np.ndarray, valid: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A number from 1 for the gram that starts at each valid position, equal exactly for equal grams; 0 elsewhere.
 
-    Grams are numbered in the order of a hash; should two different ones share it, their bytes decide.
+    Grams are numbered in the order of a hash; should two different ones share it, their units decide.
     """
     out = np.zeros(len(data), np.int64)
     at = np.flatnonzero(valid)
     if not len(at):
         return out
-    padded = np.concatenate((data, np.zeros(gram + 8, np.uint8)))
-    eight = np.ndarray(len(data) + gram, "<u8", padded, strides=(1,))
-    steps = [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]
+    eight, steps = lanes(data, gram)
     h = np.zeros(len(data), np.uint64)
     for step in steps:
         h ^= eight[step : step + len(data)]
@@ -51,17 +62,18 @@ def _rank_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def shard_transform(sym: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by the first `depth` symbols (a power of two) and the symbol before each suffix, 0 if none.
+    """Suffix order by the first `depth` symbols and the symbol before each suffix, 0 if none.
 
     sym[i] is the symbol at place i of the shard's strings, laid end to end; 0 where a string has no whole gram left. The
-    suffix at i goes on at i + gram. Ranks double their depth in each step; the order of equal suffixes is open.
+    suffix at i goes on at i + gram. Ranks reach up to twice as deep in each step; the order of equal suffixes is open.
     """
-    rank, reach = sym, gram
-    for _ in range(depth.bit_length() - 1):
+    rank, reach = sym, 1
+    while reach < depth:
+        step = min(reach, depth - reach)
         follow = np.zeros(len(rank), np.int64)
-        follow[: max(0, len(rank) - reach)] = rank[reach:]
+        follow[: max(0, len(rank) - step * gram)] = rank[step * gram :]
         rank = np.where(sym == 0, 0, _rank_pairs(rank, np.where(sym == 0, 0, follow)))
-        reach *= 2
+        reach += step
     order = np.argsort(rank)
     before = np.zeros(len(sym), np.int64)
     before[gram:] = sym[: max(0, len(sym) - gram)]
@@ -99,19 +111,19 @@ def merge(transforms: list[np.ndarray], empties: list[int], depth: int) -> tuple
     return shard, block
 
 
-def repeated_starts(strings: list[bytes], times: np.ndarray, length: int, shards: int = 4, gram: int = GRAM) -> list[np.ndarray]:
-    """For each string the starts of its substrings of `length` bytes that start at two places or more, a string counting `times` over."""
+def repeated_starts(strings: list[bytes], times: np.ndarray, length: int, shards: int = 4, gram: int = GRAM, unit: str = "u1") -> list[np.ndarray]:
+    """For each string of units the starts of its substrings of `length` units that start at two places or more, a string counting `times` over."""
     depth = length // gram
-    if depth * gram != length or depth & (depth - 1):
-        raise ValueError("length must be the gram times a power of two")
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    if depth * gram != length:
+        raise ValueError("length must be a multiple of the gram")
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings)) // np.dtype(unit).itemsize
     # One more place behind each string, and empty places so that no shift by a gram reaches the next string.
     starts = np.concatenate(([0], np.cumsum(sizes + gram + 1)))
-    data = np.zeros(int(starts[-1]), np.uint8)
+    data = np.zeros(int(starts[-1]), unit)
     own = np.repeat(np.arange(len(strings)), sizes + gram + 1)
     within = np.arange(len(data)) - starts[own]
     inside = within < sizes[own]
-    data[inside] = np.frombuffer(b"".join(strings), np.uint8)
+    data[inside] = np.frombuffer(b"".join(strings), unit)
     sym = gram_symbols(data, within + gram <= sizes[own], gram)
     cuts = np.searchsorted(starts, np.linspace(0, starts[-1], shards + 1)[1:-1])
     bounds = starts[np.unique(np.concatenate(([0], cuts, [len(strings)])))]

@@ -47,7 +47,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.removal(table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,8 @@ hashed AS (SELECT text, n, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM a
 
 ORACLE_SQL = {
     "op1_simhash": rf"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT id, array_to_string(w[k : k + 3], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS k FROM d WHERE len(w) > 0)),
 {_xxh64_sql('s', 's')},
 c AS (SELECT id, count(*) AS n, {', '.join(f'sum((h >> {b}) & 1)::BIGINT AS c{b}' for b in range(64))} FROM s JOIN hashed ON hashed.text = s.s GROUP BY id),
@@ -176,7 +177,9 @@ hit AS (SELECT id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(
 g AS (SELECT id, i, CASE WHEN i - lag(i) OVER (PARTITION BY id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hit),
 s AS (SELECT id, min(i) AS a, max(i) + 400 AS b FROM (SELECT id, i, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM g) GROUP BY id, run),
 piece AS (SELECT id, coalesce(lag(b) OVER (PARTITION BY id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT d.id, coalesce(m, 0), len(h) // 2 FROM d LEFT JOIN (SELECT id, max(b) AS m FROM s GROUP BY id) USING (id)),
-kept AS (SELECT id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM piece JOIN d USING (id) GROUP BY id),
+part AS (SELECT id, x, substr(h, 2 * x + 1, 2 * (y - x)) AS h FROM piece JOIN d USING (id)),
+whole AS (SELECT id, x, h, regexp_replace(regexp_replace(h, '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', '') AS c FROM part),
+kept AS (SELECT id, string_agg(h, '' ORDER BY x) AS h, decode(unhex(string_agg(c, '' ORDER BY x))) AS text FROM whole GROUP BY id),
 lost AS (SELECT id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY id)
-SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (id) LEFT JOIN lost USING (id)""",
+SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, kept.text FROM d JOIN kept USING (id) LEFT JOIN lost USING (id)""",
 }

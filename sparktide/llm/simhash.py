@@ -11,48 +11,61 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.llm.common import write_once
+from sparktide.llm.common import forget, write_once
 from sparktide.llm.components import connected_components
 
 BITS = 64
 SHINGLE = 4
 DISTANCE = 4
-#: Hash functions of a band and bands of similar_documents(): a pair at 0.8 shares no band in 3 of 100,000 cases.
-BAND = 4
-BANDS = 20
+#: Hash functions of a band and bands of similar_documents(): a pair at 0.8 shares no band in 1 of 9,000 cases.
+BAND = 6
+BANDS = 30
 #: Members of a bucket up to which all its pairs are compared, and the members that all others meet beyond.
 BUCKET = 32
-HUBS = 8
+HUBS = 4
+#: Shingles whose hashes are looked at together.
+SLICE = 200_000
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The majority bits of the XXH64 (seed 42) of all word shingles, as a signed 64-bit integer.
-
-    A-Z are lower-cased; a text of fewer words is one shingle; no words (or null) give zero; a tie gives 0.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _digests(octets: bytes | None, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of all word shingles of a text; A-Z are lower-cased, fewer words are one shingle, none (or null) give none."""
+    words = (octets or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, size = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    octets = np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64).view(np.uint8).reshape(-1, 8)
+    return np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64)
+
+
+def _majority(digests: np.ndarray) -> int:
+    if not len(digests):
+        return 0
+    octets = digests.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
     return int(np.packbits(2 * ones > len(octets), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The majority bits of the XXH64 (seed 42) of all word shingles, as a signed 64-bit integer.
+
+    A-Z are lower-cased; a text of fewer words is one shingle; no words (or null) give zero; a tie gives 0.
+    """
+    return _majority(_digests((text or "").encode("utf-8", "surrogatepass"), shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row of docs, null texts and repeated rows included."""
 
     def of(batches):
         for batch in batches:
-            values = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
+            values = [_majority(_digests(x, shingle)) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(of, "doc_id long, fp long")
 
 
 def bit_correlation(fps: DataFrame) -> np.ndarray:
@@ -200,26 +213,50 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return marks.join(rooted.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingles(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted distinct XXH64 of the text's word shingles, cut as in fingerprint()."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    size = min(shingle, len(words))
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    pairs = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True) if words else ()
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64))
+def _band_factors() -> np.ndarray:
+    """Odd 32-bit factors, one for each hash function, by the rule of the splitmix64 generator."""
+    x = np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
 
+def _bands(sets: list[np.ndarray]) -> list[list[int]]:
+    """The hash of each band's least values for each set of digests; a hash function is a product of the digest's upper half, modulo 2**32."""
+    out = [[0] * BANDS for _ in sets]
+    full = [k for k, s in enumerate(sets) if len(s)]
+    factors = _band_factors()
+    while full:
+        size = max(1, int(np.searchsorted(np.cumsum([len(sets[k]) for k in full]), SLICE)))
+        part, full = full[:size], full[size:]
+        flat = (np.concatenate([sets[k] for k in part]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.concatenate(([0], np.cumsum([len(sets[k]) for k in part])[:-1]))
+        low = np.stack([np.minimum.reduceat(flat * f, starts) for f in factors], axis=1).reshape(len(part), BANDS, BAND)
+        for k, rows in zip(part, low, strict=True):
+            out[k] = [xxhash.xxh3_64_intdigest(row.tobytes(), j) - (1 << 63) for j, row in enumerate(rows)]
+    return out
 
-def _bands(values: np.ndarray) -> list[int]:
-    """The hash of each band's least values, under hash functions of which each is a product and a shift."""
-    low = []
-    for k in range(BAND * BANDS):
-        h = values * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1)
-        h ^= h >> np.uint64(32)
-        low.append((h * np.uint64(0xD6E8FEB86659FD93)).min() if len(h) else np.uint64(0))
-    low = np.array(low, np.uint64).reshape(BANDS, BAND)
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(low)]
+
+def _candidates(nodes: DataFrame, bucket: int, hubs: int) -> DataFrame:
+    """(a, b), a < b: pairs of nodes(node, fp, bands) that may be similar, each once.
+
+    Fingerprints at DISTANCE bits or fewer, by links(), and rows of equal fingerprint, each with the smallest of them; and nodes that share a band.
+    Of a band's bucket of more than `bucket` nodes each meets `hubs` of them, the same in all bands, so no group is paired with itself.
+    """
+    fps = write_once(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fps")
+    far = links(fps.select("fp"))
+    far = far.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    near = nodes.join(fps, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    data = nodes.select("node", F.explode("bands").alias("band"))
+    order = [F.struct(F.xxhash64("node", F.lit(j)).alias("o"), "node") for j in range(hubs)]
+    met = write_once(data.groupBy("band").agg(F.count("*").alias("n"), F.array(*[F.min(o)["node"] for o in order]).alias("hubs")).where("n > 1"), "met")
+    some = data.join(met.where(F.col("n") <= bucket).select("band"), "band")
+    small = some.alias("x").join(some.alias("y"), "band").where("x.node < y.node").select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    large = data.join(met.where(F.col("n") > bucket).select("band", "hubs"), "band").select(F.col("node").alias("x"), F.explode("hubs").alias("y"))
+    every = far.union(near).union(small).union(large).where("x <> y")
+    pairs = write_once(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    forget(fps, met)
+    return pairs
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, hubs: int = HUBS) -> DataFrame:
@@ -227,41 +264,36 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Rows of equal shingle sets are one node; nodes whose sets have a Jaccard similarity of `similarity` or more link; component_id as in near_duplicates().
     first: whether the row has its component's smallest doc_id, and the smallest th of that id; true for one text of each component.
-    Candidates share a band of least hashes and are verified on the sets themselves. Of a bucket of more than
-    `bucket` nodes, each is compared with `hubs` of them, which differ from band to band, so no group is paired with itself.
+    Candidates (see _candidates) are verified on the sets themselves. Null texts and texts without words are one empty set; repeated rows come back as
+    often as they came; an empty table gives no rows; other columns are ignored.
     """
 
     def of(batches):
         for batch in batches:
-            marks, bands = [], []
-            for text in batch.column(2).to_pylist():
-                values = _shingles(text, shingle)
-                marks.append(xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63))
-                bands.append(_bands(values))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "bands"])
+            digests = [_digests(x, shingle) for x in batch.column(2).to_pylist()]
+            sets = [np.unique(d) for d in digests]
+            marks = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            fps = [_majority(d) for d in digests]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(fps, pa.int64()), pa.array(_bands(sets), pa.list_(pa.int64()))], names=["doc_id", "th", "node", "fp", "bands"])
 
     def sets(batches):
         for batch in batches:
-            values = [_shingles(x, shingle).view(np.int64) for x in batch.column(1).to_pylist()]
+            values = [np.unique(_digests(x, shingle)).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["node", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    marks = write_once(rows.mapInArrow(of, "doc_id long, th long, node long, bands array<long>"), "marks")
-    nodes = write_once(marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at"), F.first("bands").alias("bands")), "nodes")
-    data = nodes.select("node", F.explode("bands").alias("band"))
-    met = write_once(data.groupBy("band").agg(F.count("*").alias("n"), F.array(*[F.min(F.struct(F.xxhash64("node", "band", F.lit(j)).alias("o"), "node"))["node"] for j in range(hubs)]).alias("hubs")).where("n > 1"), "met")
-    some = data.join(met.where(F.col("n") <= bucket).select("band"), "band")
-    small = some.alias("x").join(some.alias("y"), "band").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = data.join(met.where(F.col("n") > bucket).select("band", "hubs"), "band").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
-    pairs = write_once(small.union(large.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct(), "pairs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("octets"))
+    marks = write_once(rows.mapInArrow(of, "doc_id long, th long, node long, fp long, bands array<long>"), "marks")
+    nodes = write_once(marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    pairs = _candidates(nodes, bucket, hubs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.th").alias("h"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "octets")
     held = write_once(texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     edges = write_once(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+    forget(pairs, held)
     rooted = nodes.select("node", "at").join(connected_components(edges), "node", "left").select("node", "at", F.coalesce("root", "node").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("at").alias("low"))
     found = marks.select("doc_id", "th", "node").join(rooted.join(lows, "root").select("node", "low"), "node")

@@ -1,31 +1,73 @@
-"""Removal of byte strings that start at two places or more, found by merged Burrows-Wheeler transforms."""
+"""Removal of strings that start at two places or more, found by merged Burrows-Wheeler transforms."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.llm.bwt import GRAM, repeated_starts
+from sparktide.llm.bwt import gram_size, lanes, repeated_starts
 from sparktide.llm.common import forget, partitions, write_once
 
 LENGTH = 400
-#: Words of the least passage that repeated_passages() reports, and of the gram whose hash routes it.
-WORDS = 51
-WORD_ANCHOR = 16
 #: Bytes of the gram whose hash routes a window; a window holds LENGTH - ANCHOR + 1 of them.
 ANCHOR = 32
+#: Words of the shortest passage that repeated_passages() reports, and of the gram whose hash routes it.
+WORDS = 51
+WORD_ANCHOR = 16
 #: Windows of a text that are looked at together.
 STRIDE = 4_000_000
 #: Distinct strings of one group from which it is parted further, and the widths in windows of the parts, level by level.
 HOT_STRINGS = 1_000
 WIDTHS = (64, 8, 1)
-#: Bytes of strings that a task transforms together; a group of strings that is larger goes alone.
+#: Units of strings that a task transforms together; a group of strings that is larger goes alone.
 CHUNK = 800_000
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1) for k in range(5)]
+_SPACES = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+@dataclass(frozen=True)
+class Search:
+    """What repeats: strings of `length` bytes, or of `length` words parted by ASCII white space; windows are routed by grams of `anchor` of them."""
+
+    length: int = LENGTH
+    anchor: int = ANCHOR
+    words: bool = False
+    hot_strings: int = HOT_STRINGS
+
+    @property
+    def unit(self) -> str:
+        return "<u8" if self.words else "u1"
+
+    @property
+    def least_bytes(self) -> int:
+        return 2 * self.length - 1 if self.words else self.length
+
+    def units(self, data: bytes) -> np.ndarray:
+        """The bytes of a text, or the hashes of its words."""
+        if not self.words:
+            return np.frombuffer(data, np.uint8)
+        parted = data.split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, parted), np.uint64, len(parted))
+
+    def spans(self, data: bytes, ranges: list) -> list[list[int]]:
+        """(start, end) in bytes of ranges (a, b) of units."""
+        if not self.words:
+            return [[r["a"], r["b"]] for r in ranges]
+        space = np.isin(np.frombuffer(data, np.uint8), _SPACES)
+        edges = np.diff(np.concatenate(([1], space, [1])).astype(np.int8))
+        begin, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        return [[int(begin[r["a"]]), int(end[r["b"] - 1])] for r in ranges]
+
+
+BYTES = Search()
+PASSAGES = Search(WORDS, WORD_ANCHOR, True)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,24 +80,27 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: len(values) - width + 1], ahead[width - 1 : len(values)])
 
 
-def _gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
-    h = np.zeros(len(octets) - gram + 1, np.uint64)
-    for k, step in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
-        h += np.ndarray(len(h), "<u8", octets, offset=step, strides=(1,)) * _MIX[k % 5]
+def _gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
+    eight, steps = lanes(units, gram)
+    size = len(units) - gram + 1
+    h = np.zeros(size, np.uint64)
+    for step in steps:
+        h += eight[step : step + size]
+        h *= _MIX[0]
     h ^= h >> np.uint64(31)
     h *= _MIX[4]
     return h ^ (h >> np.uint64(29))
 
 
-def anchor_runs(data: bytes, length: int = LENGTH, gram: int = ANCHOR) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, count, anchor) of runs of consecutive windows of `length` bytes that share their anchor's place.
+def anchor_runs(units: np.ndarray, length: int = LENGTH, gram: int = ANCHOR) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, count, anchor) of runs of consecutive windows of `length` units that share their anchor's place.
 
-    A window's anchor is its gram of least hash, the leftmost of equals: it depends on the window's bytes alone, so equal windows
+    A window's anchor is its gram of least hash, the leftmost of equals: it depends on the window's units alone, so equal windows
     have equal anchors, wherever they stand. Windows of one run differ from each other.
     """
-    out, octets = [], np.frombuffer(data, np.uint8)
-    for first in range(0, len(octets) - length + 1, STRIDE):
-        h = _gram_hashes(octets[first : first + STRIDE + length - 1], gram)
+    out = []
+    for first in range(0, len(units) - length + 1, STRIDE):
+        h = _gram_hashes(units[first : first + STRIDE + length - 1], gram)
         least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & _PLACE
         starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         out.append((starts + first, np.diff(np.append(starts, len(least))), h[least[starts]].view(np.int64)))
@@ -64,73 +109,81 @@ def anchor_runs(data: bytes, length: int = LENGTH, gram: int = ANCHOR) -> list[t
 
 def _key(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("th", F.xxhash64("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("octets"))
 
 
-def _same_row(left: str, right: str):
+def _same_row(left: str, right: str) -> Column:
     return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.th") == F.col(f"{right}.th"))
 
 
-def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, th, start, n, anchor, sid): the runs of all texts; sid is a hash of the run's bytes."""
+def _runs(rows: DataFrame, search: Search) -> DataFrame:
+    """(doc_id, th, start, n, anchor, sid): the runs of all texts; sid is a hash of the run's units."""
 
     def run(batches):
+        length, digest = search.length, xxhash.xxh3_64_intdigest
         for batch in batches:
             where, parts, sids = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                for part in anchor_runs(data, length, gram):
+            for k, data in enumerate(batch.column(2).to_pylist()):
+                units = search.units(data)
+                wide = units.itemsize
+                raw = units.tobytes() if search.words else data
+                for part in anchor_runs(units, length, search.anchor):
                     parts.append(part)
                     where.append((k, len(part[0])))
-                    sids += [xxhash.xxh3_64_intdigest(data[a : a + c + length - 1]) for a, c in zip(part[0].tolist(), part[1].tolist(), strict=True)]
+                    sids += [digest(raw[a * wide : (a + c + length - 1) * wide]) for a, c in zip(part[0].tolist(), part[1].tolist(), strict=True)]
             if parts:
                 at = pa.array(np.repeat([k for k, _ in where], [n for _, n in where]))
                 starts, counts, anchors = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(anchors), pa.array(np.array(sids, np.uint64).view(np.int64))]
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(anchors), pa.array(np.array(sids, np.uint64).view(np.int64))]
                 yield pa.record_batch(columns, names=["doc_id", "th", "start", "n", "anchor", "sid"])
 
-    rows = rows.where(F.octet_length("text") >= length).select("doc_id", "text", "th")
-    return rows.mapInArrow(run, "doc_id long, th long, start long, n long, anchor long, sid long")
+    long_enough = rows.where(F.octet_length("octets") >= search.least_bytes)
+    return long_enough.mapInArrow(run, "doc_id long, th long, start long, n long, anchor long, sid long")
 
 
-def _strings(chosen: DataFrame, length: int) -> DataFrame:
-    """(grp, sid, times, bytes): the bytes of the runs in chosen, grouped by their anchor."""
+def _strings(chosen: DataFrame, search: Search) -> DataFrame:
+    """(grp, sid, times, bytes): the units of the runs in chosen(doc_id, th, octets, runs), grouped by their anchor; repeated rows beside each other give them once."""
 
     def run(batches):
+        last = None
         for batch in batches:
             rows, strings = [], []
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            for row, th, data, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (row, th) == last:
+                    continue
+                last, units = (row, th), search.units(data)
                 for r in runs:
                     rows.append((r["anchor"], r["sid"], r["times"]))
-                    strings.append(data[r["start"] : r["start"] + r["n"] + length - 1])
+                    strings.append(units[r["start"] : r["start"] + r["n"] + search.length - 1].tobytes())
             if rows:
                 yield pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(strings, pa.binary())], names=["grp", "sid", "times", "bytes"])
 
-    return chosen.select("text", "runs").mapInArrow(run, "grp long, sid long, times long, bytes binary")
+    return chosen.select("doc_id", "th", "octets", "runs").mapInArrow(run, "grp long, sid long, times long, bytes binary")
 
 
-def _parts(strings: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+def _parts(strings: DataFrame, search: Search, width: int) -> DataFrame:
     """(grp, sid, up_grp, up_sid, offset, times, bytes): strings of crowded groups cut into parts of at most `width` windows.
 
-    A window's distance to its anchor is decided by its bytes, so parts are cut at multiples of `width` of that distance.
-    All windows of a part then hold the same length - width + 1 bytes, whose hash names the part's group: equal windows
+    A window's distance to its anchor is decided by its units, so parts are cut at multiples of `width` of that distance.
+    All windows of a part then hold the same length - width + 1 units, whose hash names the part's group: equal windows
     still meet, while strings that share less than that go apart. At width 1 a group is one string.
     """
+    length = search.length
 
     def run(batches):
         for batch in batches:
             rows, strings = [], []
             for up, sid, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = _gram_hashes(np.frombuffer(data[:length], np.uint8), gram)
+                units = np.frombuffer(data, search.unit)
+                h = _gram_hashes(units[:length], search.anchor)
                 place = int(np.argmin(h & ~_PLACE))
-                start, end = 0, len(data) - length + 1
+                start, end = 0, len(units) - length + 1
                 while start < end:
                     q = (place - start) // width
                     stop = min(end, place - q * width + 1)
-                    core = data[place - q * width : place - q * width + length - width + 1]
+                    core = units[place - q * width : place - q * width + length - width + 1].tobytes()
                     grp = xxhash.xxh3_64_intdigest(np.array([up, q, width], np.int64).tobytes() + core)
-                    part = data[start : stop + length - 1]
+                    part = units[start : stop + length - 1].tobytes()
                     rows.append((grp - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), up, sid, start, times))
                     strings.append(part)
                     start = stop
@@ -140,35 +193,40 @@ def _parts(strings: DataFrame, length: int, gram: int, width: int) -> DataFrame:
     return strings.select("grp", "sid", "times", "bytes").mapInArrow(run, "grp long, sid long, up_grp long, up_sid long, offset long, times long, bytes binary")
 
 
-def _crowded_repeats(strings: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+def _crowded_repeats(strings: DataFrame, search: Search) -> DataFrame:
     """As _repeats(), for strings of crowded groups: cut finer and finer until no group is crowded, results carried back up."""
-    owners, found = [], []
-    for width in WIDTHS:
-        parts = _parts(strings, length, gram, width)
+    owners, found, used = [], [], [strings]
+    for width in (w for w in WIDTHS if 2 * w < search.length or w == 1):
+        parts = _parts(strings, search, width)
         owners.append(write_once(parts.select("grp", "sid", "up_grp", "up_sid", "offset"), "owners"))
         distinct = write_once(parts.groupBy("grp", "sid", "bytes").agg(F.sum("times").alias("times")), "parts")
-        crowded = write_once(distinct.groupBy("grp").agg(F.count("*").alias("many")).where(F.col("many") > hot).select("grp"), "crowded")
-        found.append(write_once(_repeats(distinct.join(crowded, "grp", "left_anti"), length), "part-repeats"))
+        crowded = write_once(distinct.groupBy("grp").agg(F.count("*").alias("many")).where(F.col("many") > search.hot_strings).select("grp"), "crowded")
+        found.append(write_once(_repeats(distinct.join(crowded, "grp", "left_anti"), search), "part-repeats"))
+        used += [distinct, crowded]
         if crowded.isEmpty():
             break
         strings = distinct.join(crowded, "grp", "left_semi")
-    while True:
+    used += owners + found
+    up = None
+    while owners:
         own, got = owners.pop(), found.pop()
+        got = got if up is None else got.union(up)
         up = got.join(own, ["grp", "sid"]).select(F.col("up_grp").alias("grp"), F.col("up_sid").alias("sid"), (F.col("first") + F.col("offset")).alias("first"), (F.col("last") + F.col("offset")).alias("last"))
-        if not owners:
-            return up
-        found[-1] = found[-1].union(up)
+    up = write_once(up, "crowded-repeats")
+    forget(*used)
+    return up
 
 
-def _repeats(strings: DataFrame, length: int) -> DataFrame:
+def _repeats(strings: DataFrame, search: Search) -> DataFrame:
     """(grp, sid, first, last) of strings(grp, sid, times, bytes): ranges of window starts whose windows repeat."""
+    length, wide = search.length, np.dtype(search.unit).itemsize
 
     def solve(rows):
         texts, times = [r[3] for r in rows], np.array([r[2] for r in rows])
         if len(rows) == 1:  # the windows of one string differ from each other
-            hits = [np.arange(len(texts[0]) - length + 1) if times[0] > 1 else np.array([], np.int64)]
+            hits = [np.arange(len(texts[0]) // wide - length + 1) if times[0] > 1 else np.array([], np.int64)]
         else:
-            hits = repeated_starts(texts, times, length, gram=GRAM if length == LENGTH else 1)
+            hits = repeated_starts(texts, times, length, gram=gram_size(length), unit=search.unit)
         out = []
         for r, hit in zip(rows, hits, strict=True):
             if len(hit):
@@ -187,7 +245,7 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
                         chunk += group
                         size += sum(len(r[3]) for r in group)
                     group = []
-                    if size >= CHUNK:
+                    if size >= CHUNK * wide:
                         yield solve(chunk)
                         chunk, size = [], 0
                 group.append(row)
@@ -202,169 +260,113 @@ def _repeats(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "grp long, sid long, first long, last long")
 
 
-def repeated_parts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_strings: int = HOT_STRINGS) -> DataFrame:
-    """(doc_id, th, n_removed, spans, kept) of the documents that lose bytes; th is xxhash64 of the text.
+def repeated_ranges(docs: DataFrame, search: Search = BYTES) -> DataFrame:
+    """(doc_id, th, ranges) of the texts that hold repeats; th is xxhash64 of the text, ranges are (a, b) in units and may overlap.
 
-    A byte goes if a string of `length` bytes that covers it also starts anywhere else in docs(doc_id, text, ...), the same document
-    included; strings don't cross documents. spans: the maximal removed runs as (start, end) bytes; kept: the remaining bytes. Rows of equal doc_id and text
-    are copies of each other and come back once. Null and short texts lose nothing; other columns are ignored.
+    A range covers strings of `length` units that also start anywhere else in docs(doc_id, text, ...), the same document
+    included; strings don't cross documents. Rows of equal doc_id and text are copies of each other and come back once. Null and short texts
+    hold none, an empty table gives no rows; other columns are ignored. Very long texts are read in strides that overlap by a window.
 
-    Each window of `length` bytes is routed by an anchor that its bytes alone decide, so all places of a
-    repeated string meet; only anchors found twice go on. Runs of equal bytes are one string with a count. The distinct strings
+    Each window is routed by an anchor that its units alone decide, so all places of a
+    repeated string meet; only anchors found twice go on. Runs of equal units are one string with a count. The distinct strings
     of an anchor are transformed in shards, and the merged transforms' blocks of common prefixes are the repeated strings; an
     anchor with but one string has nothing to merge, all its windows repeat. An anchor of more than hot_strings strings is parted (see _parts).
     """
     rows = _key(docs)
-    runs = write_once(_runs(rows, length, anchor), "runs")
+    runs = write_once(_runs(rows, search), "runs")
     often = write_once(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "often")
     again = write_once(runs.join(often, "anchor"), "again")
+    forget(runs, often)
     place = F.struct("doc_id", "th", "start", "n")
-    strings = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "strings")
-    several = write_once(strings.groupBy("anchor").agg(F.count("*").alias("many")), "several")
-    strings = strings.join(several, "anchor")
+    single = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "strings")
+    several = write_once(single.groupBy("anchor").agg(F.count("*").alias("many")), "several")
+    strings = single.join(several, "anchor")
 
     def texts_of(chosen: DataFrame) -> DataFrame:
         runs = chosen.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("anchor", "sid", "at.start", "at.n", "times")).alias("runs"))
-        return _strings(rows.alias("r").join(runs.alias("l"), _same_row("r", "l")).select("text", "runs"), length)
-
-    merged = _repeats(texts_of(strings.where((F.col("many") > 1) & (F.col("many") <= hot_strings))), length)
-    if not several.where(F.col("many") > hot_strings).isEmpty():
-        merged = merged.union(_crowded_repeats(write_once(texts_of(strings.where(F.col("many") > hot_strings)), "crowded-strings"), length, anchor, hot_strings))
-    alone = strings.where("many = 1").select(F.col("anchor").alias("grp"), "sid", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
-    repeats = write_once(merged.union(alone).withColumnRenamed("grp", "anchor"), "repeats")
-    ranges = again.join(repeats, ["anchor", "sid"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b"))).alias("ranges"))
-
-    def cut(batches):
-        for batch in batches:
-            removed, spans, kept = [], [], []
-            for text, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data, merged = text.encode("utf-8", "surrogatepass"), []
-                for a, b in sorted((p["a"], p["b"]) for p in parts):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                removed.append(sum(b - a for a, b in merged))
-                spans.append([{"start": a, "end": b} for a, b in merged])
-                edges = [0, *(x for m in merged for x in m), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "th", "n_removed", "spans", "kept"])
-
-    found = rows.alias("r").join(ranges.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "text", "ranges")
-    return found.mapInArrow(cut, "doc_id long, th long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
-
-
-def removal_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_strings: int = HOT_STRINGS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; only rows that lose bytes are joined by their text."""
-    lost = repeated_parts(docs, length, anchor, hot_strings).select("doc_id", "th", "n_removed", F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "th"])
-    every = _key(docs).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return every.alias("r").join(lost.alias("l"), _same_row("r", "l"), "left").select(
-        "r.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")
+        return _strings(rows.alias("r").join(runs.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "octets", "runs"), search)
+
+    used = [write_once(_repeats(texts_of(strings.where((F.col("many") > 1) & (F.col("many") <= search.hot_strings))), search), "merged")]
+    if not several.where(F.col("many") > search.hot_strings).isEmpty():
+        used.append(_crowded_repeats(write_once(texts_of(strings.where(F.col("many") > search.hot_strings)), "crowded-strings"), search))
+    repeats = strings.where("many = 1").select(F.col("anchor").alias("grp"), "sid", F.lit(0).cast("long").alias("first"), (F.col("at.n") - 1).alias("last"))
+    for found in used:
+        repeats = repeats.union(found)
+    held = again.join(repeats.withColumnRenamed("grp", "anchor"), ["anchor", "sid"])
+    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + search.length).alias("b"))
+    ranges = write_once(held.groupBy("doc_id", "th").agg(F.collect_set(span).alias("ranges")), "ranges")
+    forget(again, single, several, *used)
+    return ranges
+
+
+def _cutter(searches: tuple[Search, ...]):
+    """A function of the text and its ranges by each search, both null where nothing goes: the spans, the bytes that remain, and these as text."""
+    kind = pa.struct([("spans", SPANS), ("kept", pa.binary()), ("text", pa.string())])
+
+    def cut(octets: pa.Array, *ranges: pa.Array) -> pa.Array:
+        out = []
+        for data, *found in zip(octets.to_pylist(), *(r.to_pylist() for r in ranges), strict=True):
+            if data is None:
+                out.append(None)
+                continue
+            merged: list[list[int]] = []
+            for a, b in sorted(x for search, own in zip(searches, found, strict=True) for x in search.spans(data, own or [])):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            edges = [0, *(x for m in merged for x in m), len(data)]
+            pieces = [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            out.append({"spans": [{"start": a, "end": b} for a, b in merged], "kept": b"".join(pieces), "text": "".join(p.decode("utf-8", "ignore") for p in pieces)})
+        return pa.array(out, kind)
+
+    return F.arrow_udf(cut, "spans array<struct<start: long, end: long>>, kept binary, text string")
+
+
+def remove_repeats(docs: DataFrame, *searches: Search, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of every row of docs(doc_id, text, ...) and (octets, spans, kept, rest), repeated rows included.
+
+    A byte goes if a string of a search that covers it starts at two places or more. octets: the text's bytes (null: none); spans: the maximal
+    removed runs as (start, end) bytes, by all searches together; kept: the remaining bytes; rest: these as text, less what a cut leaves of a character; null for a null text.
+    Texts cross the network once for all searches; those that lose nothing don't go through Python.
+    """
+    found, names = None, [f"ranges{k}" for k in range(len(searches))]
+    for name, search in zip(names, searches, strict=True):
+        own = repeated_ranges(docs, search).select("doc_id", "th", F.col("ranges").alias(name))
+        found = own if found is None else found.unionByName(own, allowMissingColumns=True)
+    if len(searches) > 1:
+        found = found.groupBy("doc_id", "th").agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    found = found.select(F.col("doc_id").alias("at"), F.col("th").alias("text_hash"), *names)
+    rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("th") == F.col("text_hash")), "left")
+    octets = F.coalesce("text", F.lit("")).cast("binary")
+    changed = F.coalesce(*names).isNotNull()
+    cut = joined.withColumn("cut", _cutter(searches)(F.when(changed, octets), *names))
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    return cut.select(
+        *[F.col(f"in_{c}").alias(c) for c in keep], octets.alias("octets"), F.coalesce("cut.spans", none).alias("spans"), F.coalesce("cut.kept", octets).alias("kept"), F.coalesce("cut.text", "text").alias("rest")
     )
 
 
-def _word_hashes(data: bytes) -> np.ndarray:
-    words = data.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _word_grams(hashes: np.ndarray, gram: int) -> np.ndarray:
-    """The hash of each `gram` consecutive words."""
-    h = np.zeros(len(hashes) - gram + 1, np.uint64)
-    for k in range(gram):
-        h = h * _MIX[0] + hashes[k : k + len(h)]
-    h ^= h >> np.uint64(31)
-    h *= _MIX[4]
-    return h ^ (h >> np.uint64(29))
-
-
-def passage_runs(hashes: np.ndarray, words: int = WORDS, gram: int = WORD_ANCHOR) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """As anchor_runs(), for windows of `words` words and their grams of `gram` words."""
-    out = []
-    for first in range(0, len(hashes) - words + 1, STRIDE):
-        h = _word_grams(hashes[first : first + STRIDE + words - 1], gram)
-        least = _sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), words - gram + 1) & _PLACE
-        starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        out.append((starts + first, np.diff(np.append(starts, len(least))), h[least[starts]].view(np.int64)))
-    return out
-
-
-def _passage_runs(rows: DataFrame, words: int, gram: int) -> DataFrame:
-    """(doc_id, th, start, n, anchor, sid): the runs of all texts in words; sid is a hash of the run's words."""
-
-    def run(batches):
-        for batch in batches:
-            where, parts, sids = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                hashes = _word_hashes(text.encode("utf-8", "surrogatepass"))
-                for part in passage_runs(hashes, words, gram):
-                    parts.append(part)
-                    where.append((k, len(part[0])))
-                    sids += [xxhash.xxh3_64_intdigest(hashes[a : a + c + words - 1].tobytes()) for a, c in zip(part[0].tolist(), part[1].tolist(), strict=True)]
-            if parts:
-                at = pa.array(np.repeat([k for k, _ in where], [n for _, n in where]))
-                starts, counts, anchors = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(anchors), pa.array(np.array(sids, np.uint64).view(np.int64))]
-                yield pa.record_batch(columns, names=["doc_id", "th", "start", "n", "anchor", "sid"])
-
-    rows = rows.where(F.octet_length("text") >= 2 * words - 1).select("doc_id", "text", "th")
-    return rows.mapInArrow(run, "doc_id long, th long, start long, n long, anchor long, sid long")
-
-
-def _passage_windows(chosen: DataFrame, words: int) -> DataFrame:
-    """(anchor, sid, times, at, window): the hash of each window of the runs in chosen(text, runs)."""
+def removal(docs: DataFrame, search: Search = BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row of docs; see remove_repeats(). text is what remains."""
+    done = remove_repeats(docs, search)
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return done.select(
+        F.col("doc_id").cast("long"), F.octet_length("octets").cast("long").alias("n_bytes"), lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("rest", F.lit("")).alias("text")
+    )
 
-    def run(batches):
-        for batch in batches:
-            out = [[np.array([], np.int64)] * 5]
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = _word_grams(_word_hashes(text.encode("utf-8", "surrogatepass")), words).view(np.int64)
-                for r in runs:
-                    n = r["n"]
-                    out.append([*(np.full(n, r[c]) for c in ("anchor", "sid", "times")), np.arange(n), h[r["start"] : r["start"] + n]])
-            yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["anchor", "sid", "times", "at", "window"])
 
-    return chosen.select("text", "runs").mapInArrow(run, "anchor long, sid long, times long, at long, window long")
+def removal_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_strings: int = HOT_STRINGS) -> DataFrame:
+    """removal() without the text, for strings of `length` bytes."""
+    return removal(docs, Search(length, anchor, False, hot_strings)).drop("text")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, anchor: int = WORD_ANCHOR) -> DataFrame:
-    """(doc_id, th, spans) of the documents that hold a passage of `words` words or more which also starts anywhere else in docs, the same document included.
+    """(doc_id, th, spans) of the rows of docs that hold a passage of `words` words or more which also starts anywhere else; repeated rows come back as often as they came.
 
-    Words are parted by ASCII white space and compared as they stand. spans: the maximal such passages as (start, end) bytes, from the first word to the last.
-    Rows are told apart as in repeated_parts(), and windows are routed alike, by an anchor of words. Repeated rows come back as often as they came. Runs found twice repeat as a
-    whole; of an anchor's distinct runs, each is read at one place and its windows are counted by their hash.
+    Words are parted by ASCII white space and compared as they stand, by 64-bit hashes. spans: the maximal such passages as (start, end) bytes, from the first word to the last.
     """
-    rows = _key(docs)
-    runs = write_once(_passage_runs(rows, words, anchor), "passage-runs")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    again = write_once(runs.join(often, "anchor"), "passages-again")
-    forget(runs)
-    place = F.struct("doc_id", "th", "start", "n")
-    strings = write_once(again.groupBy("anchor", "sid").agg(F.count("*").alias("times"), F.min(place).alias("at")), "passages")
-    several = strings.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
-    chosen = strings.join(several, "anchor").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("anchor", "sid", "at.start", "at.n", "times")).alias("runs"))
-    texts = rows.alias("r").join(chosen.alias("l"), _same_row("r", "l")).select("text", "runs")
-    windows = write_once(_passage_windows(texts, words), "passage-windows")
-    twice = windows.distinct().groupBy("anchor", "window").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "window")
-    part = windows.where("times = 1").join(twice, ["anchor", "window"]).groupBy("anchor", "sid").agg(F.collect_set("at").alias("hits"))
-    whole = strings.where("times > 1").select("anchor", "sid", F.sequence(F.lit(0).cast("long"), F.col("at.n") - 1).alias("hits"))
-    found = write_once(part.union(whole), "passage-repeats")
-    forget(windows)
-    hits = again.join(found, ["anchor", "sid"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "hits")).alias("runs"))
-
-    def spans(batches):
-        for batch in batches:
-            out = []
-            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                space = np.isin(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
-                edges = np.diff(np.concatenate(([1], space, [1])).astype(np.int8))
-                begin, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-                at = np.unique(np.concatenate([np.array(r["hits"], np.int64) + r["start"] for r in runs]))
-                cut = np.flatnonzero(np.diff(at) > words)  # windows that touch make one run
-                out.append([{"start": a, "end": b} for a, b in zip(begin[at[np.append(0, cut + 1)]].tolist(), end[at[np.append(cut, len(at) - 1)] + words - 1].tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "th", "spans"])
-
-    joined = rows.alias("r").join(hits.alias("l"), _same_row("r", "l")).select("r.doc_id", "r.th", "text", "runs")
-    return joined.mapInArrow(spans, "doc_id long, th long, spans array<struct<start: long, end: long>>")
+    done = remove_repeats(docs, Search(words, anchor, True))
+    return done.where(F.size("spans") > 0).select("doc_id", F.xxhash64(F.col("octets").cast("string")).alias("th"), "spans")
