@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,13 +176,14 @@ def _by_keyword() -> tuple[dict[bytes, list[Rule]], list[tuple[list[bytes], str]
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8: all but the ASCII that isn't a digit or letter
 
 
-def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, str, int]]]:
+def scan(text: str | bytes | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, str, int]]]:
     """Words of the text; base places (first word, end, label); detections that stand (first word, end, label, rule, priority).
 
     A rule runs only on texts that hold its keyword, alone or within a word ("gplv3", "freebsd"). Detections are taken by falling priority, longer and earlier ones first among equals; one that lies within, or
     overlaps, a detection already taken is suppressed. Base places are never suppressed.
     """
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    octets = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = _WORD.findall(octets.lower())
     index, phrases = _by_keyword()
     present = set(words)
     base = []
@@ -193,11 +195,13 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[
     chosen = [r for k, mine in index.items() if k in joined for r in mine]
     if not chosen:
         return len(words), sorted(base), []
-    found = []
-    for rule in chosen:
-        for m in rule.pattern.finditer(joined):
-            first = joined.count(b" ", 0, m.start()) - 1
-            found.append((first, first + joined.count(b" ", m.start(), m.end()) + 1, rule.label, rule.name, rule.priority))
+    hits = [(rule, *m.span()) for rule in chosen for m in rule.pattern.finditer(joined)]
+    if not hits:
+        return len(words), sorted(base), []
+    # Matches begin behind a space and end before one, so their word numbers are the spaces before these places.
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    firsts, ends = (np.searchsorted(spaces, [h[k] for h in hits]).tolist() for k in (1, 2))
+    found = [(a - 1, b, rule.label, rule.name, rule.priority) for (rule, _, _), a, b in zip(hits, firsts, ends, strict=True)]
     taken: list[tuple[int, int, str, str, int]] = []
     covered: set[int] = set()
     for d in sorted(set(found), key=lambda d: (-d[4], d[0] - d[1], d[0], d[2], d[3])):
@@ -212,7 +216,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     n_words; n_base, first_word, last_word, base_labels: number, smallest and largest start and labels of the base phrases' places; labels: those and the labels of the detections that stand;
     score: the largest priority among these in hundredths (0.5 for base places alone), 0 without any; matches: the detections. Null and
-    empty texts have no words and empty labels. Other columns are ignored.
+    empty texts have no words and empty labels; very long texts are scanned whole. Equal detections of two rules count for the first of them, and of
+    overlapping ones of equal priority the longest, then the earliest stands. An empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
@@ -230,4 +235,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, rule: string, first: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)

@@ -148,8 +148,11 @@ l AS (SELECT id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS
 v AS (SELECT id, k, len(regexp_replace(regexp_extract(line, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[ \t]{0,3}>)+ ?', '') AS body FROM l),
 g AS (SELECT *, k - row_number() OVER (PARTITION BY id, level ORDER BY k) AS run FROM v),
 own AS (SELECT id, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (level = 0), ''), '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS text FROM v GROUP BY id),
-quoted AS (SELECT id, level, NORM(string_agg(body, chr(10) ORDER BY k)) AS s FROM g WHERE level > 0 GROUP BY id, level, run),
-held AS (SELECT id, NORM(s) AS s FROM (SELECT id, text AS s FROM own UNION ALL SELECT id, unnest(string_split(text, chr(10))) FROM own UNION ALL SELECT id, unnest(string_split_regex(text, '\n[ \t\f\r]*\n')) FROM own)),
+quoted AS (SELECT id, level, NORM(string_agg(body, chr(10) ORDER BY k)) AS s, count(*) FILTER (NORM(body) <> '') AS size FROM g WHERE level > 0 GROUP BY id, level, run),
+sizes AS (SELECT DISTINCT conv_id, size FROM quoted JOIN m USING (id) WHERE s <> ''),
+own_lines AS (SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: NORM(x)), lambda x: x <> '') AS ls FROM own),
+runs AS (SELECT id, array_to_string(ls[k : k + size - 1], ' ') AS s FROM (SELECT id, ls, size, unnest(generate_series(1, len(ls) - size + 1)) AS k FROM own_lines JOIN m USING (id) JOIN sizes USING (conv_id) WHERE len(ls) >= size)),
+held AS (SELECT id, s FROM runs UNION ALL SELECT id, NORM(s) AS s FROM (SELECT id, text AS s FROM own UNION ALL SELECT id, unnest(string_split_regex(text, '\n[ \t\f\r]*\n')) FROM own)),
 found AS (SELECT a.conv_id, a.turn, q.level, max(b.turn) AS source FROM quoted q JOIN m a USING (id) JOIN held h ON h.s = q.s JOIN m b ON b.id = h.id AND b.conv_id = a.conv_id AND b.turn < a.turn WHERE q.s <> '' GROUP BY a.conv_id, a.turn, q.level, q.s),
 replies AS (SELECT conv_id, turn, source AS parent FROM found QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, source DESC) = 1),
 up AS (SELECT conv_id, turn, parent AS root FROM replies UNION ALL SELECT up.conv_id, up.turn, r.parent FROM up JOIN replies r ON r.conv_id = up.conv_id AND r.turn = up.root),
@@ -157,7 +160,7 @@ roots AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY 1, 2)
 SELECT m.conv_id, m.turn, m.role, own.text, replies.parent AS parent_turn, coalesce(roots.root, m.turn) AS root_turn,
        (SELECT count(*) FROM quoted q WHERE q.id = m.id AND q.s <> '') AS n_quoted
 FROM m JOIN own USING (id) LEFT JOIN replies ON replies.conv_id = m.conv_id AND replies.turn = m.turn LEFT JOIN roots ON roots.conv_id = m.conv_id AND roots.turn = m.turn
-""".replace("NORM(string_agg(body, chr(10) ORDER BY k))", _NORM.format("string_agg(body, chr(10) ORDER BY k)")).replace("NORM(s)", _NORM.format("s")),
+""".replace("NORM(string_agg(body, chr(10) ORDER BY k))", _NORM.format("string_agg(body, chr(10) ORDER BY k)")).replace("NORM(body)", _NORM.format("body")).replace("NORM(x)", _NORM.format("x")).replace("NORM(s)", _NORM.format("s")),
     "op6_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
      i AS (SELECT item_id, {_WORDS} AS w, least(len({_WORDS}), 5) AS n FROM benchmark),

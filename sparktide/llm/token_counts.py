@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.llm.pieces import slices, split_words
+from sparktide.llm.pieces import CACHE_CHARS, slices, split_words
 
 #: Pre-tokens whose lengths are broadcast, and those that each task proposes for it; both only save work.
 TABLE_SIZE = 65_536
@@ -32,7 +32,7 @@ def lengths(path: str, words: list[str]) -> list[int]:
 
 
 def frequent_words(docs: DataFrame, proposals: int = PROPOSALS, size: int = TABLE_SIZE) -> list[str]:
-    """At most `size` frequent pre-tokens of all texts: each task counts its own, dropping rare ones when it has many, and proposes the leading ones."""
+    """At most `size` frequent pre-tokens of up to CACHE_CHARS characters of all texts: each task counts its own, dropping rare ones when it has many, and proposes the leading ones."""
 
     def propose(batches):
         counts: Counter = Counter()
@@ -41,7 +41,7 @@ def frequent_words(docs: DataFrame, proposals: int = PROPOSALS, size: int = TABL
             for a, b in slices(texts):
                 for text in texts[a:b]:
                     if text:
-                        counts.update(split_words(text))
+                        counts.update(w for w in split_words(text) if len(w) <= CACHE_CHARS)
                 if len(counts) > WORKER_WORDS:
                     floor = sorted(counts.values(), reverse=True)[WORKER_WORDS // 2]
                     counts = Counter({w: n for w, n in counts.items() if n > floor})
@@ -55,8 +55,9 @@ def frequent_words(docs: DataFrame, proposals: int = PROPOSALS, size: int = TABL
 def token_counts(docs: DataFrame, model_path: str, size: int = TABLE_SIZE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of each row of docs(doc_id, text, ...), repeated rows included.
 
-    A null or empty text has 0 bytes and 0 tokens. An empty table gives no rows; other columns are ignored. The model
-    must be one that pieces.PieceModel accepts, whose tokens never reach across the place before a run of spaces.
+    A null or empty text has 0 bytes and 0 tokens; very long texts are counted whole. An empty table gives no rows; other columns are ignored. The model
+    must be one that pieces.PieceModel accepts, whose tokens never reach across the place before a run of spaces. The broadcast table holds at most
+    `size` pre-tokens of CACHE_CHARS characters; of equally frequent ones the first in order. It only saves work.
     """
     words = frequent_words(docs, size=size)
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(words, lengths(model_path, words), strict=True)))
@@ -75,6 +76,9 @@ def token_counts(docs: DataFrame, model_path: str, size: int = TABLE_SIZE) -> Da
                 known.update(zip(missing, lengths(model_path, missing), strict=True))
                 of = known.__getitem__
                 sums = [sum(map(of, ws)) for ws in split]
+                for w in missing:
+                    if len(w) > CACHE_CHARS:
+                        del known[w]
                 sizes = [len(t.encode("utf-8", "surrogatepass")) for t in part]
                 yield pa.record_batch([batch.column(0)[a:b], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

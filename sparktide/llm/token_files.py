@@ -22,6 +22,11 @@ from sparktide.llm.pieces import slices
 END = 2
 #: Pre-token runs that a worker keeps before it starts anew; the results don't depend on it.
 CACHE_WORDS = 2_000_000
+#: Bytes of ids of the longest run that it keeps.
+CACHE_BYTES = 128
+#: Documents and ids that a reader holds at a time; a document of more ids comes alone.
+READ_DOCS = 4_096
+READ_IDS = 4_000_000
 # The fixed set of characters that Unicode calls White_Space.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
@@ -97,6 +102,9 @@ def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
         seen.update((run, seen[a] + seen[b]) for run, (a, b) in split.items())
         for k in missing:
             found[k] = seen[runs[k]]
+        for run in new.union(wanted):
+            if len(seen[run]) > CACHE_BYTES:
+                del seen[run]
     out = [b"".join(found[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     for k in odd:
         out[k] = np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, kind).tobytes()
@@ -113,16 +121,17 @@ def _put(base: str, name: str, chunks) -> None:
     system.move(f"{folder}/{tmp}", f"{folder}/{name}")
 
 
-def _open(base: str, name: str, kind: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the folder is mounted, else read."""
+def _reader(base: str, name: str, kind: str):
+    """A function of (first, end) for parts of a file of numbers: memory-mapped where the folder is mounted, else read by range."""
     system, folder = fs.FileSystem.from_uri(base)
-    path = f"{folder}/{name}"
+    path, wide = f"{folder}/{name}", np.dtype(kind).itemsize
     if not system.get_file_info(path).size:
-        return np.empty(0, kind)
+        return lambda a, b: np.empty(0, kind)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with system.open_input_file(path) as file:
-        return np.frombuffer(file.read(), kind)
+        mapped = np.memmap(path, kind, "r")
+        return lambda a, b: mapped[a:b]
+    file = system.open_input_file(path)
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * wide, a * wide), kind)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, base: str, parts: int, end: int = END) -> DataFrame:
@@ -173,19 +182,29 @@ def read_token_files(manifest: DataFrame, base: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for part, first, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, first, size, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = f"part-{part:06d}"
-                tokens, offsets, docs = _open(base, f"{name}.tokens", f"<u{size}"), _open(base, f"{name}.offsets", "<u8").astype(np.int64), _open(base, f"{name}.docs", "<i8")
-                sums = [zlib.crc32(tokens[a:b].astype("<u4")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                ids = pa.array(docs, pa.int64(), mask=docs == -(1 << 63))
-                yield pa.record_batch([ids, pa.array(offsets[:-1] + first), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    rows = manifest.select("part", "base_tokens", "id_bytes")
+                tokens, offsets, docs = (_reader(base, f"{name}.{x}", kind) for x, kind in (("tokens", f"<u{size}"), ("offsets", "<u8"), ("docs", "<i8")))
+                at = 0
+                while at < n:
+                    ends = offsets(at, min(n, at + READ_DOCS) + 1).astype(np.int64)
+                    many = max(1, int(np.searchsorted(ends, ends[0] + READ_IDS, "right")) - 1)
+                    ends, ids = ends[: many + 1], docs(at, at + many)
+                    held = tokens(int(ends[0]), int(ends[-1]))
+                    sums = [zlib.crc32(held[a:b].astype("<u4")) for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True)]
+                    at += many
+                    yield pa.record_batch([pa.array(ids, pa.int64(), mask=ids == -(1 << 63)), pa.array(ends[:-1] + first), pa.array(np.diff(ends)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = manifest.select("part", "base_tokens", "id_bytes", "n_docs")
     return rows.repartition(partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Writes the files to a new folder of the shared one and reads them back; see the two functions above."""
+    """Writes the files of docs to a new folder of the shared one and reads them back: (doc_id, start, n_tokens, ids_crc32) of every row.
+
+    A null or empty text has the end id alone; very long texts are encoded whole; repeated rows stand beside each other, each with a start of its own; null
+    ids come first; an empty table gives no rows; other columns are ignored. All rows of one doc_id are written by one task.
+    """
     base = new_path(spark, "tokens")
     base = base if "://" in base else "file://" + base.removeprefix("file:")
     return read_token_files(write_token_files(docs, tokenizer_path, base, partitions(spark)), base)

@@ -286,6 +286,83 @@ def test_conversations(spark):
     assert conversations.link_quotations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [65_536, 2])
+def test_conversations_against_sql(spark, tmp_path, monkeypatch, width):
+    """Excerpts of whole lines, re-wrapped paragraphs and nested quotes, linked as the query's SQL and a brute-force search do."""
+    import duckdb
+
+    from sparktide.llm import queries
+
+    monkeypatch.setattr(conversations, "WIDTH", width)
+    r, rows, own = random.Random(17), [], {}
+    for conv in range(12):
+        texts = []
+        for turn in range(9):
+            lines, level = [], r.randint(0, 2)
+            if texts and r.random() < 0.8:
+                source = r.choice(texts).split("\n")
+                a = r.randrange(len(source))
+                lines += ["> " * (level + 1) + x.upper() for x in source[a : a + r.randint(1, 4)]]
+            mine = [" ".join(r.choice("alpha beta gamma delta".split()) for _ in range(r.randint(1, 3))) if r.random() < 0.8 else "" for _ in range(r.randint(1, 6))]
+            texts.append("\n".join(mine))
+            rows.append((conv, turn, "user", "\n".join(lines + mine), 1))
+    rows += [(1, 3, "user", "> alpha", 1), (None, 0, "user", "> x", 1), (0, None, None, None, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, hash long")
+    got = conversations.link_quotations(df).collect()
+    df.toPandas().to_parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    names = ["conv_id", "turn", "role", "text", "parent_turn", "root_turn", "n_quoted"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE_SQL['op5_conversations']})").fetchall()
+    assert Counter(tuple(x[n] for n in names) for x in got) == Counter(want)
+    clean = lambda t: [" ".join(x.lower().split()) for x in t.split("\n") if x.strip()]
+    linked = {(x.conv_id, x.turn): x.parent_turn for x in got}
+    for conv, turn, _, text, _ in rows[:108]:
+        quoted = [re.sub(r"^(> )+", "", x) for x in (text or "").split("\n") if x.startswith(">")]
+        if (conv, turn) != (1, 3) and clean("\n".join(quoted)):
+            q = clean("\n".join(quoted))
+            earlier = [(t, clean("\n".join(x for x in s.split("\n") if not x.startswith(">")))) for c, t, _, s, _ in rows[:108] if c == conv and t < turn]
+            assert linked[(conv, turn)] == max(t for t, ls in earlier if any(ls[k : k + len(q)] == q for k in range(len(ls))))
+
+
+def test_long_texts(spark):
+    """Texts of about 1 MB with and without spaces, in all operators whose work could grow faster than a text."""
+    import sentencepiece
+
+    r = random.Random(23)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))
+    words = " ".join(f"mit license {r.randint(0, 99999)}" for _ in range(50_000))
+    rows = [(1, letters), (2, words), (3, "ab" * 500_000)]
+    docs, path = documents(spark, rows), public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = {i: np.array(library.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for i, t in rows}
+    got = {x.doc_id: bytes(x.ids) for x in pieces.encode_decode(docs, path).collect()}
+    assert got == want
+    assert {x.doc_id: x.n_tokens for x in token_counts.token_counts(docs, path).collect()} == {i: len(x) // 4 - 2 for i, x in want.items()}
+    scanned = {x.doc_id: (x.n_words, x.n_base) for x in licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base").collect()}
+    assert scanned == {1: (1, 0), 2: (150_000, 50_000), 3: (1, 0)}
+    removed = {x.doc_id: x.n_removed for x in suffix_dedup.removal_report(docs).collect()}
+    assert removed == {1: 0, 2: 0, 3: 1_000_000}
+    assert len({x.component_id for x in simhash.near_duplicates(docs).collect()}) == 3
+    assert all(x.n_tokens > 100_000 for x in token_files.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).collect())
+
+
+def test_piece_merges(spark):
+    """Segments merged at once and one by one, against the library, also where a merge makes a pair of smaller rank."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(29)
+    for alphabet in (["a"], ["an", "na", "ana", "nan"], list("etaoinshrdlu"), ["=", "-", "=="], ["é", "日", "本", "a"]):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 200))) for _ in range(60)]
+        want = [np.array(library.encode(t), "<u4").tobytes() for t in texts]
+        keep = pieces.LONG
+        for pieces.LONG in (keep, 4):
+            pieces.load.cache_clear()
+            assert pieces.encode_texts(path, texts) == want
+        pieces.LONG = keep
+
+
 def test_language(spark):
     r = random.Random(10)
     words = {"en": "the of and thing house".split(), "de": "der und ist straße haus".split(), "fr": "le été où maison très".split()}
