@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktide.operators.splits import draw
+
 KERNEL = 9
 
 
@@ -29,6 +31,36 @@ def shapelet_distance(series: Column, shapelet: list[float]) -> Column:
     return F.array_min(F.transform(at, lambda i: sum(((F.get(series, i + k) - float(w)) * (F.get(series, i + k) - float(w)) for k, w in enumerate(shapelet)), F.lit(0.0))))
 
 
+def learn_shapelets(train: DataFrame, series: str, label: str, key: str, lengths=(8, 16), windows: int = 40, keep: int = 6, seed: int = 42) -> list[list[float]]:
+    """The `keep` slices whose distances to the training windows differ most between the classes, against their spread.
+
+    Candidates are one slice of each length from each of `windows` windows, in the order of draw(), so their number is fixed; all training
+    windows judge them, by sums that the executors add up.
+    """
+    picked = train.orderBy(draw(seed, key)).select(series).limit(windows).collect()
+    rng, candidates = np.random.default_rng(seed), []
+    for row in picked:
+        values = np.asarray(row[0], float)
+        candidates += [values[a : a + n] for n in lengths if len(values) >= n for a in [rng.integers(len(values) - n + 1)]]
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            x, y = np.stack([np.asarray(v, float) for v in pdf["v"]]), pdf["y"].to_numpy()
+            d = np.stack([((np.lib.stride_tricks.sliding_window_view(x, len(c), axis=1) - c) ** 2).sum(axis=2).min(axis=1) for c in candidates], axis=1)
+            for c in (0, 1):
+                own = d[y == c]
+                total[c] = total.get(c, 0) + np.stack([np.full(len(candidates), float(len(own))), own.sum(axis=0), (own * own).sum(axis=0)])
+        for c, t in total.items():
+            yield pd.DataFrame({"y": c, "k": np.arange(len(candidates)), "n": t[0], "s": t[1], "q": t[2]})
+
+    got = train.select(F.col(series).alias("v"), F.col(label).alias("y")).mapInPandas(sums, "y int, k int, n double, s double, q double").groupBy("y", "k").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    mean, var = F.col("s") / F.col("n"), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2
+    each = got.where("n > 0").groupBy("k").agg((F.max(mean) - F.min(mean)).alias("gap"), F.sqrt(F.greatest(F.sum(var), F.lit(1e-12))).alias("spread"))
+    best = each.orderBy(F.desc(F.col("gap") / F.col("spread")), "k").limit(keep).collect()
+    return [candidates[r.k].tolist() for r in best]
+
+
 def interval_statistics(series: Column, first: int, length: int) -> list[Column]:
     """Mean, population deviation and least-squares slope over a slice."""
     part = F.slice(series, first + 1, length)
@@ -123,7 +155,7 @@ def network(rows: DataFrame, flat: str, label: str, inputs: int, hidden: int = 1
 
 
 #: Names of the methods, aliases included.
-METHODS = {"rocket": "random_kernels", "minirocket": "random_kernels", "multirocket": "random_kernels", "arsenal": "random_kernels", "tsf": "intervals", "stsforest": "intervals", "cif": "intervals", "drcif": "intervals", "shapelet": "shapelets", "shapelettransformclassifier": "shapelets", "cnn": "network", "rnn": "network", "timecnn": "network", "timernn": "network"}
+METHODS = {"rocket": "random_kernels", "minirocket": "random_kernels", "multirocket": "random_kernels", "arsenal": "random_kernels", "tsf": "intervals", "timeseriesforest": "intervals", "stsf": "intervals", "stsforest": "intervals", "canonicalintervalforest": "intervals", "cif": "intervals", "drcif": "intervals", "shapelet": "shapelets", "shapelettransformclassifier": "shapelets", "cnn": "network", "rnn": "network", "timecnn": "network", "timernn": "network"}
 
 
 def run_methods(names: list[str], train, spark) -> DataFrame:

@@ -86,6 +86,19 @@ def oversample(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times))).drop("rank", "__n", "__m")
 
 
+def balance_to(rows: DataFrame, label: str, key: str, target: int, seed: int, replace: bool = True) -> DataFrame:
+    """Adds copy: `target` rows of each class, in a random order; smaller classes repeat in turn if replace, else stay as they are."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("__n"))
+    joined = random_rank(rows, [label], key, seed).join(F.broadcast(sizes), label).where(F.col("rank") <= target)
+    times = F.floor((F.lit(target) - F.col("rank")) / F.col("__n")) if replace else F.lit(0).cast("long")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times))).drop("rank", "__n")
+
+
+def proportional_sample(rows: DataFrame, label: str, key: str, size: int, seed: int) -> DataFrame:
+    """2 * size random rows, each class by its share (see quotas()); all rows if there aren't more."""
+    return cap_classes(rows, label, key, quotas(rows, label, [size]).select(label, F.col("quota").alias("cap")), seed)
+
+
 def quotas(rows: DataFrame, label: str, sizes: list[int]) -> DataFrame:
     """(size, label, n, quota): the rows of each class in a proportional sample of 2 * size rows, all if there aren't more."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))

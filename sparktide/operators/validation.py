@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from sparktide.operators import metrics
 from sparktide.operators.splits import greedy_group_folds
 
+#: Subjects whose counts the driver deals to folds.
+MAX_SUBJECTS = 1_000_000
 FULL_GRID = {"C": [0.1, 1.0], "mvar_order": [2, 3], "n_basis": [5, 10], "regularization": [0.1, 1.0]}
 
 
@@ -36,11 +39,18 @@ def best_parameters(inner: DataFrame) -> DataFrame:
     return mean.withColumn("__r", first).where("__r = 1").drop("__r")
 
 
-def group_folds(rows: DataFrame, subject: str, folds: int) -> DataFrame:
-    """(subject, fold): the greedy deal over subject counts, which are small next to the rows; the driver deals, the result is joined back."""
-    counts = [(r[0], r[1]) for r in rows.groupBy(subject).count().collect()]
-    dealt = greedy_group_folds(counts, folds)
-    return rows.sparkSession.createDataFrame(list(dealt.items()), T.StructType([rows.schema[subject], T.StructField("fold", T.IntegerType())]))
+def nested_folds(rows: DataFrame, subject: str, outer: int, inner: int) -> DataFrame:
+    """(subject, fold, inner): the outer fold of each subject, and its inner fold among the training subjects of each outer fold (-1 in its own).
+
+    The greedy deal is sequential by nature: the subjects' counts, at most MAX_SUBJECTS, are dealt by the driver; more raise ValueError.
+    """
+    counts = [(r[0], r[1]) for r in rows.groupBy(subject).count().limit(MAX_SUBJECTS + 1).collect()]
+    if len(counts) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    dealt = greedy_group_folds(counts, outer)
+    parts = [greedy_group_folds([x for x in counts if dealt[x[0]] != k], inner) for k in range(outer)]
+    out = [(s, dealt[s], [part.get(s, -1) for part in parts]) for s, _ in counts]
+    return rows.sparkSession.createDataFrame(out, T.StructType([rows.schema[subject], T.StructField("fold", T.IntegerType()), T.StructField("inner", T.ArrayType(T.IntegerType()))]))
 
 
 def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, rounds: int = 50) -> np.ndarray:
@@ -59,25 +69,83 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, round
     return np.append(beta[:-1] / sd, beta[-1] - (beta[:-1] * mean / sd).sum())
 
 
-def task_scores(tasks: DataFrame, features: list[str], squared_weights: bool = True) -> DataFrame:
-    """(task, window_id, subject, y, proba) of tasks(task, c, part, window_id, subject, y, features): one model for each task.
+@dataclass(frozen=True)
+class Task:
+    """One fit of cross-validation: on rows outside the outer fold `held`, and outside the inner fold `inner` if given, with inverse strength c."""
+
+    held: int
+    inner: int | None
+    param_idx: int
+    c: float
 
-    A task is one fit of cross-validation: its rows with part 'fit' train a model that scores its rows with part 'score'. Tasks run side by side,
-    each in one group of a few numbers for each window.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, score = pdf[pdf.part == "fit"], pdf[pdf.part == "score"].copy()
-        y = fit.y.to_numpy(float)
-        if len(fit) and 0 < y.sum() < len(y):
-            w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-            beta = newton_logistic(fit[features].to_numpy(float), y, w * w if squared_weights else w, float(fit.c.iloc[0]))
-            score["proba"] = 1 / (1 + np.exp(-np.clip(score[features].to_numpy(float) @ beta[:-1] + beta[-1], -35, 35)))
-        else:
-            score["proba"] = float(y.mean()) if len(y) else 0.5
-        return score[["task", "window_id", "subject", "y", "proba"]]
+def fit_tasks(rows: DataFrame, features: list[str], tasks: list[Task], squared_weights: bool = True, rounds: int = 50) -> list[np.ndarray]:
+    """Coefficients with intercept of weighted L2 logistic regressions, all tasks together, on rows(y, fold, inner, features).
 
-    return tasks.groupBy("task").applyInPandas(run, "task string, window_id long, subject long, y int, proba double")
+    Each round adds up every task's gradient and curvature over the partitions, a few numbers for each task, and the driver takes
+    a Newton step; no task's rows are copied or gathered. Features are scaled by the task's own rows. A task with one class alone predicts that class, one without rows one half.
+    """
+    width = len(features) + 1
+    data = rows.select("y", "fold", "inner", *features)
+
+    def total(of) -> np.ndarray:
+        """Sums over all rows of of(z, y, task number) for each task: matrices of `width` rows and width + 2 columns."""
+
+        def run(batches):
+            sums = np.zeros((len(tasks), width, width + 2))
+            for pdf in batches:
+                if len(pdf):
+                    z = np.column_stack([pdf[features].to_numpy(float), np.ones(len(pdf))])
+                    y, fold, inner = pdf["y"].to_numpy(float), pdf["fold"].to_numpy(), np.stack(pdf["inner"].to_numpy())
+                    for k, t in enumerate(tasks):
+                        own = (fold != t.held) & ((inner[:, t.held] != t.inner) if t.inner is not None else True)
+                        sums[k] += of(z[own], y[own], k)
+            yield pd.DataFrame({"at": np.arange(sums.size), "value": sums.ravel()})
+
+        got = data.mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+        out = np.zeros(len(tasks) * width * (width + 2))
+        out[got["at"]] = got["value"]
+        return out.reshape(len(tasks), width, width + 2)
+
+    moments = total(lambda z, y, k: np.column_stack([z.T @ z, z.T @ y, np.zeros(width)]))
+    n, positive = moments[:, -1, -3], moments[:, -1, -2]
+    mean = moments[:, :-1, -3] / np.maximum(n, 1)[:, None]
+    spread = np.sqrt(np.maximum(np.stack([np.diag(m)[:-1] for m in moments]) / np.maximum(n, 1)[:, None] - mean**2, 0))
+    spread = np.where(spread < 1e-12, 1, spread)
+    open_ = (positive > 0) & (positive < n)
+    weight = np.stack([n / np.maximum(2 * (n - positive), 1), n / np.maximum(2 * positive, 1)], axis=1) ** (2 if squared_weights else 1)
+    penalty = np.stack([np.append(np.full(width - 1, 1.0 / t.c), 0.0) for t in tasks])
+    beta, moving = np.zeros((len(tasks), width)), open_.copy()
+
+    def newton(z, y, k):
+        if not moving[k]:
+            return 0.0
+        z = np.column_stack([(z[:, :-1] - mean[k]) / spread[k], z[:, -1]])
+        p, w = 1 / (1 + np.exp(-np.clip(z @ beta[k], -35, 35))), np.where(y == 1, weight[k, 1], weight[k, 0])
+        return np.column_stack([(z * (w * p * (1 - p))[:, None]).T @ z, z.T @ (w * (p - y)), np.zeros(width)])
+
+    for _ in range(rounds):
+        if not moving.any():
+            break
+        sums = total(newton)
+        for k in np.flatnonzero(moving):
+            step = np.linalg.solve(sums[k, :, :width] + np.diag(penalty[k]) + 1e-10 * np.eye(width), sums[k, :, width] + penalty[k] * beta[k])
+            beta[k] -= step
+            moving[k] = np.abs(step).max() >= 1e-9
+    scale = beta[:, :-1] / spread
+    raw = np.column_stack([scale, beta[:, -1] - (scale * mean).sum(axis=1)])
+    constant = np.where(n == 0, 0.0, np.where(positive == 0, -35.0, 35.0))
+    return [raw[k] if open_[k] else np.append(np.zeros(width - 1), constant[k]) for k in range(len(tasks))]
+
+
+def score_tasks(rows: DataFrame, features: list[str], tasks: list[Task], betas: list[np.ndarray]) -> DataFrame:
+    """(held, inner_held, param_idx, y, proba): the rows that each task leaves out, scored by its model; the small table of models is broadcast."""
+    models = [(t.held, t.inner, t.param_idx, b.tolist()) for t, b in zip(tasks, betas, strict=True)]
+    table = rows.sparkSession.createDataFrame(models, "held int, inner_held int, param_idx int, beta array<double>")
+    own = F.when(F.col("inner_held").isNull(), F.col("fold") == F.col("held")).otherwise((F.col("fold") != F.col("held")) & (F.get("inner", F.col("held")) == F.col("inner_held")))
+    margin = sum((F.col(f).cast("double") * F.col("beta")[k] for k, f in enumerate(features)), F.col("beta")[len(features)])
+    proba = 1 / (1 + F.exp(-F.greatest(F.least(margin, F.lit(35.0)), F.lit(-35.0))))
+    return rows.crossJoin(F.broadcast(table)).where(own).select("held", "inner_held", "param_idx", "y", F.round(proba, 9).alias("proba"))
 
 
 def nested_cv(windows: DataFrame, features: list[str], cs: list[float], outer: int = 3, inner: int = 2) -> DataFrame:
@@ -86,30 +154,17 @@ def nested_cv(windows: DataFrame, features: list[str], cs: list[float], outer: i
     Subjects are dealt to outer folds, and the training subjects of each to inner folds. The inner fits choose c by mean
     average precision and the threshold by the median of the best F1; a model refitted on the training part scores the outer fold.
     """
-    spark = windows.sparkSession
-    grid = spark.createDataFrame(list(enumerate(cs)), "param_idx int, c double")
-    outer_folds = group_folds(windows, "subject", outer)
-    rows = windows.join(outer_folds, "subject")
-    each = rows.crossJoin(F.broadcast(spark.range(outer).select(F.col("id").cast("int").alias("held"))))
-    train = each.where("fold <> held").drop("fold")
-    inner_folds = None
-    for k in range(outer):
-        part = group_folds(train.where(F.col("held") == k), "subject", inner).withColumnRenamed("fold", "inner").withColumn("held", F.lit(k))
-        inner_folds = part if inner_folds is None else inner_folds.union(part)
+    rows = windows.join(F.broadcast(nested_folds(windows, "subject", outer, inner)), "subject").select("y", "fold", "inner", *features).cache()
+    tasks = [Task(k, i, j, c) for k in range(outer) for i in range(inner) for j, c in enumerate(cs)]
     by = ["held", "inner_held", "param_idx"]
-    task = F.concat_ws("/", *by).alias("task")
-    inside = train.join(inner_folds, ["held", "subject"]).crossJoin(F.broadcast(spark.range(inner).select(F.col("id").cast("int").alias("inner_held")))).crossJoin(F.broadcast(grid))
-    part = F.when(F.col("inner") == F.col("inner_held"), "score").otherwise("fit").alias("part")
-    scored = task_scores(inside.select(task, "c", part, "window_id", "subject", "y", *features), features).withColumn("t", F.split("task", "/"))
-    scored = scored.select(F.col("t")[0].cast("int").alias("fold"), F.col("t")[1].cast("int").alias("inner"), F.col("t")[2].cast("int").alias("param_idx"), "y", F.round("proba", 9).alias("proba")).cache()
-    points = metrics.curve(scored, "y", "proba", ["fold", "inner", "param_idx"])
-    ap = metrics.ranking(points, ["fold", "inner", "param_idx"]).select("fold", "inner", "param_idx", F.col("average_precision").alias("score"))
-    best = best_parameters(ap).join(grid, "param_idx")
-    cut = metrics.best_f1(points, ["fold", "inner", "param_idx"]).join(best.select("fold", "param_idx"), ["fold", "param_idx"]).groupBy("fold").agg(F.median("threshold").alias("threshold"))
-    chosen = best.join(cut, "fold").select(F.col("fold").alias("held"), "c", "threshold").cache()  # one row for each fold
-    final = each.join(F.broadcast(chosen), "held").select(F.col("held").cast("string").alias("task"), "c", F.when(F.col("fold") == F.col("held"), "score").otherwise("fit").alias("part"), "window_id", "subject", "y", *features)
-    out = task_scores(final, features).select(F.col("task").cast("int").alias("held"), "y", F.round("proba", 9).alias("proba")).join(F.broadcast(chosen), "held")
-    out = out.withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int")).cache()
+    points = metrics.curve(score_tasks(rows, features, tasks, fit_tasks(rows, features, tasks)), "y", "proba", by).cache()
+    ap = metrics.ranking(points, by).select(F.col("held").alias("fold"), "inner_held", "param_idx", F.col("average_precision").alias("score"))
+    best = best_parameters(ap).select(F.col("fold").alias("held"), "param_idx")
+    cut = metrics.best_f1(points, by).join(best, ["held", "param_idx"]).groupBy("held", "param_idx").agg(F.median("threshold").alias("threshold"))
+    chosen = [(r.held, float(cs[r.param_idx]), r.threshold, r.param_idx) for r in cut.collect()]  # one row for each outer fold
+    final = [Task(held, None, j, c) for held, c, _, j in chosen]
+    table = windows.sparkSession.createDataFrame([x[:3] for x in chosen], "held int, c double, threshold double")
+    out = score_tasks(rows, features, final, fit_tasks(rows, features, final)).join(F.broadcast(table), "held").withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int")).cache()
     counts = metrics.classification(metrics.confusion(out, "y", "pred", ["held"]), ["held"]).select("held", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), F.col("f1_1").alias("f1"))
     ranks = metrics.ranking(metrics.curve(out, "y", "proba", ["held"]), ["held"])
-    return chosen.join(counts, "held").join(ranks, "held").select(F.col("held").alias("fold"), "c", "threshold", "n", "roc_auc", "average_precision", "f1")
+    return table.join(counts, "held").join(ranks, "held").select(F.col("held").alias("fold"), "c", "threshold", "n", "roc_auc", "average_precision", "f1")

@@ -313,12 +313,10 @@ def _models(spark, sf_dir):
     rows = features(spark, sf_dir)
     medians = classifiers.class_medians(rows, "f", "y")
     counts = classifiers.threshold_counts(rows, "f", "y", medians)
-    out = None
-    for name, (metric, weight) in _VARIANTS.items():
-        scored = counts.select("i", "thr", F.round(classifiers.score_expression(metric, weight), 9).alias("score"))
-        part = scored.orderBy(F.desc("score"), "i").limit(1).withColumn("metric", F.lit(name))
-        out = part if out is None else out.union(part)
-    return rows, out.crossJoin(medians)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.round(classifiers.score_expression(*v), 9).alias("score")) for name, v in _VARIANTS.items()])).alias("s")
+    scored = counts.select("i", "thr", each).select("i", "thr", "s.*")
+    first = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("score"), "i"))  # one row for each step
+    return rows, scored.withColumn("first", first).where("first = 1").drop("first").crossJoin(medians)
 
 
 @query(_GRID + " SELECT metric, i, round(thr, 6) AS thr, round(score, 7) AS score FROM best")
@@ -347,3 +345,35 @@ def flagship_seizure_rate(spark, sf_dir):
     ev = events(spark, sf_dir)
     labelled = intervals.label_by_overlap(intervals.hop_starts(recordings(ev), "n", WINDOW, STRIDE), episodes(ev), ["user_id"], WINDOW, STRIDE)
     return _rounded(splits.subject_rates(labelled, "user_id", "label"), "rate")
+
+
+_RANKED = f"WITH r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('42-' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n, count(*) OVER () AS total FROM {_LABELS})"
+
+
+def _toxic(spark, sf_dir):
+    return utc(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"))
+
+
+@query(_RANKED + " SELECT doc_id, y FROM r WHERE r <= CASE WHEN total <= 200 THEN n ELSE round_even(200.0::DOUBLE * n / total, 0)::BIGINT END")
+def q80_proportional_sample(spark, sf_dir):
+    """A sample of 200 rows, each class by its share."""
+    return splits.proportional_sample(_toxic(spark, sf_dir), "y", "doc_id", 100, SEED).select("doc_id", "y")
+
+
+@query(_RANKED + " SELECT doc_id, y, unnest(generate_series(0, (120 - r) // n)) AS copy FROM r WHERE r <= 120")
+def q81_balance_to_target(spark, sf_dir):
+    """120 rows of each class, with repeats where a class has fewer."""
+    return splits.balance_to(_toxic(spark, sf_dir), "y", "doc_id", 120, SEED).select("doc_id", "y", "copy")
+
+
+@query(_RANKED + " SELECT doc_id, y FROM r WHERE r <= 120")
+def q82_balance_without_repeats(spark, sf_dir):
+    return splits.balance_to(_toxic(spark, sf_dir), "y", "doc_id", 120, SEED, replace=False).select("doc_id", "y")
+
+
+@query("""WITH h AS (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events)
+SELECT user_id, day, event_type FROM (SELECT DISTINCT user_id, day FROM h), (SELECT DISTINCT event_type FROM h) EXCEPT SELECT user_id, day, event_type FROM h""")
+def q83_missing_kinds(spark, sf_dir):
+    """The event types, in place of channels, that a user lacks on a day."""
+    held = utc(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").distinct()
+    return coverage.missing_channels(held, ["user_id", "day"], "event_type")

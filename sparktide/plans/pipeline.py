@@ -18,26 +18,33 @@ _SUBJECT = r"([^/]+)/[^/]+$"
 def build_windows(spark: SparkSession, folder: str, config: EngineConfig | None = None, required: tuple[str, ...] = STANDARD_CHANNELS) -> DataFrame:
     """(window_id, subject, file, start, y, signal) of folder/<subject>/*.edf and folder/<subject>/Seizures-list-*.txt.
 
-    Recordings without a required channel are left out; signals come in the order of the channels, at the configured rate. A window is positive if it overlaps a
+    Recordings that can't be read or lack a required channel are left out (see checked_recordings()); signals come in the order of the channels, at the configured rate. A window is positive if it overlaps a
     seizure of its own file, whose times count from the registration's start.
     """
     c = config or EngineConfig()
     window, stride = int(c.window_sec * c.sample_rate), int(c.stride_sec * c.sample_rate)
-    name = F.transform("channels", channels.normalised_name)
     files = recordings.discover(spark, folder)
-    fit = recordings.headers(files).where(channels.has_all(name, required)).select("path")
-    raw = recordings.signals(files.join(fit, "path", "left_semi"), c.sample_rate)
-    entries = F.zip_with(name, "signal", lambda n, s: F.struct(n.alias("key"), s.alias("value")))
-    held = raw.select(F.regexp_extract("path", _SUBJECT, 1).alias("subject"), F.element_at(F.split("path", "/"), -1).alias("file"), channels.reordered(entries, required).alias("all"))
-    held = held.withColumn("n", F.size(F.col("all")[0]).cast("long"))
+    good, _ = checked_recordings(files, required)
+    n = F.when(F.col("sfreq") == c.sample_rate, F.col("n_samples")).otherwise(F.bround(F.col("n_samples") * c.sample_rate / F.col("sfreq"))).cast("long")
+    held = good.select("path", F.regexp_extract("path", _SUBJECT, 1).alias("subject"), F.element_at(F.split("path", "/"), -1).alias("file"), n.alias("n"))
     lines = annotations.read_lines(spark, f"{folder}/*/Seizures-list-*.txt")
     found = annotations.blocks_exact(lines, "file", "line", "text").select(
         F.regexp_extract("file", _SUBJECT, 1).alias("subject"), F.col("file_name").alias("file"), clock.to_samples(F.col("start_s"), c.sample_rate).alias("begin"), clock.to_samples(F.col("end_s"), c.sample_rate).alias("end")
     )
     hops = intervals.label_by_overlap(intervals.hop_starts(held, "n", window, stride), found, ["subject", "file"], window, stride)
-    return hops.select(
-        F.xxhash64("subject", "file", "start").alias("window_id"), "subject", "file", "start", F.col("label").alias("y"), channels.window_slice(F.col("all"), F.col("start").cast("int"), window).alias("signal")
-    )
+    cuts = hops.groupBy("path").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("label").cast("int").alias("label"))).alias("cuts"))
+    rows = recordings.windows(files.select("path", "content").join(cuts, "path"), required, window, c.sample_rate)
+    named = rows.withColumn("subject", F.regexp_extract("path", _SUBJECT, 1)).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return named.select(F.xxhash64("subject", "file", "start").alias("window_id"), "subject", "file", "start", F.col("label").alias("y"), "signal")
+
+
+def checked_recordings(files: DataFrame, required: tuple[str, ...] = STANDARD_CHANNELS) -> tuple[DataFrame, DataFrame]:
+    """The headers of usable files, and the dead letters (path, reason): files that can't be read as EDF, and files without a required channel."""
+    heads = recordings.headers(files)
+    missing = F.array_except(F.array(*[F.lit(x) for x in required]), F.transform("channels", channels.normalised_name))
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, " ")))
+    judged = heads.withColumn("reason", reason)
+    return judged.where("reason IS NULL").drop("reason", "error"), judged.where("reason IS NOT NULL").select("path", "reason")
 
 
 def limit_classes(windows: DataFrame, max_negative: int | None = None, max_positive: int | None = None, negative_ratio: float | None = None, seed: int = 42) -> DataFrame:

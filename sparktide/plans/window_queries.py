@@ -62,15 +62,15 @@ def q25_mvar_closed_form(spark, sf_dir):
     return _closed(spark, sf_dir).select("vec_id", _r("c0"), _r("c1"), F.round("variation", 6).alias("variation"))
 
 
-_PATH = with_("emb") + """, c AS (SELECT vec_id, (p - 1) // 8 % 4 AS lag, (p - 1) // 4 % 2 AS i, (p - 1) // 2 % 2 AS j, (p - 1) % 2 AS k, v[p] AS c FROM (SELECT vec_id, v, unnest(generate_series(1, 32)) AS p FROM emb)),
+_PATH = with_("emb") + """, c AS (SELECT vec_id, (p - 1) // 16 % 4 AS lag, (p - 1) // 8 % 2 AS i, (p - 1) // 4 % 2 AS j, (p - 1) % 4 AS k, v[p] AS c FROM (SELECT vec_id, v, unnest(generate_series(1, 64)) AS p FROM emb)),
 a AS (SELECT vec_id, lag, i, j, m, sum(c * power(2.0::DOUBLE * m / 4 - 1, k)) AS a FROM c, (SELECT unnest(generate_series(0, 4)) AS m) GROUP BY ALL), n AS (SELECT x.vec_id, x.lag, x.m, y.m AS m2, sqrt(sum((x.a - y.a) * (x.a - y.a))) AS norm FROM a x JOIN a y ON x.vec_id = y.vec_id AND x.lag = y.lag AND x.i = y.i AND x.j = y.j AND x.m < y.m GROUP BY ALL),
 pv AS (SELECT vec_id, lag, max(norm) AS variation FROM n GROUP BY ALL)"""
 
 
 def _path(spark, sf_dir):
-    """The first 32 values of a window taken as coefficients: 4 lags of 2 x 2 matrices with 2 basis functions."""
-    at = windows(spark, sf_dir).select("vec_id", F.posexplode(F.slice("v", 1, 32)).alias("p", "c"))
-    at = at.select("vec_id", *[F.floor(F.col("p") / d % m).cast("int").alias(n) for n, d, m in (("lag", 8, 4), ("i", 4, 2), ("j", 2, 2), ("k", 1, 2))], "c")
+    """The 64 values of a window taken as coefficients: 4 lags of 2 x 2 matrices with 4 basis functions."""
+    at = windows(spark, sf_dir).select("vec_id", F.posexplode("v").alias("p", "c"))
+    at = at.select("vec_id", *[F.floor(F.col("p") / d % m).cast("int").alias(n) for n, d, m in (("lag", 16, 4), ("i", 8, 2), ("j", 4, 2), ("k", 1, 4))], "c")
     return mvar.path_variation(at, ["vec_id"], 5)
 
 
@@ -109,7 +109,8 @@ def q56_logistic_pipeline(spark, sf_dir):
     names = mvar.feature_names(_CONFIG)
     rows = mvar.extract(_signals(spark, sf_dir), "signal", _CONFIG, vector=True).select("vec_id", "subject", "y", *names)
     split = stratified_subject_split(subject_rates(rows, "subject", "y"), "subject", 0.4).select("subject", "split")
-    rows = classifiers.scaled(rows, names).join(split, "subject")
+    rows = rows.join(split, "subject").cache()
+    rows = classifiers.scaled(rows, names, rows.where("split = 'train'"))
     train = rows.where("split = 'train'")
     train = train.join(F.broadcast(balanced_weights(train, "y").select("y", "weight")), "y").cache()
     model = classifiers.logistic(train, names, "y", "weight")
@@ -125,12 +126,11 @@ def q57_channel_mean(spark, sf_dir):
 @query(with_("emb") + """, p AS (SELECT vec_id, a, i, v[a + i + 1] AS x FROM emb, (VALUES (0), (16), (32), (48)) s(a), (SELECT unnest(generate_series(0, 15)) AS i))
 SELECT vec_id, a AS first, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) AS std, round(regr_slope(x, i), 6) + 0.0 AS slope FROM p GROUP BY 1, 2""")
 def q58_interval_summary(spark, sf_dir):
-    out = None
+    parts = []
     for first in (0, 16, 32, 48):
         mean, std, slope = baselines.interval_statistics(F.col("v"), first, 16)
-        part = windows(spark, sf_dir).select("vec_id", F.lit(first).alias("first"), _r(mean, "mean"), F.round(std, 6).alias("std"), _r(slope, "slope"))
-        out = part if out is None else out.union(part)
-    return out
+        parts.append(F.struct(F.lit(first).alias("first"), _r(mean, "mean"), F.round(std, 6).alias("std"), _r(slope, "slope")))
+    return windows(spark, sf_dir).select("vec_id", F.explode(F.array(*parts)).alias("part")).select("vec_id", "part.*")
 
 
 @query()
@@ -160,8 +160,10 @@ def q72_shapelet_min_distance(spark, sf_dir):
 
 @query()
 def q73_neural_standin(spark, sf_dir):
-    model, data = baselines.network(windows(spark, sf_dir), "v", "y", 64)
-    return model.transform(data).select("vec_id", "y", vector_to_array("probability")[1].alias("proba"))
+    """A perceptron trained on one part of the subjects and applied to the other."""
+    rows = _held_out(windows(spark, sf_dir))
+    model, _ = baselines.network(rows.where("split = 'train'"), "v", "y", 64)
+    return model.transform(baselines.as_vector(rows.where("split = 'test'"), "v")).select("vec_id", "y", vector_to_array("probability")[1].alias("proba"))
 
 
 @query(with_("emb") + " SELECT vec_id, t::INTEGER AS t, c::INTEGER AS c, v[c * 16 + t + 1] AS x FROM emb, (SELECT unnest(generate_series(0, 15)) AS t), (VALUES (0), (1), (2), (3)) k(c)")
@@ -183,9 +185,9 @@ def q76_random_kernel_ridge(spark, sf_dir):
 
 @query()
 def q77_subject_threshold_model(spark, sf_dir):
-    """The threshold model fitted on all windows, and its subjects' metrics."""
-    rows = features(spark, sf_dir)
-    scored = classifiers.predict_threshold(rows, "f", classifiers.fit_threshold(rows, "f", "y"))
+    """The threshold model fitted on one part of the subjects, and the metrics of the others."""
+    rows = _held_out(features(spark, sf_dir))
+    scored = classifiers.predict_threshold(rows.where("split = 'test'"), "f", classifiers.fit_threshold(rows.where("split = 'train'"), "f", "y"))
     subjects = metrics.by_subject(scored, "subject", "y", "pred", "proba", "mean_proba")
     return metrics.classification(metrics.confusion(subjects, "y", "pred"))
 
@@ -231,12 +233,13 @@ def q79_baseline_methods(spark, sf_dir):
             scored = model.transform(baselines.as_vector(rows.where("split = 'test'"), "v")).withColumn("pred", F.col("prediction").cast("int"))
         else:
             if kind == "shapelets":
-                shapes = [[float(x) for x in s] for s in ([0.1, -0.1, 0.2, 0.0, -0.2], [0.2, 0.1, 0.0, -0.1, -0.2], [-0.2, 0.2, -0.2, 0.2, -0.2])]
+                rows = _held_out(windows(spark, sf_dir))
+                shapes = baselines.learn_shapelets(rows.where("split = 'train'"), "v", "y", "vec_id")
                 names = [f"d{k}" for k in range(len(shapes))]
-                rows = windows(spark, sf_dir).select("vec_id", "subject", "y", *[baselines.shapelet_distance(F.col("v"), s).alias(n) for n, s in zip(names, shapes, strict=True)])
+                rows = rows.select("vec_id", "split", "y", *[baselines.shapelet_distance(F.col("v"), s).alias(n) for n, s in zip(names, shapes, strict=True)])
             else:
                 rows, names = _interval_rows(spark, sf_dir)
-            rows = _held_out(rows)
+                rows = _held_out(rows)
             scored = baselines.forest(rows.where("split = 'train'"), names, "y", trees=20).transform(rows.where("split = 'test'")).withColumn("pred", F.col("prediction").cast("int"))
         return scored.agg(F.avg((F.col("pred") == F.col("y")).cast("int"))).first()[0]
 

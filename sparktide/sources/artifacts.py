@@ -21,11 +21,13 @@ def read_windows(spark: SparkSession, path: str, split: str | None = None, cache
 
 
 def manifest(windows: DataFrame, sample_rate: float, n_channels: int, window_sec: float = 2.0, stride_sec: float = 2.0, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """One row of counts and parameters of windows(subject, y, split, ...)."""
+    """One row of counts, shapes (windows, channels, samples) and parameters of windows(subject, y, split, ...); the windows of each subject are subject_index()."""
     counts = []
     for split in ("train", "test"):
         here = F.col("split") == split
         counts += [F.count_if(here).alias(f"n_{split}"), *[F.count_if(here & (F.col("y") == c)).alias(f"{split}_class_{c}") for c in (0, 1)], F.countDistinct(F.when(here, F.col("subject"))).alias(f"n_subjects_{split}")]
+    for split in ("train", "test"):
+        counts.append(F.array(F.count_if(F.col("split") == split), F.lit(n_channels).cast("long"), F.lit(round(window_sec * sample_rate)).cast("long")).alias(f"shape_{split}"))
     fixed = {"sample_rate": float(sample_rate), "n_channels": n_channels, "window_sec": window_sec, "stride_sec": stride_sec, "test_size": test_size, "random_seed": seed}
     return windows.agg(*counts).select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
 

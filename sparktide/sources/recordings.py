@@ -1,13 +1,16 @@
-"""EDF recordings: headers and signals from whole files, by Arrow batches."""
+"""EDF recordings: headers, signals and windows, by Arrow batches."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER = "path string, sfreq double, n_samples long, channels array<string>"
+HEADER = "path string, sfreq double, n_samples long, channels array<string>, error string"
+#: Windows that a decoder hands on at a time.
+BATCH = 128
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.edf") -> DataFrame:
@@ -29,48 +32,87 @@ def header(data: bytes) -> dict:
     }
 
 
+def _head(path: str) -> bytes:
+    """The header's bytes alone: 256, and 256 for each of the channels that these name."""
+    system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    with system.open_input_file(place) as file:
+        first = file.read(256)
+        return first + file.read(256 * int(first[252:256]))
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """(path, sfreq, n_samples, channels) of each file of discover(); annotation channels are left out."""
+    """(path, sfreq, n_samples, channels, error) of each file of discover(); annotation channels are left out.
+
+    Only the headers are read. n_samples counts the whole records that the file's length holds. A file that can't be read as EDF has an error and nulls.
+    """
 
     def run(batches):
         for pdf in batches:
             out = []
-            for path, data in zip(pdf["path"], pdf["head"], strict=True):
-                h = header(bytes(data))
-                keep = [k for k, x in enumerate(h["labels"]) if "annotations" not in x.lower()]
-                per = h["per_record"][keep[0]] if keep else 0
-                out.append((path, per / h["duration"], per * h["records"], [h["labels"][k] for k in keep]))
-            yield pd.DataFrame(out, columns=["path", "sfreq", "n_samples", "channels"])
-
-    head = files.select("path", F.substring("content", 1, 256 * 257).alias("head"))
-    return head.mapInPandas(run, HEADER)
+            for path, length in zip(pdf["path"], pdf["length"], strict=True):
+                try:
+                    h = header(_head(path))
+                    keep = [k for k, x in enumerate(h["labels"]) if "annotations" not in x.lower()]
+                    per, records = h["per_record"][keep[0]] if keep else 0, (length - h["start"]) // (2 * sum(h["per_record"]))
+                    out.append((path, per / h["duration"], per * records, [h["labels"][k] for k in keep], None))
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a file goes to the dead letters
+                    out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            frame = pd.DataFrame(out, columns=["path", "sfreq", "n_samples", "channels", "error"])
+            yield frame.astype({"n_samples": "Int64"})
+
+    return files.select("path", "length").mapInPandas(run, HEADER)
+
+
+def decoded(data: bytes, rate: float) -> tuple[list[str], list[np.ndarray]]:
+    """Names and physical values of every channel of a file but annotations, resampled to `rate` by cutting or padding the spectrum."""
+    h = header(data)
+    flat = np.frombuffer(data, "<i2", offset=h["start"])
+    grid = flat[: len(flat) // sum(h["per_record"]) * sum(h["per_record"])].reshape(-1, sum(h["per_record"]))
+    at = np.concatenate(([0], np.cumsum(h["per_record"])))
+    names, values = [], []
+    for k, name in enumerate(h["labels"]):
+        if "annotations" in name.lower():
+            continue
+        scale = (h["pmax"][k] - h["pmin"][k]) / (h["dmax"][k] - h["dmin"][k])
+        x = (grid[:, at[k] : at[k + 1]].ravel().astype(float) - h["dmin"][k]) * scale + h["pmin"][k]
+        names.append(name)
+        values.append(resample(x, h["per_record"][k] / h["duration"], rate).astype(np.float32))
+    return names, values
 
 
 def signals(files: DataFrame, rate: float = 256.0) -> DataFrame:
-    """(path, sfreq, channels, signal): physical values of every channel, resampled to `rate` by cutting or padding the spectrum."""
+    """(path, sfreq, channels, signal): the values of every channel at `rate`."""
 
     def run(batches):
         for pdf in batches:
-            out = []
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                h = header(bytes(data))
-                flat = np.frombuffer(data, "<i2", offset=h["start"])
-                grid = flat[: len(flat) // sum(h["per_record"]) * sum(h["per_record"])].reshape(-1, sum(h["per_record"]))
-                at = np.concatenate(([0], np.cumsum(h["per_record"])))
-                names, values = [], []
-                for k, name in enumerate(h["labels"]):
-                    if "annotations" in name.lower():
-                        continue
-                    scale = (h["pmax"][k] - h["pmin"][k]) / (h["dmax"][k] - h["dmin"][k])
-                    x = (grid[:, at[k] : at[k + 1]].ravel().astype(float) - h["dmin"][k]) * scale + h["pmin"][k]
-                    names.append(name)
-                    values.append(resample(x, h["per_record"][k] / h["duration"], rate).astype(np.float32).tolist())
-                out.append((path, rate, names, values))
-            yield pd.DataFrame(out, columns=["path", "sfreq", "channels", "signal"])
+                names, values = decoded(bytes(data), rate)
+                yield pd.DataFrame([(path, rate, names, [v.tolist() for v in values])], columns=["path", "sfreq", "channels", "signal"])
 
     return files.select("path", "content").mapInPandas(run, "path string, sfreq double, channels array<string>, signal array<array<float>>")
 
 
+def windows(cuts: DataFrame, order: tuple[str, ...], length: int, rate: float = 256.0) -> DataFrame:
+    """(path, start, label, signal) of cuts(path, content, cuts: array of struct(start, label)): `length` samples of the channels `order` from each start.
+
+    A recording is decoded once, in one task, and its windows leave it one by one, so that no row holds a recording beside a window. Of channels
+    of equal names, apart from upper case and the prefix 'EEG ', the last counts. Windows beyond the end are left out.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for path, data, starts in zip(pdf["path"], pdf["content"], pdf["cuts"], strict=True):
+                names, values = decoded(bytes(data), rate)
+                by_name = {n.replace("EEG ", "").replace("eeg ", "").strip().upper(): v for n, v in zip(names, values, strict=True)}
+                held = np.stack([by_name[n] for n in order])
+                fit = [(s["start"], s["label"]) for s in starts if s["start"] + length <= held.shape[1]]
+                for k in range(0, len(fit), BATCH):
+                    rows = [(path, a, y, [list(c) for c in held[:, a : a + length]]) for a, y in fit[k : k + BATCH]]
+                    yield pd.DataFrame(rows, columns=["path", "start", "label", "signal"])
+
+    return cuts.select("path", "content", "cuts").mapInPandas(run, "path string, start long, label int, signal array<array<float>>")
+
+
 def resample(x: np.ndarray, old: float, new: float) -> np.ndarray:
     if old == new or not len(x):
         return x

@@ -207,3 +207,64 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_medians_and_thresholds(spark):
+    """Exact medians by bins and threshold counts by places, against plain loops, with ties, nulls and one value alone."""
+    rng = np.random.default_rng(6)
+    for values in (rng.normal(size=301), np.round(rng.normal(size=200), 1), np.full(9, 2.5), np.concatenate([np.zeros(150), [1e9]])):
+        for flip in (1, -1):
+            y = rng.integers(0, 2, len(values))
+            x = values + flip * y * 0.5
+            rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)] + [(None, 0)], "f double, y int")
+            got = classifiers.class_medians(rows, "f", "y", bins=16).first()
+            assert (got.m0, got.m1) == pytest.approx((np.median(x[y == 0]), np.median(x[y == 1])))
+            medians = classifiers.class_medians(rows, "f", "y")
+            for r in classifiers.threshold_counts(rows, "f", "y", medians, 20).collect():
+                p = x > r.thr if got.ascending else x < r.thr
+                assert (r.tp, r.fp, r.fn, r.tn) == ((p & (y == 1)).sum(), (p & (y == 0)).sum(), (~p & (y == 1)).sum(), (~p & (y == 0)).sum())
+    empty = spark.createDataFrame([], "f double, y int")
+    assert classifiers.class_medians(empty, "f", "y").first()[:] == (None, None, False) and classifiers.threshold_counts(empty, "f", "y", classifiers.class_medians(empty, "f", "y")).count() == 0
+
+
+def test_scaling_ignores_test_rows(spark):
+    train = spark.createDataFrame([(1.0,), (3.0,)], "a double")
+    for other in (5.0, 500.0):
+        rows = train.union(spark.createDataFrame([(other,)], "a double"))
+        assert sorted(r.a for r in classifiers.scaled(rows, ["a"], train).collect())[:2] == [-1.0, 1.0]
+
+
+def test_nested_fits(spark):
+    """All tasks' models at once, against one fit after the other on each task's own rows."""
+    rng = np.random.default_rng(8)
+    x, subject = rng.normal(size=(240, 2)) * [1, 20], np.arange(240) % 12
+    y = (x[:, 0] + rng.normal(size=240) > 0).astype(int)
+    rows = spark.createDataFrame([(int(s), int(b), float(u), float(v)) for s, b, (u, v) in zip(subject, y, x, strict=True)], "subject long, y int, a double, b double")
+    folds = validation.nested_folds(rows, "subject", 3, 2)
+    held = {r.subject: (r.fold, r.inner) for r in folds.collect()}
+    assert all(inner[fold] == -1 and set(inner) == {-1, 0, 1} or len(set(inner)) == 2 for fold, inner in held.values())
+    tasks = [validation.Task(k, i, j, c) for k in range(3) for i in (0, 1, None) for j, c in enumerate((0.1, 1.0))]
+    joined = rows.join(folds, "subject").repartition(3)
+    for task, beta in zip(tasks, validation.fit_tasks(joined, ["a", "b"], tasks), strict=True):
+        own = np.array([held[s][0] != task.held and (task.inner is None or held[s][1][task.held] != task.inner) for s in subject])
+        n, p = own.sum(), y[own].sum()
+        w = np.where(y[own] == 1, n / (2 * p), n / (2 * (n - p))) ** 2
+        assert np.allclose(beta, validation.newton_logistic(x[own], y[own].astype(float), w, task.c), atol=1e-6)
+    result = validation.nested_cv(rows.withColumn("window_id", F.monotonically_increasing_id()), ["a", "b"], [0.1, 1.0]).collect()
+    assert sum(r.n for r in result) == 240 and all(r.roc_auc > 0.7 for r in result)
+
+
+def test_learned_shapelets(spark):
+    rng = np.random.default_rng(9)
+    bump, rows = np.array([0, 2, 4, 4, 4, 4, 2, 0.0]), []
+    for k in range(80):
+        v = rng.normal(size=48) * 0.1
+        if k % 2:
+            at = rng.integers(40)
+            v[at : at + 8] += bump
+        rows.append((k, k % 2, v.tolist()))
+    train = spark.createDataFrame(rows, "id long, y int, v array<double>")
+    shapes = baselines.learn_shapelets(train, "v", "y", "id")
+    scored = train.select("y", baselines.shapelet_distance(F.col("v"), shapes[0]).alias("d")).groupBy("y").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).orderBy("y").collect()
+    assert len(shapes) == 6 and (scored[0].lo > scored[1].hi or scored[1].lo > scored[0].hi or max(shapes[0]) > 1)
+    assert {"stsf", "timeseriesforest", "canonicalintervalforest"} <= set(baselines.METHODS)

@@ -5,6 +5,7 @@ import numpy as np
 from sparktide import __main__ as command
 from sparktide.config import EngineConfig
 from sparktide.plans import pipeline
+from sparktide.sources import recordings
 
 from .test_engine import edf
 
@@ -23,6 +24,12 @@ def test_pipeline(spark, tmp_path):
     windows = pipeline.build_windows(spark, str(tmp_path / "r"), config, ("FP1", "FP2"))
     got = windows.groupBy("subject").agg({"y": "sum", "*": "count"}).orderBy("subject").collect()
     assert [(r[0], r["sum(y)"], r["count(1)"]) for r in got] == [("PN00", 5, 20), ("PN01", 5, 20), ("PN02", 5, 20), ("PN03", 0, 20)]
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" in plan and "signal" not in "".join(x for x in plan.split("\n") if "Generate" in x) and "content" not in "".join(x for x in plan.split("\n") if "Generate" in x)
+    (tmp_path / "r" / "PN00" / "broken.edf").write_text("not a recording")
+    files = recordings.discover(spark, str(tmp_path / "r"))
+    good, bad = pipeline.checked_recordings(files, ("FP1", "FP2"))
+    assert good.count() == 4 and [r.reason.split(":")[0] for r in bad.collect()] == ["ValueError"] and pipeline.checked_recordings(files, ("FP1", "O2"))[1].count() == 5
     first = windows.first().signal
     assert len(first) == 2 and len(first[0]) == 64
     assert pipeline.build_windows(spark, str(tmp_path / "r"), config, ("FP1", "O2")).count() == 0
