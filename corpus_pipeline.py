@@ -13,14 +13,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null, or no letter) go; the rest get the language found where theirs is null."""
+    """Documents without a recognisable language (null, empty, or no letter) go; the rest get the language found where theirs is null.
+
+    Learned from the rows outside fold 0, null ids aside; repeated rows and very long texts stay whole; an empty table gives no rows; columns beyond those of documents go, in every stage.
+    """
     names, chances = language.train(docs.where(language.fold() != 0))
     found = language.identify(docs, names, chances, keep=COLUMNS).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, Jaccard similarity 0.8 or more) the one of the smallest id stays, once; rows without an id come last."""
+    """Of each group of linked documents (five-word shingles, Jaccard similarity 0.8 or more) the one of the smallest id stays, once; rows without an id come last.
+
+    Texts without words are one group; repeated rows stay once; very long texts are compared whole; an empty table gives no rows. Candidates come from op1's fingerprint links and from bands of
+    least hashes, which the wider reach of 0.8 needs (see the README).
+    """
     found = simhash.similar_documents(docs).where("first").select("doc_id", "th").distinct()
     own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
     kept = own.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("own") == F.col("th")), "left_semi")
@@ -38,7 +45,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 or more of a benchmark item's shingles go; rows are told apart by id and text, so that rows without an id and of equal ids are judged by themselves."""
+    """Documents that hold 0.8 or more of a benchmark item's shingles go; rows are told apart by id and text, so that rows without an id and of equal ids are judged by themselves.
+
+    Null and empty texts hold nothing and stay; repeated rows go or stay together; very long texts are searched whole; an empty table of documents or of items drops nothing.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
     items = decontaminate.contained_items(keyed.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     found = write_once(items.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
@@ -46,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text with begin and end, and the text decoded from them."""
+    """(doc_id, n_tokens, ids, decoded): the ids of each text with begin and end, and the text decoded from them; every row, as pieces.encode_decode() states for nulls and the like."""
     return pieces.encode_decode(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", "decoded")
 
 

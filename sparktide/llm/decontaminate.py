@@ -69,7 +69,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, c
     """(doc_id, item_id, n_shared, n_item, containment) for each text that holds at least that share of an item's distinct shingles.
 
     docs(doc_id, text, ...), items(item_id, text, ...). Null and empty texts match nothing; repeated rows of docs
-    give one result row; null item ids are left out; other columns are ignored. Items are expected to be small next to docs: an
+    give one result row; null item ids are left out; very long texts are searched whole; an empty table on either side gives no rows; other columns are ignored. Items are expected to be small next to docs: an
     item's own shingles meet in one group. Documents are never gathered.
     """
     own = write_once(item_shingles(items, shingle), "item-shingles")

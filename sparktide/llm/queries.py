@@ -16,41 +16,50 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their groups; see simhash.near_duplicates() for nulls, ties, repeats and the like."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without their quotes and with the message that each replies to; see conversations.link_quotations()."""
     return conversations.link_quotations(table(spark, sf_dir, "conversations"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds; see decontaminate.contained_items()."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases, labels and score of every document; see licenses.scan_licenses()."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by rules learned from the labels; see quality.judge()."""
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the token files; see token_files.token_files()."""
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; see token_counts.token_counts()."""
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated strings of 400 bytes, and the text that remains; see suffix_dedup.remove_repeats()."""
     return suffix_dedup.removal(table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them; see pieces.encode_decode()."""
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -58,6 +67,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of the rows outside fold 0; see language.train_and_identify()."""
     found = language.train_and_identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 

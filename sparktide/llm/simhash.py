@@ -166,9 +166,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int | None = None) ->
     """(a, b): fingerprints of the distinct column fp at 1 to distance differing bits; enough of them to connect what any such pairs connect.
 
     Values of the planned partitions are probed and each pair is verified inside the join. A fingerprint
-    in a bucket of more than `dense` (default: the size of the midpoint ball) would meet too many others there. Two such fingerprints are
+    that stands in a bucket of more than `dense` (default: the size of the midpoint ball), or would probe one, would meet too many others there. Two such fingerprints are
     instead joined through all points within distance/2 of each: they share a point exactly if they link
-    (distance is even), so each fingerprint costs a fixed number of rows and no group is paired with itself.
+    (distance is even), so each fingerprint costs a fixed number of rows, no group is paired with itself, and nothing probes a crowded bucket.
     """
     half = distance // 2
     if distance % 2:
@@ -179,7 +179,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int | None = None) ->
     crowded = write_once(data.groupBy("k", "v").count().where(F.col("count") > (dense or len(ball))).select("k", "v"), "crowded")
     flagged, found = fps.withColumn("dense", F.lit(False)), None
     if not crowded.isEmpty():
-        thick = write_once(data.join(crowded, ["k", "v"]).select("fp").distinct(), "dense")
+        probes = fps.select("fp", _keys(plan, True).alias("p")).select("fp", "p.*")
+        thick = write_once(probes.join(crowded, ["k", "v"]).select("fp").distinct(), "dense")
         flagged = fps.join(thick.withColumn("dense", F.lit(True)), "fp", "left").fillna(False, ["dense"])
         points = thick.select("fp", F.explode(F.transform(F.array(*map(F.lit, ball)), lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
         met = points.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
     Rows of equal fingerprint are one node; nodes at up to `distance` differing bits link; component_id is the
     smallest doc_id that a row reaches, its own included (null ids count only if a component has no other).
-    Rows without words share fingerprint zero. Repeated rows come back as often as they came. An empty table gives no rows; other columns are ignored.
+    Rows without words share fingerprint zero. Very long texts are hashed whole. Repeated rows come back as often as they came. An empty table gives no rows; other columns are ignored.
     """
     marks = write_once(fingerprints(docs, shingle), "fingerprints")
     fps = write_once(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
