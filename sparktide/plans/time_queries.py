@@ -144,21 +144,34 @@ def q59_annotation_lookahead(spark, sf_dir):
     return annotations.start_end_pairs(rows, ["user_id"], "line", "text").select("user_id", "line", "start_s", "end_s")
 
 
-@query("""
-WITH e AS (SELECT user_id, event_id, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s FROM events WHERE event_type = 'error')
-SELECT user_id, 'u' || event_id || '.edf' AS file_name, 72000 - 36000 + 0.0::DOUBLE AS reg_end_s, (CASE WHEN s >= 36000 THEN s - 36000 ELSE s + 50400 END)::DOUBLE AS start_s,
-       (CASE WHEN (s + 30) % 86400 >= 36000 THEN (s + 30) % 86400 - 36000 ELSE (s + 30) % 86400 + 50400 END)::DOUBLE AS end_s, 256.0::DOUBLE AS sample_rate FROM e""")
-def q60_annotation_blocks(spark, sf_dir):
-    """Each error event writes a whole block of a subject's annotation text."""
+def _block_lines(spark, sf_dir):
+    """The annotation text that each error event writes, line by line; an event is a file."""
     err = utc(spark, sf_dir, "events").where("event_type = 'error'").withColumn("s", clock.clock_seconds(F.date_format("ts", "HH.mm.ss")))
     stamp = lambda s: F.concat_ws(".", F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string"), (s % 60).cast("string"))
     lines = F.array(F.lit("Sampling Rate: 256 Hz"), F.concat(F.lit("File name: u"), F.col("event_id").cast("string"), F.lit(".edf")), F.lit("Registration start time: 10.00.00"), F.lit("Registration end time:  20.00.00"),
                     F.concat(F.lit("Seizure start time: "), stamp(F.col("s"))), F.concat(F.lit("Seizure end time: "), stamp((F.col("s") + 30) % 86400)))
-    rows = err.select("user_id", "event_id", F.posexplode(lines).alias("k", "text"))
-    found = annotations.blocks(rows, ["user_id"], ["event_id", "k"], "text")
+    return err.select("user_id", "event_id", F.posexplode(lines).alias("k", "text"))
+
+
+_BLOCKS = """
+WITH e AS (SELECT user_id, event_id, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s FROM events WHERE event_type = 'error')
+SELECT KEY, 'u' || event_id || '.edf' AS file_name, 72000 - 36000 + 0.0::DOUBLE AS reg_end_s, (CASE WHEN s >= 36000 THEN s - 36000 ELSE s + 50400 END)::DOUBLE AS start_s,
+       (CASE WHEN (s + 30) % 86400 >= 36000 THEN (s + 30) % 86400 - 36000 ELSE (s + 30) % 86400 + 50400 END)::DOUBLE AS end_s, 256.0::DOUBLE AS sample_rate FROM e"""
+
+
+@query(_BLOCKS.replace("KEY", "user_id"))
+def q60_annotation_blocks(spark, sf_dir):
+    """Each error event writes a whole block of a subject's annotation text."""
+    found = annotations.blocks(_block_lines(spark, sf_dir), ["user_id", "event_id"], ["k"], "text")
     return found.select("user_id", "file_name", "reg_end_s", "start_s", "end_s", "sample_rate")
 
 
+@query(_BLOCKS.replace("KEY", "event_id"))
+def q90_annotation_files(spark, sf_dir):
+    """The same texts by the parser for files whose blocks may be incomplete."""
+    return annotations.blocks_exact(_block_lines(spark, sf_dir).drop("user_id"), "event_id", "k", "text")
+
+
 @query("""
 SELECT user_id, event_type AS channel, count(*) AS n FROM events WHERE event_type NOT IN ('click') GROUP BY 1, 2""")
 def q61_channel_list_extract(spark, sf_dir):
@@ -195,8 +208,7 @@ def q64_valid_subject_semi(spark, sf_dir):
 
 @query(with_("ev", "epi") + f" SELECT user_id, count(*) AS n, sum(e - b)::BIGINT AS total, min(b) AS first_begin, arg_min(e, b) AS first_end FROM epi GROUP BY 1")
 def q65_file_metadata_nest(spark, sf_dir):
-    nested = annotations.nest(episodes(events(spark, sf_dir)), ["user_id"])
-    return nested.select("user_id", F.size("intervals").cast("long").alias("n"), F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"]).alias("total"), F.col("intervals")[0]["begin"].alias("first_begin"), F.col("intervals")[0]["end"].alias("first_end"))
+    return annotations.file_metadata(episodes(events(spark, sf_dir)), ["user_id"])
 
 
 @query(with_("ev") + " SELECT event_id, round_even(us / 1e6 * 256, 0)::BIGINT AS sample FROM ev")

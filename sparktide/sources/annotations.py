@@ -91,6 +91,12 @@ def channel_names(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return texts.select(*keys, F.explode(names).alias("channel")).where(~F.contains("channel", F.lit("EKG")) & ~F.col("channel").isin(*NOT_SIGNALS))
 
 
+def file_metadata(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, total, first_begin, first_end): number and length of a file's intervals, and the first of them, by sums alone."""
+    first = F.min(F.struct("begin", "end"))
+    return intervals.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("begin")).alias("total"), first["begin"].alias("first_begin"), first["end"].alias("first_end"))
+
+
 def nest(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, intervals): the intervals of a file as one sorted array; a file has a handful."""
     return intervals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("intervals"))
