@@ -20,7 +20,7 @@ DISTANCE = 4
 #: Hash functions of a band and bands of similar_documents(): a pair at 0.8 shares no band in 1 of 9,000 cases.
 BAND = 6
 BANDS = 30
-#: Members of a bucket up to which all its pairs are compared, and the members that all others meet beyond.
+#: Members of a bucket up to which all its pairs are compared, and the members that all others meet beyond, before crowded_links() looks for the rest.
 BUCKET = 32
 HUBS = 4
 #: Shingles whose hashes are looked at together.
@@ -238,11 +238,11 @@ def _bands(sets: list[np.ndarray]) -> list[list[int]]:
     return out
 
 
-def _candidates(nodes: DataFrame, bucket: int, hubs: int) -> DataFrame:
-    """(a, b), a < b: pairs of nodes(node, fp, bands) that may be similar, each once.
+def _candidates(nodes: DataFrame, bucket: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: pairs of nodes(node, fp, bands) that may be similar, each once; and (band, node) of the crowded buckets.
 
     Fingerprints at DISTANCE bits or fewer, by links(), and rows of equal fingerprint, each with the smallest of them; and nodes that share a band.
-    Of a band's bucket of more than `bucket` nodes each meets `hubs` of them, the same in all bands, so no group is paired with itself.
+    Of a band's bucket of more than `bucket` nodes, a crowded one, each meets `hubs` of them, the same in all bands, so no group is paired with itself.
     """
     fps = write_once(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fps")
     far = links(fps.select("fp"))
@@ -253,11 +253,49 @@ def _candidates(nodes: DataFrame, bucket: int, hubs: int) -> DataFrame:
     met = write_once(data.groupBy("band").agg(F.count("*").alias("n"), F.array(*[F.min(o)["node"] for o in order]).alias("hubs")).where("n > 1"), "met")
     some = data.join(met.where(F.col("n") <= bucket).select("band"), "band")
     small = some.alias("x").join(some.alias("y"), "band").where("x.node < y.node").select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
-    large = data.join(met.where(F.col("n") > bucket).select("band", "hubs"), "band").select(F.col("node").alias("x"), F.explode("hubs").alias("y"))
+    crowded = write_once(data.join(met.where(F.col("n") > bucket).select("band", "hubs"), "band"), "crowded-bands")
+    large = crowded.select(F.col("node").alias("x"), F.explode("hubs").alias("y"))
     every = far.union(near).union(small).union(large).where("x <> y")
     pairs = write_once(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     forget(fps, met)
-    return pairs
+    return pairs, crowded.select("band", "node")
+
+
+def crowded_links(crowded: DataFrame, roots: DataFrame, texts_of, similarity: float) -> DataFrame | None:
+    """(a, b): similar nodes of different components that share a crowded bucket; None if no bucket has two components.
+
+    crowded(band, node); roots(node, root): the components so far; texts_of: (node, s) of the nodes of a table(node), s the set as an array.
+    Sets of a similarity of 0.8 share one of the elements that come first in any order of all elements, a fifth of either set. In the order
+    by count these are a set's rarest ones, and one that a single node or component holds links nothing, so a group that is one component already
+    is never paired with itself. Nothing is capped: elements of equal count are told apart by value.
+    """
+    at = crowded.join(roots, "node")
+    mixed = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    between = write_once(at.join(mixed, "band").select("node", "root").distinct(), "between")
+    if between.isEmpty():
+        forget(between)
+        return None
+    held = write_once(texts_of(between.select("node")).join(between, "node").withColumn("size", F.size("s")), "between-sets")
+    every = held.select("node", F.explode("s").alias("e"))
+    shared = every.join(every.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
+    # of size - k + 1 elements, k the least overlap, those of a single node come first and need no row
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-6)) + 1 - (F.col("size") - F.size("es"))
+    prefix = held.select("node", "root", "size").join(shared, "node").where(first > 0).select("node", "root", "size", F.explode(F.slice("es", F.lit(1), first.cast("int"))).alias("f"))
+    prefixes = write_once(prefix.select("node", "root", "size", F.col("f.e").alias("e")), "prefixes")
+    keys = prefixes.join(prefixes.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("e"), "e")
+    other = keys.select("e", F.col("node").alias("b"), F.col("root").alias("r"), F.col("size").alias("z"))
+    near = (F.col("root") < F.col("r")) & (F.least("size", "z") >= F.greatest("size", "z") * F.lit(similarity - 1e-6))
+    pairs = write_once(keys.join(other, (keys.e == other.e) & near).select(F.col("node").alias("a"), "b").distinct(), "between-pairs")
+    found = write_once(_verified(pairs, held.select("node", "s"), similarity), "between-links")
+    forget(between, held, prefixes, pairs)
+    return found
+
+
+def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) whose sets in held(node, s) have a Jaccard similarity of `similarity` or more."""
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, hubs: int = HUBS) -> DataFrame:
@@ -265,7 +303,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Rows of equal shingle sets are one node; nodes whose sets have a Jaccard similarity of `similarity` or more link; component_id as in near_duplicates().
     first: whether the row has its component's smallest doc_id, and the smallest th of that id; true for one text of each component.
-    Candidates (see _candidates) are verified on the sets themselves. Null texts and texts without words are one empty set; repeated rows come back as
+    Candidates (see _candidates) are verified on the sets themselves; crowded_links() finds what the hubs of crowded buckets miss. Null texts and texts without words are one empty set; repeated rows come back as
     often as they came; an empty table gives no rows; other columns are ignored.
     """
 
@@ -286,16 +324,25 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("octets"))
     marks = write_once(rows.mapInArrow(of, "doc_id long, th long, node long, fp long, bands array<long>"), "marks")
     nodes = write_once(marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    pairs = _candidates(nodes, bucket, hubs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.th").alias("h"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "octets")
-    held = write_once(texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    edges = write_once(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+    places = nodes.select("node", F.col("at.doc_id").alias("id"), F.col("at.th").alias("h"))
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        texts = rows.join(places.join(ends, "node"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "octets")
+        return texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"])
+
+    def components(edges: DataFrame) -> DataFrame:
+        return nodes.select("node", "at").join(connected_components(edges), "node", "left").select("node", "at", F.coalesce("root", "node").alias("root"))
+
+    pairs, crowded = _candidates(nodes, bucket, hubs)
+    held = write_once(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    edges = write_once(_verified(pairs, held, similarity), "similar")
     forget(pairs, held)
-    rooted = nodes.select("node", "at").join(connected_components(edges), "node", "left").select("node", "at", F.coalesce("root", "node").alias("root"))
+    rooted = components(edges)
+    if not crowded.isEmpty():
+        more = crowded_links(crowded, rooted.select("node", "root"), sets_of, similarity)
+        if more is not None and not more.isEmpty():
+            rooted = components(edges.union(more))
+    forget(crowded)
     lows = rooted.groupBy("root").agg(F.min("at").alias("low"))
     found = marks.select("doc_id", "th", "node").join(rooted.join(lows, "root").select("node", "low"), "node")
     return found.select("doc_id", "th", F.col("low.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("th") == F.col("low.th"))).alias("first"))

@@ -117,6 +117,20 @@ def test_passages_of_short_words(spark):
     assert " ".join(many) not in got[1].text and got[1].text == want[1] and got[0].text == rows[0][1] and got[1].n_chars == len(want[1])
 
 
+def brute_components(rows):
+    """Counts of (doc_id, component_id) by the Jaccard similarity of five-word shingles, and the pairs between 0.8 and 0.9."""
+    sets = [{tuple(w[x : x + 5]) for x in range(max(1, len(w) - 4))} if w else set() for _, t in rows for w in [(t or "").lower().split()]]
+    root = list(range(len(rows)))
+    border = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                border += rows[a][0] is not None and len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b])
+                root = [root[b] if x == root[a] else x for x in root]
+    low = {k: min((i for (i, _), x in zip(rows, root) if x == k and i is not None), default=None) for k in root}
+    return Counter((i, low[x]) for (i, _), x in zip(rows, root)), border
+
+
 @pytest.mark.parametrize("bucket", [32, 2])
 def test_similar_documents(spark, bucket):
     r = random.Random(5)
@@ -129,16 +143,7 @@ def test_similar_documents(spark, bucket):
             for at in r.sample(range(150), j and r.randint(1, 6)):
                 words[at] = r.choice(vocabulary)
             rows.append((10 * k + j, " ".join(words)))
-    sets = [{tuple(w[x : x + 5]) for x in range(max(1, len(w) - 4))} if w else set() for _, t in rows for w in [(t or "").lower().split()]]
-    root = list(range(len(rows)))
-    border = 0
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                border += rows[a][0] is not None and len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b])
-                root = [root[b] if x == root[a] else x for x in root]
-    low = {k: min((i for (i, _), x in zip(rows, root) if x == k and i is not None), default=None) for k in root}
-    want = Counter((i, low[x]) for (i, _), x in zip(rows, root))
+    want, border = brute_components(rows)
     docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
     assert border > 20 and Counter((x.doc_id, x.component_id) for x in simhash.similar_documents(docs, bucket=bucket).collect()) == want
     if bucket > 2:
@@ -146,6 +151,26 @@ def test_similar_documents(spark, bucket):
         assert kept == {i for i, _ in want if i is None} | {c for i, c in want if i == c}
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """Chains of texts a few words apart, whose ends are not similar: one hub a bucket misses links, the search behind it finds them all."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abdeginorst") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for k in range(4):
+        words = [r.choice(vocabulary) for _ in range(60)] if k % 2 == 0 else list(words)
+        for j in range(40):
+            rows.append((100 * k + j, " ".join(words)))
+            words[r.randrange(60)] = r.choice(vocabulary)
+            if j % 13 == 12:
+                for at in r.sample(range(60), 4):
+                    words[at] = r.choice(vocabulary)
+    want, border = brute_components(rows)
+    find = lambda: Counter((x.doc_id, x.component_id) for x in simhash.similar_documents(documents(spark, rows), bucket=2, hubs=1).collect())
+    assert border > 40 and 4 < len({c for _, c in want}) < 40 and find() == want
+    monkeypatch.setattr(simhash, "crowded_links", lambda *a: None)
+    assert find() != want
+
+
 def test_rows_of_null_and_equal_ids(spark, tmp_path):
     r = random.Random(3)
     text = lambda n=40: " ".join("".join(r.choice("abdeginorst") for _ in range(6)) for _ in range(n))
