@@ -267,7 +267,8 @@ def crowded_links(crowded: DataFrame, roots: DataFrame, texts_of, similarity: fl
     crowded(band, node); roots(node, root): the components so far; texts_of: (node, s) of the nodes of a table(node), s the set as an array.
     Sets of a similarity of 0.8 share one of the elements that come first in any order of all elements, a fifth of either set. In the order
     by count these are a set's rarest ones, and one that a single node or component holds links nothing, so a group that is one component already
-    is never paired with itself. Nothing is capped: elements of equal count are told apart by value.
+    is never paired with itself. A pair meets only where both sets have enough elements left, from the shared one on, for the overlap that their two sizes need.
+    Nothing is capped: elements of equal count are told apart by value.
     """
     at = crowded.join(roots, "node")
     mixed = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
@@ -278,13 +279,14 @@ def crowded_links(crowded: DataFrame, roots: DataFrame, texts_of, similarity: fl
     held = write_once(texts_of(between.select("node")).join(between, "node").withColumn("size", F.size("s")), "between-sets")
     every = held.select("node", F.explode("s").alias("e"))
     shared = every.join(every.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
-    # of size - k + 1 elements, k the least overlap, those of a single node come first and need no row
-    first = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-6)) + 1 - (F.col("size") - F.size("es"))
-    prefix = held.select("node", "root", "size").join(shared, "node").where(first > 0).select("node", "root", "size", F.explode(F.slice("es", F.lit(1), first.cast("int"))).alias("f"))
-    prefixes = write_once(prefix.select("node", "root", "size", F.col("f.e").alias("e")), "prefixes")
+    # places from 0 in the order by count: elements of a single node come first and need no row; beyond size - k, k the least overlap with any set, nothing can be a pair's first shared element
+    before, last = F.col("size") - F.size("es"), F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-6))
+    prefix = held.select("node", "root", "size").join(shared, "node").where(last >= before).select("node", "root", "size", before.alias("before"), F.posexplode(F.slice("es", F.lit(1), (last - before + 1).cast("int"))).alias("place", "f"))
+    prefixes = write_once(prefix.select("node", "root", "size", (F.col("before") + F.col("place")).alias("at"), F.col("f.e").alias("e")), "prefixes")
     keys = prefixes.join(prefixes.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("e"), "e")
-    other = keys.select("e", F.col("node").alias("b"), F.col("root").alias("r"), F.col("size").alias("z"))
-    near = (F.col("root") < F.col("r")) & (F.least("size", "z") >= F.greatest("size", "z") * F.lit(similarity - 1e-6))
+    other = keys.select("e", F.col("node").alias("b"), F.col("root").alias("r"), F.col("size").alias("z"), F.col("at").alias("then"))
+    overlap = (F.col("size") + F.col("z")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    near = (F.col("root") < F.col("r")) & (F.col("size") - F.col("at") >= overlap) & (F.col("z") - F.col("then") >= overlap)
     pairs = write_once(keys.join(other, (keys.e == other.e) & near).select(F.col("node").alias("a"), "b").distinct(), "between-pairs")
     found = write_once(_verified(pairs, held.select("node", "s"), similarity), "between-links")
     forget(between, held, prefixes, pairs)
