@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktide.llm import conversations, decontaminate, language, licenses, pieces, quality, simhash, suffix_dedup, token_counts, token_files
+from sparktide.llm import conversations, decontaminate, language, licenses, pieces, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes
 from sparktide.llm.common import table
+from sparktide.llm.decontaminate import BROADCAST_ROWS
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,6 +75,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error and digests of every usable vector; see vector_codes.compress_vectors(). label_error is null where no error of the label is known."""
+    coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book for x in entry).encode()).hexdigest()
+    sums = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "own_label")
+    few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = coded.join(F.broadcast(sums) if few else sums, F.col("label").eqNullSafe(F.col("own_label")), "left")
+    return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -83,6 +96,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language": op10_language,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -140,6 +154,23 @@ a2 AS (SELECT text, n, {_times(f'xor(h, h // {1 << 29}::UHUGEINT)', p3)} AS h FR
 hashed AS (SELECT text, n, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM a2)"""
 
 
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """One CTE for each assignment and each set of codebooks."""
+    out = ["""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+           "x AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM k, range(4) AS t(p))",
+           "c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x QUALIFY e < 256)"]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, min((d, e)) AS best FROM (SELECT x.*, c{r}.e, list_sum(list_transform(list_zip(x.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+FROM x JOIN c{r} USING (p)) GROUP BY vec_id, label, p, v)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (SELECT p, e, list(m::BIGINT ORDER BY i) AS v FROM (SELECT p, best[2] AS e, i, floor(sum(v[i]) / count(*)) AS m FROM a{r}, range(1, 1 + (SELECT max(len(v)) FROM x)) AS t(i) GROUP BY ALL) GROUP BY p, e)""")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (p, e))")
+    out.append(f"r AS (SELECT vec_id, label, string_agg(lpad(lower(hex(best[2])), 2, '0'), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)")
+    out.append(f"h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})")
+    return f"WITH {', '.join(out)}\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM r, h"
+
+
 ORACLE_SQL = {
     "op1_simhash": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
@@ -195,4 +226,5 @@ whole AS (SELECT id, x, h, regexp_replace(regexp_replace(h, '^([89AB].)+', ''),
 kept AS (SELECT id, string_agg(h, '' ORDER BY x) AS h, decode(unhex(string_agg(c, '' ORDER BY x))) AS text FROM whole GROUP BY id),
 lost AS (SELECT id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY id)
 SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, kept.text FROM d JOIN kept USING (id) LEFT JOIN lost USING (id)""",
+    "op13_vector_codes": _vector_codes_sql(),
 }
