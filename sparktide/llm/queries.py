@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktide.llm import conversations, decontaminate, language, licenses, pieces, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes
+from sparktide.llm import conversations, decontaminate, language, licenses, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes
 from sparktide.llm.common import table
 from sparktide.llm.decontaminate import BROADCAST_ROWS
 
@@ -75,6 +75,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, longest run and digests of the runs of words of every document, some with a stretch that repeats; see periodic_runs.find_runs()."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), periodic_runs.words_of(F.col("text"))).alias("words"))
+    found = periodic_runs.find_runs(words)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("start"), (-r.period).alias("period"))))
+    each = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"))
+    longest = [(-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period")]
+    exponent = F.expr("-(1000 * top.length) div top.period").alias("exponent_milli")
+    return each.select("doc_id", "n_runs", *longest, exponent, "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code, error and digests of every usable vector; see vector_codes.compress_vectors(). label_error is null where no error of the label is known."""
     coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
@@ -96,6 +109,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language": op10_language,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
 
