@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktide.llm import conversations, decontaminate, language, licenses, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes
+from sparktide.llm import conversations, decontaminate, language, licenses, periodic_runs, personal_data, pieces, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes
 from sparktide.llm.common import table
 from sparktide.llm.decontaminate import BROADCAST_ROWS
 
@@ -75,6 +75,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and all spans of personal data of every document, counts of the base ones; see personal_data.find_personal_data()."""
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal_data.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number, longest run and digests of the runs of words of every document, some with a stretch that repeats; see periodic_runs.find_runs()."""
     docs = table(spark, sf_dir, "documents")
@@ -109,6 +118,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language": op10_language,
+    "op11_personal_data": op11_personal_data,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
