@@ -1,7 +1,9 @@
-"""Baseline classifiers over windows: random kernels, interval statistics, shapelets and networks."""
+"""Baseline classifiers over windows: shapelets, a perceptron, and the dispatch to kernels, interval forests and networks."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -11,10 +13,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktide.operators import interval_forests, kernels, networks
 from sparktide.operators.splits import draw
 
-KERNEL = 9
-
 
 def kernel_ppv(series: Column, weights: list[float], bias: float = 0.0) -> Column:
     """The share of positive values in the convolution of an array with a kernel."""
@@ -78,67 +79,6 @@ def channel_mean(matrix: Column, n_channels: int, n_samples: int) -> Column:
     return F.transform(at, lambda t: sum((F.get(matrix, t + c * n_samples) for c in range(n_channels)), F.lit(0.0)) / n_channels)
 
 
-def random_kernel_features(windows: DataFrame, flat: str, n_channels: int, kernels: int = 200, seed: int = 42) -> DataFrame:
-    """Adds features, the positive shares of random kernels (weights -1 and 2, random dilation, channel and bias), by Arrow batches."""
-    rng = np.random.default_rng(seed)
-    plan = [(rng.permutation([2.0] * 3 + [-1.0] * 6), rng.random(), rng.integers(n_channels), rng.normal()) for _ in range(kernels)]
-
-    @F.pandas_udf("array<double>")
-    def run(column: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, float).reshape(n_channels, -1) for v in column])
-        out = np.empty((len(x), kernels))
-        for j, (w, u, c, bias) in enumerate(plan):
-            dilation = int(2 ** (u * np.log2(max(1, (x.shape[2] - 1) // (KERNEL - 1)))))
-            reach = dilation * (KERNEL - 1)
-            padded = np.pad(x[:, c], ((0, 0), (reach // 2, reach - reach // 2)))
-            conv = sum(w[k] * padded[:, k * dilation : k * dilation + x.shape[2]] for k in range(KERNEL))
-            out[:, j] = (conv > bias).mean(axis=1)
-        return pd.Series(list(out))
-
-    return windows.withColumn("features", run(flat))
-
-
-def ridge_classifier(rows: DataFrame, label: str, alphas=tuple(np.logspace(-3, 3, 10))) -> tuple[np.ndarray, float]:
-    """(weights with intercept, alpha) for rows(features array, label): Gram sums are added up by the executors, alpha is chosen on every fifth row."""
-
-    def grams(batches):
-        sums: dict[bool, np.ndarray] = {}
-        for pdf in batches:
-            for held in (False, True):
-                part = pdf[pdf["held"] == held]
-                if len(part):
-                    z = np.column_stack([np.stack(part["features"].to_numpy()), np.ones(len(part)), 2.0 * part["y"].to_numpy() - 1])
-                    sums[held] = sums.get(held, 0) + z.T @ z
-        for held, g in sums.items():
-            i, j = np.indices(g.shape)
-            yield pd.DataFrame({"held": held, "i": i.ravel(), "j": j.ravel(), "g": g.ravel()})
-
-    held = F.pmod(F.xxhash64("features"), F.lit(5)) == 0
-    total = rows.select("features", F.col(label).alias("y"), held.alias("held")).mapInPandas(grams, "held boolean, i long, j long, g double").groupBy("held", "i", "j").agg(F.sum("g").alias("g")).toPandas()
-    n = int(total["i"].max()) + 1
-    parts = {}
-    for h in (False, True):
-        parts[h] = np.zeros((n, n))
-        own = total[total["held"] == h]
-        parts[h][own["i"], own["j"]] = own["g"]
-
-    def solve(g: np.ndarray, alpha: float) -> np.ndarray:
-        return np.linalg.solve(g[:-1, :-1] + alpha * np.diag([*[1.0] * (n - 2), 1e-9]), g[:-1, -1])
-
-    def loss(w: np.ndarray, g: np.ndarray) -> float:
-        v = np.append(w, -1.0)
-        return float(v @ g @ v)
-
-    alpha = min(alphas, key=lambda a: loss(solve(parts[False], a), parts[True]))
-    return solve(parts[False] + parts[True], alpha), float(alpha)
-
-
-def score_ridge(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    w = F.array(*[F.lit(float(x)) for x in weights[:-1]])
-    value = F.aggregate(F.zip_with("features", w, lambda a, b: a * b), F.lit(float(weights[-1])), lambda a, x: a + x)
-    return rows.withColumn("margin", value).withColumn("pred", (F.col("margin") > 0).cast("int"))
-
-
 def forest(rows: DataFrame, features: list[str], label: str, trees: int = 50, seed: int = 42):
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="vec"), RandomForestClassifier(featuresCol="vec", labelCol=label, numTrees=trees, seed=seed)]).fit(rows)
 
@@ -148,14 +88,66 @@ def as_vector(rows: DataFrame, flat: str) -> DataFrame:
 
 
 def network(rows: DataFrame, flat: str, label: str, inputs: int, hidden: int = 16, seed: int = 42):
-    """A perceptron on the samples of a window, in place of convolutional and recurrent networks."""
+    """A perceptron on the samples of a window."""
     data = as_vector(rows, flat)
     model = MultilayerPerceptronClassifier(featuresCol="vec", labelCol=label, layers=[inputs, hidden, 2], maxIter=50, seed=seed).fit(data)
     return model, data
 
 
 #: Names of the methods, aliases included.
-METHODS = {"rocket": "random_kernels", "minirocket": "random_kernels", "multirocket": "random_kernels", "arsenal": "random_kernels", "tsf": "intervals", "timeseriesforest": "intervals", "stsf": "intervals", "stsforest": "intervals", "canonicalintervalforest": "intervals", "cif": "intervals", "drcif": "intervals", "shapelet": "shapelets", "shapelettransformclassifier": "shapelets", "cnn": "network", "rnn": "network", "timecnn": "network", "timernn": "network"}
+METHODS = {
+    "rocket": "kernels", "multirocket": "kernels", "minirocket": "kernel_shares", "arsenal": "kernel_votes", "tsf": "random_intervals", "timeseriesforest": "random_intervals", "stsf": "supervised_intervals",
+    "stsforest": "supervised_intervals", "cif": "canonical_intervals", "canonicalintervalforest": "canonical_intervals", "drcif": "canonical_views", "drcanonicalintervalforest": "canonical_views",
+    "shapelet": "shapelets", "shapelettransformclassifier": "shapelets", "cnn": "conv", "timecnn": "conv", "rnn": "lstm", "timernn": "lstm", "perceptron": "perceptron",
+}
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How much each method takes on."""
+
+    kernel_features: int = 504
+    members: int = 3
+    trees: int = 50
+    depth: int = 6
+    epochs: int = 10
+    batches: int = 4
+    rate: float = 0.02
+
+
+def predict(kind: str, train: DataFrame, test: DataFrame, flat: str, label: str, key: str, channels: int, samples: int, sizes: Sizes | None = None, seed: int = 42) -> DataFrame:
+    """test with pred (0 or 1) by a method of METHODS' values, trained on train(key, flat channel-major array, label 0 or 1)."""
+    z = sizes or Sizes()
+    if kind in ("conv", "lstm"):
+        return networks.fit_network(train, flat, label, key, channels, kind, z.epochs, z.batches, z.rate, seed).score(test, flat)
+    if kind == "perceptron":
+        model, _ = network(train, flat, label, channels * samples, seed=seed)
+        return model.transform(as_vector(test, flat)).withColumn("pred", F.col("prediction").cast("int"))
+    if kind == "shapelets":
+        shapes = learn_shapelets(train, flat, label, key, seed=seed)
+        names = [f"__d{k}" for k in range(len(shapes))]
+        add = lambda rows: rows.select("*", *[shapelet_distance(F.col(flat), s).alias(n) for n, s in zip(names, shapes, strict=True)])
+        return forest(add(train), names, label, z.trees, seed).transform(add(test)).withColumn("pred", F.col("prediction").cast("int"))
+    if kind in ("kernels", "kernel_shares", "kernel_votes"):
+        votes, pools = [], ("share",) if kind == "kernel_shares" else kernels.POOLS
+        out = test
+        for member in range(z.members if kind == "kernel_votes" else 1):
+            fitted = kernels.fit_biases(train, flat, key, channels, kernels.plan_kernels(channels, samples, z.kernel_features // len(pools), seed + member), seed=seed + member)
+            model = kernels.fit_ridge(kernels.transform(train, flat, channels, fitted, pools), label)
+            out = model.score(kernels.transform(out, flat, channels, fitted, pools)).withColumnRenamed("pred", f"__v{member}").drop("features", "margin")
+            votes.append(F.col(f"__v{member}"))
+        return out.withColumn("pred", (2 * sum(votes, F.lit(0)) > len(votes)).cast("int")).drop(*[f"__v{k}" for k in range(len(votes))])
+    rows = interval_forests.labelled(train, flat, label)
+    if kind == "random_intervals":
+        specs = interval_forests.random_intervals(z.trees, samples, seed)
+    elif kind == "supervised_intervals":
+        rows = rows.persist()
+        specs = interval_forests.supervised_intervals(rows, z.trees, channels, samples, seed)
+    elif kind in ("canonical_intervals", "canonical_views"):
+        specs = interval_forests.canonical_intervals(z.trees, channels, samples, ("values",) if kind == "canonical_intervals" else tuple(interval_forests.VIEWS), seed=seed)
+    else:
+        raise ValueError(f"unknown method {kind}")
+    return interval_forests.grow_forest(rows, specs, channels, z.depth).score(test, flat)
 
 
 def run_methods(names: list[str], train, spark) -> DataFrame:

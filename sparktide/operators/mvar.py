@@ -7,6 +7,7 @@ in Arrow batches of whole windows, a narrow map without a shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,20 +52,41 @@ def basis_matrix(t: np.ndarray, n_basis: int, kind: str, degree: int = 3) -> np.
     return values[:, :n_basis]
 
 
+@lru_cache(maxsize=64)
+def _basis(n: int, n_basis: int, kind: str) -> np.ndarray:
+    return basis_matrix(np.linspace(0, 1, n), n_basis, kind)
+
+
+@lru_cache(maxsize=64)
+def _differences(times: int, n_basis: int, kind: str) -> np.ndarray:
+    """The basis' difference between any two times."""
+    phi = _basis(times, n_basis, kind)
+    i, j = np.triu_indices(times, 1)
+    return phi[i] - phi[j]
+
+
+def _standardised(signal: np.ndarray) -> np.ndarray:
+    """(samples x channels), by each channel's population deviation, one of zero staying as it is."""
+    z = signal.T if signal.shape[0] < signal.shape[1] else signal
+    sd = z.std(axis=0)
+    return (z - z.mean(axis=0)) / np.where(sd == 0, 1, sd)
+
+
+def _design(z: np.ndarray, phi: np.ndarray, order: int, first: int, end: int) -> np.ndarray:
+    """Rows [first, end) of the design: by lag, channel and basis function."""
+    lagged = np.stack([z[first - j : end - j] for j in range(1, order + 1)], axis=1)
+    return np.einsum("tjc,tk->tjck", lagged, phi[first:end]).reshape(end - first, order * z.shape[1] * phi.shape[1])
+
+
 def fit_window(signal: np.ndarray, c: MvarConfig) -> np.ndarray:
     """Ridge coefficients (order x channels out x channels in x n_basis) of one window (channels x samples; transposed if it is taller than wide).
 
     Channels are standardised by their population deviation, one of zero staying as it is. All channels share one
     factorisation, of the smaller of the two Gram matrices.
     """
-    z = signal.T if signal.shape[0] < signal.shape[1] else signal
+    z = _standardised(signal)
     n, p = z.shape
-    sd = z.std(axis=0)
-    z = (z - z.mean(axis=0)) / np.where(sd == 0, 1, sd)
-    phi = basis_matrix(np.linspace(0, 1, n), c.n_basis, c.basis)[c.order :]
-    lagged = np.stack([z[c.order - j : n - j] for j in range(1, c.order + 1)], axis=1)
-    x = np.einsum("tjc,tk->tjck", lagged, phi).reshape(n - c.order, -1)
-    y = z[c.order :]
+    x, y = _design(z, _basis(n, c.n_basis, c.basis), c.order, c.order, n), z[c.order :]
     if c.regularization == 0:
         w = np.linalg.lstsq(x, y, rcond=None)[0]
     elif x.shape[1] <= x.shape[0]:
@@ -74,14 +96,44 @@ def fit_window(signal: np.ndarray, c: MvarConfig) -> np.ndarray:
     return w.reshape(c.order, p, c.n_basis, p).transpose(0, 3, 1, 2)
 
 
+def fit_grid(signal: np.ndarray, configs: list[MvarConfig]) -> list[np.ndarray]:
+    """fit_window() for each configuration, with shared work: the Gram matrix of the largest order serves all orders, as its leading block and the few rows that a smaller order has before it;
+    one eigendecomposition serves all penalties. Where the design has more columns than rows, that of its rows' products serves instead."""
+    z = _standardised(signal)
+    n, p = z.shape
+    out: list[np.ndarray | None] = [None] * len(configs)
+    for kind, k in dict.fromkeys((c.basis, c.n_basis) for c in configs):
+        here = [i for i, c in enumerate(configs) if (c.basis, c.n_basis) == (kind, k)]
+        most, phi = max(configs[i].order for i in here), _basis(n, k, kind)
+        whole = _design(z, phi, most, most, n)
+        gram = cross = None
+        for order in dict.fromkeys(configs[i].order for i in here):
+            width, own = order * p * k, [i for i in here if configs[i].order == order]
+            early, late = _design(z, phi, order, order, most), whole[:, :width]
+            if width <= n - order:
+                if gram is None:
+                    gram, cross = whole.T @ whole, whole.T @ z[most:]
+                values, vectors = np.linalg.eigh(gram[:width, :width] + early.T @ early)
+                left, right = vectors, vectors.T @ (cross[:width] + early.T @ z[order:most])
+            else:
+                x = np.concatenate([early, late])
+                values, vectors = np.linalg.eigh(x @ x.T)
+                left, right = x.T @ vectors, vectors.T @ z[order:]
+            for i in own:
+                c = configs[i]
+                if c.regularization == 0:
+                    out[i] = fit_window(signal, c)
+                else:
+                    out[i] = (left @ (right / (np.maximum(values, 0) + c.regularization)[:, None])).reshape(order, p, k, p).transpose(0, 3, 1, 2)
+    return out
+
+
 def lag_variation(coefficients: np.ndarray, c: MvarConfig, norm: str | None = None) -> np.ndarray:
     """For each lag the largest norm of the difference of two of its matrices along n_time_points times.
 
     The Frobenius norm of a difference is a quadratic form of the basis' difference with the Gram matrix of the coefficients, so no matrix is built for it.
     """
-    phi = basis_matrix(np.linspace(0, 1, c.n_time_points), c.n_basis, c.basis)
-    i, j = np.triu_indices(c.n_time_points, 1)
-    delta = phi[i] - phi[j]
+    delta = _differences(c.n_time_points, c.n_basis, c.basis)
     if (norm or c.norm) not in ("fro", "spectral", "operator"):
         raise ValueError(f"unknown norm {norm or c.norm}")
     gram = np.einsum("labk,labm->lkm", coefficients, coefficients)
@@ -114,7 +166,11 @@ def feature_names(c: MvarConfig, per_lag: bool = False) -> list[str]:
 
 def vector_feature(signal: np.ndarray, c: MvarConfig, per_lag: bool = False) -> list[float]:
     """Largest, mean and population deviation over the counted lags, for both norms; the lags' own values if per_lag."""
-    w, lags = fit_window(signal, c), list(c.lags())
+    return coefficient_features(fit_window(signal, c), c, per_lag)
+
+
+def coefficient_features(w: np.ndarray, c: MvarConfig, per_lag: bool = False) -> list[float]:
+    lags = list(c.lags())
     fro, spec = lag_variation(w, c, "fro")[lags], lag_variation(w, c, "spectral")[lags]
     stats = [f(v) if len(v) else 0.0 for v in (fro, spec) for f in (np.max, np.mean, np.std)]
     return [float(x) for x in (*stats, *(fro if per_lag else ()))]
@@ -132,10 +188,28 @@ def extract(windows: DataFrame, signal: str, c: MvarConfig, vector: bool = False
             out.append(vector_feature(m, c, per_lag) if vector else [scalar_feature(m, c)])
         return pd.DataFrame(out, columns=names, dtype=float)
 
+    return spread_out(windows).withColumn("__f", run(signal)).select("*", "__f.*").drop("__f")
+
+
+def spread_out(windows: DataFrame) -> DataFrame:
+    """The windows in as many partitions as there are cores, where they come in fewer: they cost far more than their move."""
     cores = windows.sparkSession.sparkContext.defaultParallelism
-    if windows.rdd.getNumPartitions() < cores:  # windows cost far more than their move
-        windows = windows.repartition(cores)
-    return windows.withColumn("__f", run(signal)).select("*", "__f.*").drop("__f")
+    return windows.repartition(cores) if windows.rdd.getNumPartitions() < cores else windows
+
+
+def extract_grid(windows: DataFrame, signal: str, configs: list[MvarConfig]) -> tuple[DataFrame, list[str]]:
+    """Adds the columns of feature_names() for each configuration, named name_ck for the k-th, and returns their names in that order; each window is read once."""
+    names = [f"{name}_c{k}" for k in range(len(configs)) for name in feature_names(configs[0])]
+
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
+    def run(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for value in column:
+            fits = fit_grid(np.stack([np.asarray(row, float) for row in value]), configs)
+            out.append([x for w, c in zip(fits, configs, strict=True) for x in coefficient_features(w, c)])
+        return pd.DataFrame(out, columns=names, dtype=float)
+
+    return spread_out(windows).withColumn("__f", run(signal)).select("*", "__f.*").drop("__f"), names
 
 
 # The relational form.

@@ -9,13 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparktide.operators import metrics
-from sparktide.operators.splits import greedy_group_folds
+from sparktide.operators.mvar import MvarConfig, extract_grid
+from sparktide.operators.splits import random_rank
 
-#: Subjects whose counts the driver deals to folds.
-MAX_SUBJECTS = 1_000_000
+#: Rows up to which the table of dealt ranks is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_PIECES = 100_000
 FULL_GRID = {"C": [0.1, 1.0], "mvar_order": [2, 3], "n_basis": [5, 10], "regularization": [0.1, 1.0]}
 
 
@@ -39,18 +39,54 @@ def best_parameters(inner: DataFrame) -> DataFrame:
     return mean.withColumn("__r", first).where("__r = 1").drop("__r")
 
 
-def nested_folds(rows: DataFrame, subject: str, outer: int, inner: int) -> DataFrame:
-    """(subject, fold, inner): the outer fold of each subject, and its inner fold among the training subjects of each outer fold (-1 in its own).
+def deal_pieces(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(n, first, end, cycle) for a histogram (n, groups of n rows): of the groups of n rows, in some order, those of ranks [first, end) go to the folds of `cycle` in turn.
 
-    The greedy deal is sequential by nature: the subjects' counts, at most MAX_SUBJECTS, are dealt by the driver; more raise ValueError.
+    It is the deal of the largest group to the lightest fold, and so on, without a step for each group: of equal groups a fold takes one at each of the loads load, load + n, load + 2n, ..., so the deal
+    merges these sequences by (load, fold), and folds join the turn where their first load is reached.
+    """
+    load, out = [0] * folds, []
+    for n, left in sorted(histogram, reverse=True):
+        first, levels = 0, sorted({x // n for x in load})
+        for k, level in enumerate(levels):
+            cycle = sorted((j for j in range(folds) if load[j] // n <= level), key=lambda j: (load[j] % n, j))
+            taken = left if k + 1 == len(levels) else min(left, (levels[k + 1] - level) * len(cycle))
+            if taken:
+                out.append((n, first, first + taken, cycle))
+                for place, j in enumerate(cycle):
+                    load[j] += n * (taken // len(cycle) + (place < taken % len(cycle)))
+            first, left = first + taken, left - taken
+            if not left:
+                break
+    return out
+
+
+def group_folds(counts: DataFrame, group: str, folds: int, by: str | None = None, seed: int = 42) -> DataFrame:
+    """Adds fold to counts(group, n, ...): the largest group to the lightest fold so far, and so on, the first of equal folds; equal groups in a random order, each `by` dealt for itself.
+
+    Groups are ranked among those of equal size in slices; the driver deals the histogram of sizes, whose length grows with the square root of the rows at most, and not the groups. A null group is one of its own.
     """
-    counts = [(r[0], r[1]) for r in rows.groupBy(subject).count().limit(MAX_SUBJECTS + 1).collect()]
-    if len(counts) > MAX_SUBJECTS:
-        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    dealt = greedy_group_folds(counts, outer)
-    parts = [greedy_group_folds([x for x in counts if dealt[x[0]] != k], inner) for k in range(outer)]
-    out = [(s, dealt[s], [part.get(s, -1) for part in parts]) for s, _ in counts]
-    return rows.sparkSession.createDataFrame(out, T.StructType([rows.schema[subject], T.StructField("fold", T.IntegerType()), T.StructField("inner", T.ArrayType(T.IntegerType()))]))
+    keys = [by] if by else []
+    ranked = random_rank(counts.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))), [*keys, "n"], "__key", seed).drop("__key")
+    histograms: dict[object, list[tuple[int, int]]] = {}
+    for r in counts.groupBy(*keys, "n").agg(F.count("*").alias("groups")).collect():
+        histograms.setdefault(r[by] if by else None, []).append((r["n"], r["groups"]))
+    pieces = [(*([b] if by else []), *piece) for b, histogram in histograms.items() for piece in deal_pieces(histogram, folds)]
+    kinds = [*(f"{by} {counts.schema[by].dataType.simpleString()}" for _ in keys), "n long, __first long, __end long, __cycle array<int>"]
+    table = counts.sparkSession.createDataFrame(pieces, ", ".join(kinds))
+    joined = ranked.join(F.broadcast(table) if len(pieces) <= BROADCAST_PIECES else table, [*keys, "n"]).where("rank > __first AND rank <= __end")
+    turn = ((F.col("rank") - 1 - F.col("__first")) % F.size("__cycle")).cast("int")
+    return joined.withColumn("fold", F.get("__cycle", turn)).drop("rank", "__first", "__end", "__cycle")
+
+
+def nested_folds(rows: DataFrame, subject: str, outer: int, inner: int) -> DataFrame:
+    """(subject, fold, inner): the outer fold of each subject, and its inner fold among the training subjects of each outer fold (-1 in its own), by group_folds() each time."""
+    counts = rows.groupBy(subject).agg(F.count("*").alias("n")).persist()
+    spread = group_folds(counts, subject, outer).withColumnRenamed("fold", "outer").withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).persist()
+    dealt = group_folds(spread.where("outer <> held"), subject, inner, "held").select(subject, "outer", "held", "fold")
+    own = spread.where("outer = held").select(subject, "outer", "held", F.lit(-1).alias("fold"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("held", "fold"))), lambda x: x["fold"])
+    return dealt.unionByName(own).groupBy(subject, F.col("outer").alias("fold")).agg(parts.alias("inner"))
 
 
 def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, rounds: int = 50) -> np.ndarray:
@@ -71,21 +107,24 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, round
 
 @dataclass(frozen=True)
 class Task:
-    """One fit of cross-validation: on rows outside the outer fold `held`, and outside the inner fold `inner` if given, with inverse strength c."""
+    """One fit of cross-validation: on rows outside the outer fold `held`, and outside the inner fold `inner` if given, with inverse strength c, on the features at the places `columns` (None: all)."""
 
     held: int
     inner: int | None
     param_idx: int
     c: float
+    columns: tuple[int, ...] | None = None
 
 
 def fit_tasks(rows: DataFrame, features: list[str], tasks: list[Task], squared_weights: bool = True, rounds: int = 50) -> list[np.ndarray]:
     """Coefficients with intercept of weighted L2 logistic regressions, all tasks together, on rows(y, fold, inner, features).
 
     Each round adds up every task's gradient and curvature over the partitions, a few numbers for each task, and the driver takes
-    a Newton step; no task's rows are copied or gathered. Features are scaled by the task's own rows. A task with one class alone predicts that class, one without rows one half.
+    a Newton step; no task's rows are copied or gathered. Features are scaled by the task's own rows. A task with one class alone predicts that class, one without rows one half. All tasks
+    have equally many features.
     """
-    width = len(features) + 1
+    places = [list(t.columns) if t.columns is not None else list(range(len(features))) for t in tasks]
+    width = len(places[0]) + 1
     data = rows.select("y", "fold", "inner", *features)
 
     def total(of) -> np.ndarray:
@@ -99,7 +138,7 @@ def fit_tasks(rows: DataFrame, features: list[str], tasks: list[Task], squared_w
                     y, fold, inner = pdf["y"].to_numpy(float), pdf["fold"].to_numpy(), np.stack(pdf["inner"].to_numpy())
                     for k, t in enumerate(tasks):
                         own = (fold != t.held) & ((inner[:, t.held] != t.inner) if t.inner is not None else True)
-                        sums[k] += of(z[own], y[own], k)
+                        sums[k] += of(z[own][:, [*places[k], -1]], y[own], k)
             yield pd.DataFrame({"at": np.arange(sums.size), "value": sums.ravel()})
 
         got = data.mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
@@ -140,7 +179,11 @@ def fit_tasks(rows: DataFrame, features: list[str], tasks: list[Task], squared_w
 
 def score_tasks(rows: DataFrame, features: list[str], tasks: list[Task], betas: list[np.ndarray]) -> DataFrame:
     """(held, inner_held, param_idx, y, proba): the rows that each task leaves out, scored by its model; the small table of models is broadcast."""
-    models = [(t.held, t.inner, t.param_idx, b.tolist()) for t, b in zip(tasks, betas, strict=True)]
+    models = []
+    for t, b in zip(tasks, betas, strict=True):
+        full = np.zeros(len(features) + 1)
+        full[[*(t.columns if t.columns is not None else range(len(features))), -1]] = b
+        models.append((t.held, t.inner, t.param_idx, full.tolist()))
     table = rows.sparkSession.createDataFrame(models, "held int, inner_held int, param_idx int, beta array<double>")
     own = F.when(F.col("inner_held").isNull(), F.col("fold") == F.col("held")).otherwise((F.col("fold") != F.col("held")) & (F.get("inner", F.col("held")) == F.col("inner_held")))
     margin = sum((F.col(f).cast("double") * F.col("beta")[k] for k, f in enumerate(features)), F.col("beta")[len(features)])
@@ -148,23 +191,48 @@ def score_tasks(rows: DataFrame, features: list[str], tasks: list[Task], betas:
     return rows.crossJoin(F.broadcast(table)).where(own).select("held", "inner_held", "param_idx", "y", F.round(proba, 9).alias("proba"))
 
 
-def nested_cv(windows: DataFrame, features: list[str], cs: list[float], outer: int = 3, inner: int = 2) -> DataFrame:
-    """(fold, c, threshold, n, roc_auc, average_precision, f1) for each outer fold of windows(window_id, subject, y, features).
-
-    Subjects are dealt to outer folds, and the training subjects of each to inner folds. The inner fits choose c by mean
-    average precision and the threshold by the median of the best F1; a model refitted on the training part scores the outer fold.
-    """
-    rows = windows.join(F.broadcast(nested_folds(windows, "subject", outer, inner)), "subject").select("y", "fold", "inner", *features).cache()
-    tasks = [Task(k, i, j, c) for k in range(outer) for i in range(inner) for j, c in enumerate(cs)]
+def _nested(rows: DataFrame, features: list[str], settings: list[tuple[float, tuple[int, ...] | None]], outer: int, inner: int) -> DataFrame:
+    """(fold, param_idx, threshold, n, roc_auc, average_precision, f1) for rows(y, fold, inner, features) and settings (c, columns): the inner fits choose a setting by mean average precision and the
+    threshold by the median of the best F1; a model refitted on the training part scores the outer fold."""
+    tasks = [Task(k, i, j, c, columns) for k in range(outer) for i in range(inner) for j, (c, columns) in enumerate(settings)]
     by = ["held", "inner_held", "param_idx"]
     points = metrics.curve(score_tasks(rows, features, tasks, fit_tasks(rows, features, tasks)), "y", "proba", by).cache()
     ap = metrics.ranking(points, by).select(F.col("held").alias("fold"), "inner_held", "param_idx", F.col("average_precision").alias("score"))
     best = best_parameters(ap).select(F.col("fold").alias("held"), "param_idx")
     cut = metrics.best_f1(points, by).join(best, ["held", "param_idx"]).groupBy("held", "param_idx").agg(F.median("threshold").alias("threshold"))
-    chosen = [(r.held, float(cs[r.param_idx]), r.threshold, r.param_idx) for r in cut.collect()]  # one row for each outer fold
-    final = [Task(held, None, j, c) for held, c, _, j in chosen]
-    table = windows.sparkSession.createDataFrame([x[:3] for x in chosen], "held int, c double, threshold double")
-    out = score_tasks(rows, features, final, fit_tasks(rows, features, final)).join(F.broadcast(table), "held").withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int")).cache()
+    chosen = [(r.held, r.param_idx, r.threshold) for r in cut.collect()]  # one row for each outer fold
+    final = [Task(held, None, j, *settings[j]) for held, j, _ in chosen]
+    table = rows.sparkSession.createDataFrame(chosen, "held int, param_idx int, threshold double")
+    scored = score_tasks(rows, features, final, fit_tasks(rows, features, final)).drop("param_idx")
+    out = scored.join(F.broadcast(table), "held").withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int")).cache()
     counts = metrics.classification(metrics.confusion(out, "y", "pred", ["held"]), ["held"]).select("held", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), F.col("f1_1").alias("f1"))
     ranks = metrics.ranking(metrics.curve(out, "y", "proba", ["held"]), ["held"])
-    return table.join(counts, "held").join(ranks, "held").select(F.col("held").alias("fold"), "c", "threshold", "n", "roc_auc", "average_precision", "f1")
+    return table.join(counts, "held").join(ranks, "held").select(F.col("held").alias("fold"), "param_idx", "threshold", "n", "roc_auc", "average_precision", "f1")
+
+
+def nested_cv(windows: DataFrame, features: list[str], cs: list[float], outer: int = 3, inner: int = 2) -> DataFrame:
+    """(fold, c, threshold, n, roc_auc, average_precision, f1) for each outer fold of windows(window_id, subject, y, features).
+
+    Subjects are dealt to outer folds, and the training subjects of each to inner folds; c is chosen among `cs`, see _nested().
+    """
+    rows = windows.join(nested_folds(windows, "subject", outer, inner), "subject").select("y", "fold", "inner", *features).cache()
+    table = windows.sparkSession.createDataFrame(list(enumerate(map(float, cs))), "param_idx int, c double")
+    found = _nested(rows, features, [(c, None) for c in cs], outer, inner)
+    return found.join(F.broadcast(table), "param_idx").select("fold", "c", "threshold", "n", "roc_auc", "average_precision", "f1")
+
+
+def nested_cv_grid(windows: DataFrame, signal: str, grid: dict[str, list] | None = None, base: MvarConfig | None = None, outer: int = 5, inner: int = 3) -> DataFrame:
+    """(fold, C, mvar_order, n_basis, regularization, threshold, n, roc_auc, average_precision, f1) for each outer fold of windows(subject, y, signal): the autoregression's own parameters are tuned with C.
+
+    Each window is read once: the features of all orders, bases and penalties come from shared Gram matrices (see extract_grid()), and all fits of all settings run together.
+    """
+    grid, base = grid or FULL_GRID, base or MvarConfig()
+    names = sorted(grid)
+    settings = [dict(zip(names, values, strict=True)) for values in product(*(grid[n] for n in names))]
+    shapes = [MvarConfig(s.get("mvar_order", base.order), s.get("n_basis", base.n_basis), base.basis, s.get("regularization", base.regularization), base.norm, base.n_time_points, base.upper_lags) for s in settings]
+    configs = list(dict.fromkeys(shapes))
+    featured, features = extract_grid(windows, signal, configs)
+    width = len(features) // len(configs)
+    rows = featured.join(nested_folds(windows, "subject", outer, inner), "subject").select("y", "fold", "inner", *features).cache()
+    tuned = [(float(s.get("C", 1.0)), tuple(range(k * width, (k + 1) * width))) for s, k in ((s, configs.index(c)) for s, c in zip(settings, shapes, strict=True))]
+    return _nested(rows, features, tuned, outer, inner).join(F.broadcast(parameter_grid(windows.sparkSession, grid)), "param_idx").select("fold", *names, "threshold", "n", "roc_auc", "average_precision", "f1")

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparktide.functions import channels
-from sparktide.operators import baselines, classifiers, metrics, mvar, splits, validation
+from sparktide.operators import baselines, classifiers, kernels, metrics, mvar, splits, validation
 from sparktide.plans.mapping import features, windows, with_
 from sparktide.plans.registry import query
 
@@ -175,12 +175,11 @@ def q75_orientation_transpose(spark, sf_dir):
 
 @query()
 def q76_random_kernel_ridge(spark, sf_dir):
-    """Random kernels and a ridge classifier on one split, applied to the other."""
-    rows = baselines.random_kernel_features(windows(spark, sf_dir), "v", 4, 100).select("vec_id", "subject", "y", "features")
-    held = splits.group_shuffle_split(rows.select("subject").distinct(), "subject", 0.3, 42)
-    rows = rows.join(held, "subject").cache()
-    weights, _ = baselines.ridge_classifier(rows.where("split = 'train'"), "y")
-    return baselines.score_ridge(rows.where("split = 'test'"), weights).select("vec_id", "subject", "y", "pred")
+    """Random kernels and a ridge classifier, its penalty by leave-one-out errors, on one part of the subjects, applied to the other."""
+    rows = _held_out(windows(spark, sf_dir))
+    fitted = kernels.fit_biases(rows.where("split = 'train'"), "v", "vec_id", 4, kernels.plan_kernels(4, 16, 168))
+    rows = kernels.transform(rows, "v", 4, fitted).persist()
+    return kernels.fit_ridge(rows.where("split = 'train'"), "y").score(rows.where("split = 'test'")).select("vec_id", "subject", "y", "pred")
 
 
 @query()
@@ -197,25 +196,19 @@ def _held_out(rows):
     return rows.join(held, "subject").cache()
 
 
-def _interval_rows(spark, sf_dir):
-    """Mean, deviation and slope of the channels' average over the whole window, its halves and its quarters."""
-    rows = windows(spark, sf_dir).withColumn("u", baselines.channel_mean(F.col("v"), 4, 16))
-    names = []
-    for length in (16, 8, 4):
-        for first in range(0, 16, length):
-            for kind, value in zip(("mean", "std", "slope"), baselines.interval_statistics(F.col("u"), first, length), strict=True):
-                names.append(f"{kind}_{first}_{length}")
-                rows = rows.withColumn(names[-1], value)
-    return rows.select("vec_id", "subject", "y", *names), names
+#: Sizes of the methods in queries.
+_SIZES = baselines.Sizes(kernel_features=168, members=2, trees=20, depth=4, epochs=5, batches=2)
+
+
+def _predicted(spark, sf_dir, kind, sizes=_SIZES):
+    rows = _held_out(windows(spark, sf_dir))
+    return baselines.predict(kind, rows.where("split = 'train'"), rows.where("split = 'test'"), "v", "y", "vec_id", 4, 16, sizes).select("vec_id", "subject", "y", "pred")
 
 
 @query()
 def q78_interval_forest(spark, sf_dir):
-    """A forest on interval statistics, trained on one part of the subjects and applied to the other."""
-    rows, names = _interval_rows(spark, sf_dir)
-    rows = _held_out(rows)
-    model = baselines.forest(rows.where("split = 'train'"), names, "y", trees=20)
-    return model.transform(rows.where("split = 'test'")).select("vec_id", "subject", "y", F.col("prediction").cast("int").alias("pred"))
+    """A forest on intervals chosen by class separation, trained on one part of the subjects and applied to the other."""
+    return _predicted(spark, sf_dir, "supervised_intervals")
 
 
 @query()
@@ -223,24 +216,31 @@ def q79_baseline_methods(spark, sf_dir):
     """The accuracy of each kind of baseline on held-out subjects, or the error that ended it."""
 
     def train(kind: str) -> float:
-        if kind == "random_kernels":
-            rows = _held_out(baselines.random_kernel_features(windows(spark, sf_dir), "v", 4, 50).select("vec_id", "subject", "y", "features"))
-            weights, _ = baselines.ridge_classifier(rows.where("split = 'train'"), "y")
-            scored = baselines.score_ridge(rows.where("split = 'test'"), weights)
-        elif kind == "network":
-            rows = _held_out(windows(spark, sf_dir))
-            model, _ = baselines.network(rows.where("split = 'train'"), "v", "y", 64)
-            scored = model.transform(baselines.as_vector(rows.where("split = 'test'"), "v")).withColumn("pred", F.col("prediction").cast("int"))
-        else:
-            if kind == "shapelets":
-                rows = _held_out(windows(spark, sf_dir))
-                shapes = baselines.learn_shapelets(rows.where("split = 'train'"), "v", "y", "vec_id")
-                names = [f"d{k}" for k in range(len(shapes))]
-                rows = rows.select("vec_id", "split", "y", *[baselines.shapelet_distance(F.col("v"), s).alias(n) for n, s in zip(names, shapes, strict=True)])
-            else:
-                rows, names = _interval_rows(spark, sf_dir)
-                rows = _held_out(rows)
-            scored = baselines.forest(rows.where("split = 'train'"), names, "y", trees=20).transform(rows.where("split = 'test'")).withColumn("pred", F.col("prediction").cast("int"))
-        return scored.agg(F.avg((F.col("pred") == F.col("y")).cast("int"))).first()[0]
-
-    return baselines.run_methods(["rocket", "tsf", "shapelet", "cnn", "dwt"], train, spark)
+        return _predicted(spark, sf_dir, kind).agg(F.avg((F.col("pred") == F.col("y")).cast("int"))).first()[0]
+
+    return baselines.run_methods(["multirocket", "tsf", "drcif", "shapelet", "perceptron", "dwt"], train, spark)
+
+
+@query()
+def q91_nested_grid(spark, sf_dir):
+    """Nested validation over the 16 settings of the autoregression and the classifier."""
+    rows = _signals(spark, sf_dir).select("vec_id", "subject", "y", "signal")
+    return validation.nested_cv_grid(rows, "signal", None, mvar.MvarConfig(n_time_points=10), 3, 2)
+
+
+@query()
+def q92_conv_network(spark, sf_dir):
+    """A convolutional network trained on one part of the subjects and applied to the other."""
+    return _predicted(spark, sf_dir, "conv")
+
+
+@query()
+def q93_recurrent_network(spark, sf_dir):
+    """A network of long short-term memory trained on one part of the subjects and applied to the other."""
+    return _predicted(spark, sf_dir, "lstm")
+
+
+@query()
+def q94_canonical_interval_forest(spark, sf_dir):
+    """A forest on random intervals of values, differences and spectra with canonical statistics, trained on one part of the subjects and applied to the other."""
+    return _predicted(spark, sf_dir, "canonical_views")
