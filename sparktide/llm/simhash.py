@@ -145,7 +145,7 @@ def plan_partitions(fps: DataFrame, distance: int, parts=(2, 3, 4, 5)) -> list[t
     for m in parts:
         mine = [(k, bits) for k, (of, bits) in enumerate(trial) if of == m]
         rows = got.get(mine[0][0], (0.0, 0.0))[1]
-        cost, thresholds = allocate([got.get(k, (0.0, 0.0))[0] for k, _ in mine], [len(b) for _, b in mine], rows, distance)
+        cost, thresholds = allocate([max(1.0, got.get(k, (0.0, 0.0))[0]) for k, _ in mine], [len(b) for _, b in mine], max(1.0, rows), distance)
         plans.append((cost, [(mask_of(b), t, b) for (_, b), t in zip(mine, thresholds, strict=True) if t >= 0]))
     return min(plans, key=lambda p: p[0])[1]
 
@@ -153,11 +153,10 @@ def plan_partitions(fps: DataFrame, distance: int, parts=(2, 3, 4, 5)) -> list[t
 def _keys(plan, ball: bool) -> Column:
     """(part, value) of a fingerprint, with all values within the partition's threshold if ball."""
 
-
     def values(k: int, mask: int, t: int, bits: list[int]) -> Column:
         flips = [mask_of(c) for r in range(t + 1 if ball else 1) for c in combinations(bits, r)]
         own = F.col("fp").bitwiseAND(F.lit(mask))
-        return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(f).alias("v")))
+        return F.transform(F.lit(np.array(flips, np.int64)), lambda f: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(f).alias("v")))
 
     return F.explode(F.concat(*[values(k, *p) for k, p in enumerate(plan)]))
 
@@ -182,7 +181,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int | None = None) ->
         probes = fps.select("fp", _keys(plan, True).alias("p")).select("fp", "p.*")
         thick = write_once(probes.join(crowded, ["k", "v"]).select("fp").distinct(), "dense")
         flagged = fps.join(thick.withColumn("dense", F.lit(True)), "fp", "left").fillna(False, ["dense"])
-        points = thick.select("fp", F.explode(F.transform(F.array(*map(F.lit, ball)), lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
+        points = thick.select("fp", F.explode(F.transform(F.lit(np.array(ball, np.int64)), lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
         met = points.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
         found = points.join(met, "point").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
     left = flagged.where("NOT dense").select(F.col("fp").alias("a"), _keys(plan, True).alias("p")).select("a", "p.*")

@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables with nulls, empties, repeats and clashing extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -373,8 +374,39 @@ def test_language(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows[:150]) and got[902].lang_pred == "de"
     assert {got[None].lang_pred, got[900].lang_pred, got[901].lang_pred} == {"und"}
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(150))
-    names, chances = language.train(docs)
     both = text("en", 80) + " " + text("fr", 60)
-    found = language.identify(spark.createDataFrame([(1, both)], "doc_id long, text string"), names, chances).first()
+    found = language.identify(spark.createDataFrame([(1, both)], "doc_id long, text string"), language.train(docs)).first()
     assert found.lang_pred == "en" and set(found.languages) == {"en", "fr"}
     assert language.train_and_identify(docs.limit(0)).count() == 0
+    long_text = text("de", 250_000)
+    assert language.identify(spark.createDataFrame([(1, long_text)], "doc_id long, text string"), language.train(docs)).first().lang_pred == "de"
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than any block holds: the same answers as by one block, and as by brute force over all."""
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k}": ["".join(r.choice(letters) for _ in range(5)) for _ in range(4)] for k in range(1500)}
+    rows = [(k, " ".join(r.choice(w) for _ in range(12)), lang) for k, (lang, w) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = {x.doc_id: tuple(x) for x in language.identify(docs, language.train(docs)).collect()}
+    assert all(whole[k][1] == lang for k, _, lang in rows)
+    monkeypatch.setattr(language, "BLOCK_COUNTS", 10_000)
+    model = language.train(docs)
+    assert model.blocks > 3
+    assert {x.doc_id: tuple(x) for x in language.identify(docs, model).collect()} == whole
+    blocks = [language.load(model, k) for k in range(model.blocks)]
+    at, n = language.trigrams(rows[7][1])
+    fits = {}
+    for block in blocks:
+        for k, name in enumerate(block.names):
+            own = dict(zip(np.repeat(np.arange(language.BUCKETS), np.diff(block.start))[block.language == k].tolist(), block.chance[block.language == k].tolist(), strict=True))
+            fits[name] = sum(c * np.log(own.get(b, block.unseen[k])) for b, c in zip(at.tolist(), n.tolist(), strict=True))
+    found = [(fit, name) for block in blocks for name, fit in zip(*block.contenders(at, n.astype(float))[:2], strict=True)]
+    want = sorted(fits, key=lambda x: -fits[x])[:16]
+    assert [name for _, name in sorted(found, reverse=True)[:16]] == want and sorted(found)[-1][0] == pytest.approx(fits[want[0]])
+
+
+def test_simhash_of_nothing_is_quick(spark):
+    plan = simhash.plan_partitions(spark.createDataFrame([], "fp long"), 4)
+    assert sum(len(list(itertools.combinations(bits, k))) for _, t, bits in plan for k in range(t + 1)) < 500
