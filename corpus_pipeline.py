@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktide.llm import decontaminate, language, pieces, simhash, suffix_dedup
-from sparktide.llm.common import table, write_once
+from sparktide.llm.common import forget, table, write_once
 from sparktide.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Learned from the rows outside fold 0, null ids aside; repeated rows and very long texts stay whole; an empty table gives no rows; columns beyond those of documents go, in every stage.
     """
-    names, chances = language.train(docs.where(language.fold() != 0))
-    found = language.identify(docs, names, chances, keep=COLUMNS).where("lang_pred <> 'und'")
+    model = language.train(docs.where(language.fold() != 0))
+    found = language.identify(docs, model, keep=COLUMNS).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -76,7 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the table documents, each written to the shared folder as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = write_once(docs, f"stage-{k}")
+            if k:
+                forget(before)
     return docs
