@@ -94,15 +94,16 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("raw"))
     known = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     passages = known.where(F.contains("raw", F.lit(">"))).select("conv_id", "turn", F.explode(let(parse(F.col("raw")), _passages)).alias("q"))
-    quotes = write_once(passages.select("conv_id", "turn", F.col("q.level").alias("level"), F.size(_lines(F.col("q.body"))).alias("size"), F.sha2(normalised(F.col("q.body")), 256).alias("hash")).distinct(), "quotes")
+    quotes = write_once(passages.select("conv_id", "turn", F.col("q.level").alias("level"), F.size(_lines(F.col("q.body"))).alias("size"), F.unhex(F.sha2(normalised(F.col("q.body")), 256)).alias("hash")).distinct(), "quotes")
     talks = quotes.groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
-    own = F.col("own")
-    whole = F.transform(F.concat(F.array(own), F.split(own, r"\n[ \t\f\r]*\n")), normalised)
+    own, digest = F.col("own"), lambda s: F.unhex(F.sha2(s, 256))
+    whole = F.transform(F.filter(F.transform(F.concat(F.array(own), F.split(own, r"\n[ \t\f\r]*\n")), normalised), lambda s: s != ""), digest)
+    # Runs are hashed as they are made: a row holds 32 bytes for each run, not its text.
     runs = let(_lines(own), lambda ls: F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.size(ls)), lambda n: F.transform(
-        F.sequence(F.lit(1), F.size(ls) - n + 1), lambda i: F.array_join(F.slice(ls, i, n), " ")))))
+        F.sequence(F.lit(1), F.size(ls) - n + 1), lambda i: digest(F.array_join(F.slice(ls, i, n), " "))))))
     talk = known.join(talks, "conv_id").select("conv_id", "turn", parse(F.col("raw"))["own"].alias("own"), "sizes")
-    originals = talk.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, runs))).alias("s")).where("s <> ''")
-    originals = originals.select("conv_id", "turn", F.sha2("s", 256).alias("hash")).join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
+    originals = talk.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, runs))).alias("hash"))
+    originals = originals.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
     found = _latest_earlier(originals, quotes)
     replies = write_once(found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("source")).alias("back")))["back"].alias("back")).select("conv_id", "turn", (-F.col("back")).alias("parent")), "replies")
     linked = replies.join(_roots(replies), ["conv_id", "turn"])

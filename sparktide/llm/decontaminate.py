@@ -22,10 +22,11 @@ def _window(w: Column, i: Column, size: int) -> list[Column]:
     return [F.get(w, i + k) for k in range(size)]
 
 
-def shingle_hashes(text: Column, size: int) -> Column:
-    return let(words(text), lambda w: F.when(
-        F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*_window(w, i, size)))
-    ).otherwise(F.array().cast("array<bigint>")))
+def _hashes(w: Column, size: int) -> Column:
+    """array<struct<len, n, h>>: hashes of all shingles of that many words, and their number."""
+    n = F.size(w) - size + 1
+    one = lambda i: F.struct(F.lit(size).alias("len"), n.alias("n"), F.xxhash64(*_window(w, i, size)).alias("h"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<len: int, n: int, h: bigint>>"))
 
 
 def shingle_texts(text: Column, size: int) -> Column:
@@ -51,18 +52,19 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The smallest hashes of each item, as many as its size partition needs.
+    """(item_id, len, h, least): the smallest hashes of each item, as many as its size partition needs, and the fewest shingles of a text that its partition is probed for.
 
     Items are partitioned by size, each partition reaching from a power of 2**(1/4) to the next. With the upper
     bound u of a partition, a text that holds the wanted share of an item of q <= u shingles misses at most
-    u - ceil(share * u) of them, so it holds one of that many and one more smallest hashes: the search loses nothing.
+    u - ceil(share * u) of them, so it holds one of that many and one more smallest hashes. With its lower bound l, such a text
+    has ceil(share * l) shingles or more: shorter ones aren't probed for the partition. The search loses nothing by either.
     """
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("q"))
-    ranked = sizes.withColumn("upper", F.floor(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("q").cast("double")) * 4 - 1e-9) / 4) + 1e-9))
-    ranked = ranked.withColumn("upper", F.greatest("upper", "q"))
-    ranked = ranked.withColumn("k", F.least(F.col("upper") - F.ceil(F.col("upper") * containment - 1e-9) + 1, F.col("q")))
-    smallest = shingles.join(ranked, "item_id").groupBy("item_id", "len", "k").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    return smallest.select("item_id", "len", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
+    step = F.ceil(F.log2(F.col("q").cast("double")) * 4 - 1e-9)
+    ranked = sizes.withColumn("upper", F.greatest(F.floor(F.pow(F.lit(2.0), step / 4) + 1e-9), "q")).withColumn("lower", F.least(F.floor(F.pow(F.lit(2.0), (step - 1) / 4) + 1e-9) + 1, F.col("q")))
+    ranked = ranked.withColumn("k", F.least(F.col("upper") - F.ceil(F.col("upper") * containment - 1e-9) + 1, F.col("q"))).withColumn("least", F.ceil(F.col("lower") * containment - 1e-9))
+    smallest = shingles.join(ranked, "item_id").groupBy("item_id", "len", "k", "least").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    return smallest.select("item_id", "len", "least", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -78,13 +80,10 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, c
     small = F.broadcast if index.count() <= broadcast_rows else (lambda df: df)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    pairs = None
-    for size in lengths:
-        hashes = rows.select("doc_id", "th", F.explode(shingle_hashes(F.col("text"), size)).alias("h"))
-        met = hashes.join(small(index.where(F.col("len") == size).drop("len")), "h").select("doc_id", "th", "item_id", F.lit(size).alias("len")).distinct()
-        pairs = met if pairs is None else pairs.union(met)
-    if pairs is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double")
+    hashes = rows.select("doc_id", "th", F.explode(let(words(F.col("text")), lambda w: F.concat(*[_hashes(w, size) for size in lengths]))).alias("p")).select("doc_id", "th", "p.*")
+    pairs = hashes.join(small(index), ["len", "h"]).where("n >= least").select("doc_id", "th", "item_id", "len").distinct()
     pairs = write_once(pairs, "candidates")
     small_pairs = F.broadcast if pairs.count() <= broadcast_rows else (lambda df: df)
     keys = pairs.select(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th"), "len").distinct()

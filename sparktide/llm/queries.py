@@ -107,6 +107,31 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+# Columns of the operators that SQL can express, as queries of their own beside it.
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_licenses that don't depend on its rules."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of op3_quality, without what is learned."""
+    found = quality.statistics(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows op10_language holds out, and which of them it finds no language in."""
+    found = op10_language(spark, sf_dir)
+    return found.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op11_personal_data that its field doesn't add to."""
+    return op11_personal_data(spark, sf_dir).drop("spans", "base_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -121,6 +146,10 @@ QUERIES = {
     "op11_personal_data": op11_personal_data,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
+    "licenses_base": licenses_base,
+    "quality_statistics": quality_statistics,
+    "language_folds": language_folds,
+    "personal_data_base": personal_data_base,
 }
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -251,4 +280,32 @@ kept AS (SELECT id, string_agg(h, '' ORDER BY x) AS h, decode(unhex(string_agg(c
 lost AS (SELECT id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY id)
 SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, kept.text FROM d JOIN kept USING (id) LEFT JOIN lost USING (id)""",
     "op13_vector_codes": _vector_codes_sql(),
+    "licenses_base": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(p, label)),
+h AS (SELECT id, k - 1 AS k, label FROM (SELECT id, w, p, label, unnest(generate_series(1, len(w) - len(p) + 1)) AS k FROM d, b) WHERE w[k : k + len(p) - 1] = p),
+g AS (SELECT id, count(*) AS n, min(k) AS a, max(k) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (id)""",
+    "quality_statistics": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT id, line FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT id, sum(n - 1)::BIGINT AS dup FROM (SELECT id, line, count(*) AS n FROM l GROUP BY id, line) GROUP BY id),
+t AS (SELECT id, k, w[k] || chr(10) || w[k + 1] || chr(10) || w[k + 2] AS s FROM (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS k FROM d)),
+m AS (SELECT id, k FROM t QUALIFY count(*) OVER (PARTITION BY id, s) > 1),
+r AS (SELECT id, count(DISTINCT x) AS n FROM (SELECT id, unnest([k, k + 1, k + 2]) AS x FROM m) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+       coalesce(r.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN u USING (id) LEFT JOIN r USING (id)""",
+    "language_folds": f"""
+WITH RECURSIVE bits AS (SELECT b AS n, b::BIGINT AS c, 0 AS k FROM range(256) t(b) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+t AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, text, list_reduce(list_concat([{0xFFFFFFFF}::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)) AS c FROM documents, t)
+SELECT doc_id, coalesce(xor(c, {0xFFFFFFFF}) % 5 = 0, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\\pL') AS undetermined FROM d""",
+    "personal_data_base": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n FROM d),
+i AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')) AS m FROM d) WHERE len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(x AS INTEGER) > 255)) = 0 GROUP BY id),
+c AS (SELECT id, regexp_replace(m, '[^0-9]', '', 'g') AS m FROM (SELECT id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+')) AS m FROM d)),
+k AS (SELECT id, count(*) AS n FROM c WHERE length(m) BETWEEN 12 AND 19 AND list_sum(list_transform(generate_series(1, length(m)), lambda j: CASE WHEN (length(m) - j) % 2 = 0 THEN substr(m, j, 1)::INTEGER WHEN substr(m, j, 1)::INTEGER > 4 THEN 2 * substr(m, j, 1)::INTEGER - 9 ELSE 2 * substr(m, j, 1)::INTEGER END)) % 10 = 0 GROUP BY id),
+p AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]')) AS m FROM d) WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15 GROUP BY id)
+SELECT doc_id, coalesce(e.n, 0)::BIGINT AS n_email, coalesce(i.n, 0) AS n_ip, coalesce(k.n, 0) AS n_card, coalesce(p.n, 0) AS n_phone FROM d LEFT JOIN e USING (id) LEFT JOIN i USING (id) LEFT JOIN k USING (id) LEFT JOIN p USING (id)""",
 }
