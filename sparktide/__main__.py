@@ -1,4 +1,4 @@
-"""python -m sparktide prepare|train|validate: the pipeline from the command line."""
+"""python -m sparktide prepare|train|validate|nested: the pipeline from the command line."""
 
 from __future__ import annotations
 
@@ -7,16 +7,19 @@ from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
-from sparktide.config import EngineConfig
+from sparktide.config import EngineConfig, Paths
 from sparktide.plans import pipeline
 from sparktide.sources import artifacts
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparktide")
-    p.add_argument("step", choices=["prepare", "train", "validate"])
+    p.add_argument("step", choices=["prepare", "train", "validate", "nested"])
     p.add_argument("--recordings", help="folder of <subject>/*.edf and annotation lists")
-    p.add_argument("--out", required=True, help="folder of windows, manifest and results")
+    p.add_argument("--out", help="folder of windows, manifest and results")
+    p.add_argument("--paths", help="file of lines 'name: folder' that stand for --recordings and --out where these aren't given")
+    p.add_argument("--approximate-split", action="store_true", help="split on rates from headers and annotations")
+    p.add_argument("--inner-folds", type=int, default=3)
     p.add_argument("--balance", choices=["none", "undersample", "oversample"], default="none")
     p.add_argument("--folds", type=int, default=3)
     p.add_argument("--no-smoothing", action="store_true")
@@ -29,8 +32,18 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     config = EngineConfig(**{f.name: getattr(args, f.name) for f in fields(EngineConfig)})
     spark = SparkSession.builder.getOrCreate()
+    if args.paths:
+        paths = Paths.from_text("\n".join(r.value for r in spark.read.text(args.paths, wholetext=True).collect()))
+        args.recordings, args.out = args.recordings or paths.raw_data, args.out or paths.artifacts
+    if not args.out or (args.step == "prepare" and not args.recordings):
+        raise SystemExit("--out and, to prepare, --recordings are needed")
     if args.step == "prepare":
-        pipeline.prepare(spark, args.recordings, args.out, config)
+        pipeline.prepare(spark, args.recordings, args.out, config, approximate=args.approximate_split)
+        return
+    if args.step == "nested":
+        folds, summary = pipeline.nested_validate(artifacts.read_windows(spark, f"{args.out}/windows"), config, None, args.folds, args.inner_folds)
+        artifacts.write_json(folds, f"{args.out}/nested_folds")
+        artifacts.write_json(summary, f"{args.out}/nested_summary")
         return
     rows = pipeline.features(artifacts.read_windows(spark, f"{args.out}/windows"), config).cache()
     if args.step == "train":

@@ -29,3 +29,32 @@ class EngineConfig:
     smoothing_window: int = 5
     smoothing_threshold: float = 0.5
     required_channels: int = 29
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Folders of a project; what a file doesn't name lies below the project's root. Nothing is made or read on import."""
+
+    project_root: str
+    raw_data: str
+    features: str
+    results: str
+    logs: str
+
+    @property
+    def artifacts(self) -> str:
+        """Windows, labels and manifest are kept with the features."""
+        return self.features
+
+    @staticmethod
+    def from_text(text: str) -> Paths:
+        """From lines 'name: folder' (project_root, raw_data_path, features_path, results_path, logs_path; '#' begins a comment); ValueError without a root."""
+        named = {}
+        for line in text.splitlines():
+            name, _, value = line.split("#", 1)[0].partition(":")
+            if value.strip():
+                named[name.strip()] = value.strip().strip("'\"").rstrip("/")
+        root = named.get("project_root")
+        if not root:
+            raise ValueError("project_root is missing")
+        return Paths(root, *[named.get(f"{k}_path", f"{root}/{default}") for k, default in (("raw_data", "data/raw"), ("features", "data/features"), ("results", "results"), ("logs", "logs"))])

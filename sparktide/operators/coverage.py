@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Channels up to which they are broadcast.
+FEW = 100_000
+
 
 def channel_coverage(held: DataFrame, unit: list[str], channel: str) -> DataFrame:
     """(channel, n, missing, in_all, nearly) of distinct rows held(unit, channel): units with it, without it, whether it is in all, and in all but one or two."""
@@ -13,9 +16,16 @@ def channel_coverage(held: DataFrame, unit: list[str], channel: str) -> DataFram
     return counts.select(channel, "n", (F.col("units") - F.col("n")).alias("missing"), (F.col("n") == F.col("units")).alias("in_all"), ((F.col("n") >= F.col("units") - 2) & (F.col("n") < F.col("units"))).alias("nearly"))
 
 
-def missing_channels(held: DataFrame, unit: list[str], channel: str) -> DataFrame:
-    """(unit, channel) of the channels known anywhere that a unit lacks; channels are few."""
-    return held.select(*unit).distinct().crossJoin(F.broadcast(held.select(channel).distinct())).join(held, [*unit, channel], "left_anti")
+def by_count(coverage: DataFrame, channel: str) -> DataFrame:
+    """Adds place: channels from the most frequent to the rarest, by name where equal; the one order runs over channels, not rows."""
+    return coverage.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), channel)))
+
+
+def missing_channels(held: DataFrame, unit: list[str], channel: str, few: int = FEW) -> DataFrame:
+    """(unit, channel) of the channels known anywhere that a unit lacks; the channels are broadcast if they are at most `few`."""
+    known = held.select(channel).distinct()
+    every = F.broadcast(known) if known.limit(few + 1).count() <= few else known
+    return held.select(*unit).distinct().crossJoin(every).join(held, [*unit, channel], "left_anti")
 
 
 def modal(rows: DataFrame, value: str, first: str) -> DataFrame:

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range, where keys are spread evenly.
 WIDTH = 65_536
 
 
 def dense_index(df: DataFrame, key: str, by: list[str] | None = None, width: int = WIDTH) -> DataFrame:
     """Adds idx: the position (from 0) by a unique integer key, within the columns `by`.
 
-    Keys are cut into ranges of `width`; ranges are counted, the counts summed up over the ranges, and rows numbered within their range. Only the counts,
-    one row for each range, meet in one place.
+    The span from the least to the greatest key of a group is cut into as many equal ranges as it has times `width` rows, so that counters and hashes alike fill ranges of about that many; ranges are
+    counted, the counts summed up over the ranges, and rows numbered within their range. Only the counts, one row for each range, meet in one place.
     """
     by = by or []
-    cut = df.withColumn("__range", F.floor(F.col(key) / width))
+    at = F.col(key).cast("double")
+    spans = df.groupBy(*by).agg(F.min(at).alias("__low"), F.max(at).alias("__high"), F.ceil(F.count("*") / width).alias("__ranges"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    joined = df.alias("l").join(spans.alias("s"), reduce(Column.__and__, same), "inner") if by else df.alias("l").crossJoin(F.broadcast(spans.alias("s")))
+    share = F.coalesce(F.try_divide(at - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
+    cut = joined.withColumn("__range", F.least(F.floor(share * F.col("__ranges")), F.col("__ranges") - 1)).select("l.*", "__range")
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(*by, "__range").agg(F.count("*").alias("__n")).select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     numbered = cut.withColumn("__row", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(key)))

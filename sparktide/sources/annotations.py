@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparktide.functions.clock import DAY, after_colon, clock_seconds, rate_hz, wrapped_difference
+from sparktide.functions.clock import after_colon, clock_seconds, rate_hz, wrapped_difference
 
 # Channel entries that aren't signals: fixed values.
 NOT_SIGNALS = ("1", "O1")
@@ -53,36 +52,55 @@ def blocks(lines: DataFrame, keys: list[str], order: list[str], text: str) -> Da
     return done.select(*keys, "file_name", *[wrapped_difference(F.col(a), start).cast("double").alias(b) for a, b in (("reg_end", "reg_end_s"), ("s", "start_s"), ("e", "end_s"))], F.coalesce("sample_rate", F.lit(512.0)).alias("sample_rate"))
 
 
+#: Lines that are combined into one transition.
+RANGE = 1_024
+_FIELDS = {"file_name": 1, "reg_start": 2, "reg_end": 4, "s": 8, "e": 16}
+_ALL, _CLOSES_BEFORE, _CLOSES_AFTER = 31, 32, 64
+
+
+def _next_mask(mask: Column, code: Column) -> Column:
+    """The fields known after a line, of those known before it: a closing line empties them if none is missing, before or after it adds its own."""
+    full = lambda m, flag: (code.bitwiseAND(flag) != 0) & (m == _ALL)
+    held = F.when(full(mask, _CLOSES_BEFORE), 0).otherwise(mask).bitwiseOR(code.bitwiseAND(_ALL))
+    return F.when(full(held, _CLOSES_AFTER), 0).otherwise(held)
+
+
 def blocks_exact(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """As blocks(), with the rule that a block's fields empty only once it is complete: a small state machine over each annotation file."""
-    marked = lines.select(key, order, F.col(text).alias("text"), clock_seconds(F.col(text)).alias("seconds"), rate_hz(F.col(text)).alias("rate"), after_colon(F.col(text)).alias("name"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, rate, out = {}, 512.0, []
-
-        def flush() -> None:
-            if all(k in held for k in ("file", "reg_start", "reg_end", "start", "end")):
-                ends = [(held[k] - held["reg_start"]) + (DAY if held[k] < held["reg_start"] else 0) for k in ("reg_end", "start", "end")]
-                out.append((pdf[key].iloc[0], held["file"], *map(float, ends), rate))
-                held.clear()
-
-        for row in pdf.sort_values(order).itertuples():
-            words = next((w for w in ("Sampling Rate", "File name", "Registration start", "Registration end", "Seizure start", "Seizure end") if w in row.text), None)
-            known = row.seconds is not None and row.seconds == row.seconds
-            if words == "Sampling Rate":
-                rate = row.rate if row.rate == row.rate and row.rate is not None else rate
-            elif words == "File name":
-                flush()
-                held["file"] = row.name
-            elif words and known:
-                held[{"Registration start": "reg_start", "Registration end": "reg_end", "Seizure start": "start", "Seizure end": "end"}[words]] = row.seconds
-            if words == "Seizure end":
-                flush()
-        flush()
-        return pd.DataFrame(out, columns=[key, "file_name", "reg_end_s", "start_s", "end_s", "sample_rate"])
-
-    kind = lines.schema[key].dataType.simpleString()
-    return marked.groupBy(key).applyInPandas(run, f"{key} {kind}, file_name string, reg_end_s double, start_s double, end_s double, sample_rate double")
+    """As blocks(), with the rule that a block's fields empty only once it is complete; a block closes ahead of a file's name, behind a seizure's end, and at the end of the text.
+
+    What counts is which of the five fields are known, one of 32 masks. A range of lines maps masks to masks; the maps of a text's ranges are composed to find the mask before each range, and within it the lines
+    that close a complete block. The values there are the last ones known, which windows carry along. One shuffle by key, and no Python.
+    """
+    t, seconds = F.col(text), clock_seconds(F.col(text))
+    words = {"Sampling Rate": "sample_rate", "File name": "file_name", "Registration start": "reg_start", "Registration end": "reg_end", "Seizure start": "s", "Seizure end": "e"}
+    kind = F.coalesce(*[F.when(F.contains(t, F.lit(w)), F.lit(name)) for w, name in words.items()])
+    value = {"sample_rate": rate_hz(t), "file_name": after_colon(t)}
+    values = {name: F.when(F.col("__kind") == name, value.get(name, seconds)) for name in words.values()}
+    along = Window.partitionBy(key).orderBy(order)
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    own = sum((F.when(F.col(f"__{name}").isNotNull(), bit).otherwise(0) for name, bit in _FIELDS.items()), F.lit(0))
+    closes = F.when(F.col("__kind") == "file_name", _CLOSES_BEFORE).otherwise(0) + F.when((F.col("__kind") == "e") | F.lead(F.lit(1)).over(along).isNull(), _CLOSES_AFTER).otherwise(0)
+    marked = lines.select(key, order, t, kind.alias("__kind")).select("*", *[v.alias(f"__{name}") for name, v in values.items()])
+    known = F.struct(*[F.last(f"__{name}", ignorenulls=True).over(upto).alias(name) for name in values])
+    rows = marked.select(key, (own + closes).cast("int").alias("code"), F.row_number().over(along).alias("pos"), known.alias("known")).withColumn("before", F.lag("known").over(Window.partitionBy(key).orderBy("pos")))
+    rows = rows.where("code <> 0").withColumn("range", F.floor((F.col("pos") - 1) / RANGE))
+    ranges = rows.groupBy(key, "range").agg(F.array_sort(F.collect_list(F.struct("pos", "code", "known", "before"))).alias("items"))
+    step = F.aggregate("items", F.sequence(F.lit(0), F.lit(_ALL)), lambda masks, x: F.transform(masks, lambda m: _next_mask(m, x["code"])))
+    earlier = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    entered = ranges.withColumn("step", step).withColumn("steps", F.collect_list("step").over(earlier))
+    entry = F.aggregate("steps", F.lit(0), lambda mask, f: F.get(f, mask))
+
+    def walk(state: Column, x: Column) -> Column:
+        mask, code = state["mask"], x["code"]
+        ahead = (code.bitwiseAND(_CLOSES_BEFORE) != 0) & (mask == _ALL)
+        behind = ~ahead & (code.bitwiseAND(_CLOSES_AFTER) != 0) & (mask.bitwiseOR(code.bitwiseAND(_ALL)) == _ALL)
+        done = F.when(ahead, F.concat(state["done"], F.array(x["before"]))).when(behind, F.concat(state["done"], F.array(x["known"]))).otherwise(state["done"])
+        return F.struct(_next_mask(mask, code).alias("mask"), done.alias("done"))
+
+    none = F.slice(F.transform("items", lambda x: x["known"]), 1, 0)
+    found = entered.select(key, F.explode(F.aggregate("items", F.struct(entry.alias("mask"), none.alias("done")), walk)["done"]).alias("x")).select(key, "x.*")
+    times = [wrapped_difference(F.col(a), F.col("reg_start")).cast("double").alias(b) for a, b in (("reg_end", "reg_end_s"), ("s", "start_s"), ("e", "end_s"))]
+    return found.select(key, "file_name", *times, F.coalesce("sample_rate", F.lit(512.0)).alias("sample_rate"))
 
 
 def channel_names(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
