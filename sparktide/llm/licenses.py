@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -324,25 +325,15 @@ def _by_keyword() -> tuple[dict[bytes, list[Rule]], list[tuple[list[bytes], str]
 
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8: all but the ASCII that isn't a digit or letter
-#: Words whose keywords a worker remembers; the results don't depend on it.
-REMEMBERED = 200_000
-_KEYWORDS: dict[bytes, tuple[bytes, ...]] = {}
 
 
-def _keywords(words: set[bytes]) -> set[bytes]:
-    """The rules' keywords that stand in any of the words, each distinct word looked at once by a worker."""
-    keys = list(_by_keyword()[0])
-    if len(_KEYWORDS) > REMEMBERED:
-        _KEYWORDS.clear()
-    out: set[bytes] = set()
-    for w in words:
-        found = _KEYWORDS.get(w)
-        if found is None:
-            found = tuple(k for k in keys if k in w)
-            if len(w) <= 64:
-                _KEYWORDS[w] = found
-        if found:
-            out.update(found)
+@lru_cache(maxsize=1)
+def _automaton() -> ahocorasick.Automaton:
+    """Finds all rules' keywords in one pass; octets stand as the characters of their number."""
+    out = ahocorasick.Automaton()
+    for key in _by_keyword()[0]:
+        out.add_word(key.decode("latin-1"), key)
+    out.make_automaton()
     return out
 
 
@@ -381,11 +372,11 @@ def scan(text: str | bytes | None) -> tuple[int, list[tuple[int, int, str]], lis
         if present.issuperset(phrase):
             size = len(phrase)
             base += [(k, k + size, label) for k, w in enumerate(words) if w == phrase[0] and words[k : k + size] == phrase]
-    keys = _keywords(present)
+    joined = b" " + b" ".join(words) + b" "
+    keys = {key for _, key in _automaton().iter(joined.decode("latin-1"))}
     chosen = [r for k, mine in index.items() if k in keys for r in mine]
     if not chosen:
         return len(words), sorted(base), []
-    joined = b" " + b" ".join(words) + b" "
     hits = [(rule, *m.span()) for rule in chosen for m in rule.pattern.finditer(joined)]
     if not hits:
         return len(words), sorted(base), []

@@ -118,7 +118,8 @@ def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of op3_quality, without what is learned."""
     found = quality.statistics(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words").alias("base_failed")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed)
 
 
 def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,14 +117,21 @@ def all_rules(text):
     words = licenses._WORD.findall(text.encode().lower())
     joined = b" " + b" ".join(words) + b" "
     found = {(joined.count(b" ", 0, m.start()) - 1, joined.count(b" ", 0, m.end()), r.label, r.name, r.priority) for r in licenses.rules() for m in r.pattern.finditer(joined)}
-    taken, covered = [], set()
+    taken = []
     for d in sorted(found, key=lambda d: (-d[4], d[0] - d[1], d[0], d[2], d[3])):
-        if covered.isdisjoint(range(d[0], d[1])):
+        if not any(t[0] <= d[0] and d[1] <= t[1] for t in taken):
             taken.append(d)
-            covered.update(range(d[0], d[1]))
     return sorted(taken)
 
 
+def test_license_containment():
+    found = licenses.scan("licensed under the MIT License Version and the Apache License, Version 2.0 all rights reserved")[2]
+    assert {"mit", "apache-2.0", "proprietary"} <= {d[2] for d in found}
+    inner = [(0, 9, "a", "1", 90), (2, 5, "b", "2", 80), (7, 12, "c", "3", 70), (0, 9, "d", "4", 60), (11, 12, "e", "5", 95)]
+    assert [d[2] for d in sorted(licenses._standing(inner, 12))] == ["a", "c", "e"]  # c overlaps a and holds e, which ranks above it
+    assert len(licenses.SENTENCES) > 150 and all(licenses.rules()[k].priority >= licenses.rules()[k + 1].priority for k in range(len(licenses.rules()) - 1))
+
+
 def test_license_keywords_within_words():
     texts = {
         "Licensed under GPLv3 or later": "gpl-3", "GNU LGPLv2.1": "lgpl-2.1", "AGPLv3 only": "agpl-3", "under MPLv2": "mpl-2.0", "EPLv2": "epl-2.0", "licensed under Apache2": "apache-2.0",
@@ -409,3 +416,43 @@ def test_many_languages(spark, monkeypatch):
 def test_simhash_of_nothing_is_quick(spark):
     plan = simhash.plan_partitions(spark.createDataFrame([], "fp long"), 4)
     assert sum(len(list(itertools.combinations(bits, k))) for _, t, bits in plan for k in range(t + 1)) < 500
+
+
+def test_texts_of_a_megabyte(spark):
+    """Operators on one very long text, whole."""
+    r = random.Random(12)
+    words = [f"w{r.randint(0, 5000)}" for _ in range(170_000)]
+    text = " ".join(words)
+    assert len(text) > 900_000
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2 w3")], "doc_id long, text string")
+    got = {x.doc_id: x for x in quality.statistics(docs).collect()}
+    assert (got[1].n_words, got[1].word_chars, got[1].n_repeat_words) == brute_statistics(1, text)[1:3] + (brute_statistics(1, text)[5],)
+    item = " ".join(words[90_000:90_040])
+    found = decontaminate.contained_items(docs, spark.createDataFrame([(7, item), (8, "w1 w2 w3"), (9, "no such item at all here")], "item_id long, text string")).collect()
+    assert (1, 7, 36, 36) in {tuple(x)[:4] for x in found} and (2, 8) in {tuple(x)[:2] for x in found}
+    lines = "\n".join(" ".join(words[k : k + 8]) for k in range(0, 160_000, 8))
+    quote = "\n".join("> " + x for x in lines.split("\n")[5_000:5_003])
+    linked = {x.turn: x for x in conversations.link_quotations(spark.createDataFrame([(1, 0, "a", lines), (1, 1, "b", quote + "\nyes"), (1, 2, "a", "> never said\nno")], "conv_id long, turn long, role string, text string")).collect()}
+    assert linked[1].parent_turn == 0 and linked[1].text == "yes" and linked[2].parent_turn is None and linked[0].text == lines
+    assert licenses.scan(text + " Licensed under the Apache License, Version 2.0")[2][-1][2] == "apache-2.0"
+
+
+def test_short_texts_are_not_probed(spark):
+    """Items of all sizes in texts that hold just enough of them, or just too little."""
+    r = random.Random(13)
+    items, docs = [], []
+    for k in range(120):
+        words = [f"i{k}x{j}" for j in range(r.randint(1, 60))]
+        items.append((k, " ".join(words)))
+        n = max(1, len(words) - 4)
+        for short in (0, 1):  # as few shingles in a row as 0.8 of them needs, and one less
+            docs.append((2 * k + short, " ".join(words[: -(-8 * n // 10) - short + len(words) - n])))
+    got = {tuple(x)[:2] for x in decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for i, text in docs:
+        w, item = text.split(), items[i // 2][1].split()
+        size = min(5, len(item))
+        own = {tuple(item[j : j + size]) for j in range(len(item) - size + 1)}
+        if len(own & {tuple(w[j : j + size]) for j in range(len(w) - size + 1)}) >= 0.8 * len(own) - 1e-9:
+            want.add((i, i // 2))
+    assert got == want
