@@ -45,6 +45,7 @@ def write(rows: DataFrame, folder: str, channels: tuple[str, ...], rate: int, lo
                 for value, width in ((None, 16), ("", 80), ("uV", 8), (low, 8), (high, 8), (-32768, 8), (32767, 8), ("", 80), (rate, 8), ("", 32)):
                     head += b"".join(text(c if value is None else value, width) for c in channels)
                 system, place = _system(f"{folder}/{name}.edf")
+                system.create_dir(place.rpartition("/")[0], recursive=True)
                 aside = f"{place}.{uuid.uuid4().hex}"
                 with system.open_output_stream(aside) as file:
                     file.write(head + digital.reshape(ns, records, rate).transpose(1, 0, 2).tobytes())
