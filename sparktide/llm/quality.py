@@ -54,7 +54,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     Words are maximal runs without ASCII white space; a null text has none. word_chars: code points in words; n_symbols: characters of #*$%&|<>; n_lines: lines
     with a word; n_dup_lines: those equal to an earlier one; n_repeat_words: words in 3-word windows found twice or more; n_distinct: different words;
-    n_upper: upper-case letters. Shares of an empty text are 0. Other columns are ignored.
+    n_upper: upper-case letters. Shares of an empty text are 0. Very long texts are counted whole; equal lines and windows count as often as they stand; an empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -177,7 +177,8 @@ def judge(docs: DataFrame, labels: DataFrame, learned: RuleList | None = None) -
     """statistics() of docs and base_failed, kept for each row; rules learned from labels(doc_id, quality, ...) unless given.
 
     base_failed: fewer than 50 words, or over half of the words repeat; kept: not base_failed and no rule meets the row. Labels of
-    null id or quality are left out; repeated labels count as often as they stand.
+    null id or quality are left out; repeated labels count as often as they stand. Null and empty texts fail the base rules; very long texts are judged whole; a value at a rule's threshold meets it as the
+    condition says; of rules of equal worth the first learned decides. An empty table gives no rows, empty labels no rules. Other columns are ignored.
     """
     stats = write_once(statistics(docs), "statistics")
     if learned is None:

@@ -328,7 +328,8 @@ def remove_repeats(docs: DataFrame, *searches: Search, keep: tuple[str, ...] = (
 
     A byte goes if a string of a search that covers it starts at two places or more. octets: the text's bytes (null: none); spans: the maximal
     removed runs as (start, end) bytes, by all searches together; kept: the remaining bytes; rest: these as text, less what a cut leaves of a character; null for a null text.
-    Texts cross the network once for all searches; those that lose nothing don't go through Python.
+    Texts cross the network once for all searches; those that lose nothing don't go through Python. Null and empty texts lose nothing; a repeated row loses all that its copies hold, and so do they; very long texts are
+    searched whole, each cut in one task; an empty table gives no rows; columns of docs whose names clash with these stay apart, and come back where `keep` names them.
     """
     found, names = None, [f"ranges{k}" for k in range(len(searches))]
     for name, search in zip(names, searches, strict=True):
@@ -350,7 +351,7 @@ def remove_repeats(docs: DataFrame, *searches: Search, keep: tuple[str, ...] = (
 
 
 def removal(docs: DataFrame, search: Search = BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row of docs; see remove_repeats(). text is what remains."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row of docs; see remove_repeats() for nulls, repeats, very long texts and the like. text is what remains, empty for a null text; other columns are ignored."""
     done = remove_repeats(docs, search)
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return done.select(
