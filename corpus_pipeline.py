@@ -37,7 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes and passages of more than 50 words that start at two places or more are cut out; what remains of a character cut in two goes as well.
 
-    Null texts stay null; texts that lose nothing stay as they are, n_chars included; of a text that is cut, n_chars counts what remains.
+    Null texts stay null; texts that lose nothing stay as they are, n_chars included; of a text that is cut, n_chars counts what remains. Rows of equal ids and texts that near-dedup has left would lose all that
+    they share; very long texts are searched whole; an empty table gives no rows.
     """
     cut = suffix_dedup.remove_repeats(docs, suffix_dedup.BYTES, suffix_dedup.PASSAGES, keep=tuple(c for c in COLUMNS if c != "text"))
     chars = F.when(F.size("spans") > 0, F.length("rest").cast("long")).otherwise(F.col("n_chars"))
