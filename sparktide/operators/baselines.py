@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.operators import interval_forests, kernels, networks
+from sparktide.operators import interval_forests, kernels, metrics, networks
 from sparktide.operators.splits import draw
 
 
@@ -150,6 +150,29 @@ def predict(kind: str, train: DataFrame, test: DataFrame, flat: str, label: str,
     return interval_forests.grow_forest(rows, specs, channels, z.depth).score(test, flat)
 
 
+def evaluate_methods(names: list[str], train: DataFrame, test: DataFrame, flat: str, label: str, key: str, channels: int, samples: int, sizes: Sizes | None = None, seed: int = 42) -> DataFrame:
+    """(method, accuracy, roc_auc, error) of each named method, trained on train and applied to test (see predict()); a method that fails has its error and nulls.
+
+    roc_auc is that of the chance or margin of class 1 where a method has one and test has both classes.
+    """
+    out = []
+    for name in names:
+        try:
+            kind = METHODS.get(name.lower())
+            if kind is None:
+                raise ValueError(f"unknown method {name}")
+            scored = predict(kind, train, test, flat, label, key, channels, samples, sizes, seed)
+            score = next((c for c in ("proba", "margin") if c in scored.columns), None)
+            own = scored.select(F.col(label).alias("y"), "pred", *([F.col(score).cast("double").alias("s")] if score else [])).persist()
+            accuracy = own.agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
+            auc = metrics.ranking(metrics.curve(own, "y", "s")).first().roc_auc if score and accuracy is not None else None
+            own.unpersist()
+            out.append((name, accuracy, auc, None))
+        except Exception as e:  # noqa: BLE001  a failed method is a result of its own
+            out.append((name, None, None, f"{type(e).__name__}: {str(e)[:300]}"))
+    return train.sparkSession.createDataFrame(out, "method string, accuracy double, roc_auc double, error string")
+
+
 def run_methods(names: list[str], train, spark) -> DataFrame:
     """(method, accuracy, error): each method's accuracy by train(kind), or the error that ended it."""
     out = []

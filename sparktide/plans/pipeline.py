@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sparktide.config import STANDARD_CHANNELS, EngineConfig
 from sparktide.functions import channels, clock
-from sparktide.operators import intervals, metrics, smoothing, splits, validation
+from sparktide.operators import baselines, intervals, metrics, smoothing, splits, validation
 from sparktide.operators.estimator import MvarFeatures, ThresholdClassifier, ThresholdModel
 from sparktide.operators.mvar import MvarConfig
-from sparktide.sources import annotations, artifacts, recordings
+from sparktide.sources import annotations, artifacts, recordings, reports
 
 _SUBJECT = r"([^/]+)/[^/]+$"
 
@@ -110,6 +110,7 @@ def prepare(spark: SparkSession, folder: str, out: str, config: EngineConfig | N
     rows = artifacts.read_windows(spark, f"{out}/windows")
     artifacts.write_subject_windows(rows, f"{out}/subject_windows")
     table = artifacts.manifest(rows, c.sample_rate, len(required), c.window_sec, c.stride_sec, c.test_size, c.seed, required, out, "stratified_by_approximate_rate" if approximate else "stratified_by_subject")
+    artifacts.write_text(spark, f"{out}/splits.txt", reports.split_report(rows.select("subject", "y", "split")))
     log.stage("manifest", table, lambda x: artifacts.write_json(x, f"{out}/manifest"))
     return table
 
@@ -148,6 +149,25 @@ def evaluate(model: ThresholdModel, rows: DataFrame, config: EngineConfig | None
     return out
 
 
+def report(model: ThresholdModel, rows: DataFrame, levels: DataFrame, out: str) -> None:
+    """Writes report.txt, roc.svg, precision_recall.svg and confusion.svg below `out`, of the model on rows and of evaluate()'s levels."""
+    scored = model.transform(rows).select("y", "pred", "proba").persist()
+    spark = rows.sparkSession
+    for name, text in (("report.txt", reports.evaluation_report(levels)), ("roc.svg", reports.roc_figure(scored)), ("precision_recall.svg", reports.precision_recall_figure(scored)), ("confusion.svg", reports.confusion_figure(scored))):
+        artifacts.write_text(spark, f"{out}/{name}", text)
+    scored.unpersist()
+
+
+def compare_baselines(windows: DataFrame, names: list[str], sizes: baselines.Sizes | None = None, seed: int = 42) -> DataFrame:
+    """(method, accuracy, roc_auc, error) of baselines.evaluate_methods() on windows(window_id, split, y, signal)."""
+    flat = windows.select("window_id", "split", "y", F.flatten("signal").cast("array<double>").alias("v"), F.size("signal").alias("channels"))
+    first = flat.select("channels", F.size("v").alias("n")).first()
+    if first is None:
+        raise ValueError("no windows")
+    train, test = (flat.where(F.col("split") == s).select("window_id", "y", "v") for s in ("train", "test"))
+    return baselines.evaluate_methods(names, train, test, "v", "y", "window_id", first.channels, first.n // first.channels, sizes, seed)
+
+
 def nested_validate(windows: DataFrame, config: EngineConfig | None = None, grid: dict[str, list] | None = None, outer: int = 5, inner: int = 3) -> tuple[DataFrame, DataFrame]:
     """(per fold, summary) of validation.nested_cv_grid() over windows(window_id, subject, y, signal), with the configuration's values for whatever the grid leaves out."""
     c = config or EngineConfig()

@@ -77,6 +77,23 @@ def _files(spark: SparkSession, path: str):
     return hadoop.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else hadoop.FileContext.getFileContext(spark._jsc.hadoopConfiguration()).getDefaultFileSystem().getUri(), spark._jsc.hadoopConfiguration()), hadoop
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file aside and moves it over the one at path, in one step."""
+    files, hadoop = _files(spark, path)
+    target = hadoop.Path(path)
+    aside = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    new_array = spark.sparkContext._gateway.new_array
+    flags = spark._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE, hadoop.CreateFlag.OVERWRITE)
+    made = new_array(hadoop.Options.CreateOpts, 1)
+    made[0] = hadoop.Options.CreateOpts.createParent()
+    stream = files.create(aside, flags, made)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    moves = new_array(hadoop.Options.Rename, 1)
+    moves[0] = hadoop.Options.Rename.OVERWRITE
+    files.rename(aside, target, moves)
+
+
 def valid_versions(spark: SparkSession, path: str) -> list[str]:
     """The folders of the table's valid version and of those kept from before, the latest first."""
     files, hadoop = _files(spark, path)
@@ -107,15 +124,7 @@ def write_version(rows: DataFrame, path: str, keep: int = 2) -> str:
     rows.write.parquet(f"{path}/{version}")
     files, hadoop = _files(spark, path)
     before = valid_versions(spark, path)
-    aside, marker = hadoop.Path(f"{path}/.{version}.next"), hadoop.Path(f"{path}/{CURRENT}")
-    new_array = spark.sparkContext._gateway.new_array
-    flags = spark._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE, hadoop.CreateFlag.OVERWRITE)
-    stream = files.create(aside, flags, new_array(hadoop.Options.CreateOpts, 0))
-    stream.write(bytearray("\n".join([version, *(x.rsplit("/", 1)[1] for x in before[: keep - 1])]).encode()))
-    stream.close()
-    moves = new_array(hadoop.Options.Rename, 1)
-    moves[0] = hadoop.Options.Rename.OVERWRITE
-    files.rename(aside, marker, moves)
+    write_text(spark, f"{path}/{CURRENT}", "\n".join([version, *(x.rsplit("/", 1)[1] for x in before[: keep - 1])]))
     for name in before[max(0, keep - 1) :]:
         files.delete(hadoop.Path(name), True)
     return f"{path}/{version}"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktide.operators import baselines, interval_forests, kernels, networks
+from sparktide.sources import models
 
 
 def windows(spark, n=120, channels=2, samples=24, seed=1):
@@ -184,3 +185,32 @@ def test_methods(spark, kind):
     sizes = baselines.Sizes(kernel_features=336, members=2, trees=10, depth=3)
     got = baselines.predict(kind, rows.where("id < 80"), rows.where("id >= 80"), "v", "y", "id", 2, 24, sizes)
     assert got.where("pred IN (0, 1)").count() == 40 and accuracy(got) >= (0.5 if kind in ("perceptron", "random_intervals", "shapelets") else 0.75)
+
+
+def test_stored_models(spark, tmp_path):
+    rows, _, _ = windows(spark, 60)
+    fitted = kernels.fit_biases(rows, "v", "id", 2, kernels.plan_kernels(2, 24, 84))
+    made = {
+        "conv": networks.fit_network(rows, "v", "y", "id", 2, "conv", epochs=1, batches=1), "lstm": networks.fit_network(rows, "v", "y", "id", 2, "lstm", epochs=1, batches=1),
+        "forest": interval_forests.grow_forest(rows.select("v", "y"), interval_forests.random_intervals(3, 24), 2, 3),
+        "kernels": models.KernelModel(fitted, ("share", "mean"), 2, kernels.fit_ridge(kernels.transform(rows, "v", 2, fitted, ("share", "mean")), "y")),
+    }
+    for name, model in made.items():
+        models.write_model(spark, model, str(tmp_path / name))
+        again = models.read_model(spark, str(tmp_path / name))
+        column = "margin" if name == "kernels" else "proba"
+        assert type(again) is type(model)
+        assert sorted((r.id, r[column]) for r in again.score(rows, "v").collect()) == sorted((r.id, r[column]) for r in model.score(rows, "v").collect())
+    with pytest.raises(TypeError):
+        models.write_model(spark, object(), str(tmp_path / "x"))
+    spark.createDataFrame([("network", 99, "{}")], models.SCHEMA).write.parquet(str(tmp_path / "later"))
+    with pytest.raises(ValueError):
+        models.read_model(spark, str(tmp_path / "later"))
+
+
+def test_compared_methods(spark):
+    rows, _, _ = windows(spark)
+    sizes = baselines.Sizes(kernel_features=168, members=1, trees=5, depth=2, epochs=2, batches=1)
+    got = {r.method: r for r in baselines.evaluate_methods(["MiniRocket", "STSForest", "TimeCNN", "DTW"], rows.where("id < 80"), rows.where("id >= 80"), "v", "y", "id", 2, 24, sizes).collect()}
+    assert got["DTW"].error.startswith("ValueError") and got["DTW"].accuracy is None
+    assert all(got[m].error is None and 0.4 <= got[m].accuracy <= 1 and 0 <= got[m].roc_auc <= 1 for m in ("MiniRocket", "STSForest", "TimeCNN")) and got["STSForest"].roc_auc > 0.8

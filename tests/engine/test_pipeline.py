@@ -1,11 +1,14 @@
 """The whole way from written recordings to results."""
 
+from xml.etree import ElementTree
+
 import numpy as np
 
 from sparktide import __main__ as command
 from sparktide.config import EngineConfig
+from sparktide.operators import metrics
 from sparktide.plans import pipeline
-from sparktide.sources import recordings
+from sparktide.sources import recordings, reports
 
 from .test_engine import edf
 
@@ -41,5 +44,27 @@ def test_pipeline(spark, tmp_path):
     levels = {r.level: r for r in spark.read.json(str(tmp_path / "o" / "evaluation")).collect()}
     assert set(levels) == {"window", "subject_majority", "subject_mean_proba"} and levels["window"].tp + levels["window"].fn + levels["window"].fp + levels["window"].tn == 40
     assert spark.read.parquet(str(tmp_path / "o" / "model")).count() == 1
+    figures = tmp_path / "o" / "figures"
+    for name, tag in (("roc.svg", "polyline"), ("precision_recall.svg", "polyline"), ("confusion.svg", "rect")):
+        root = ElementTree.fromstring((figures / name).read_text())
+        assert root.findall(f"{{http://www.w3.org/2000/svg}}{tag}")
+    assert "subject_majority" in (figures / "report.txt").read_text() and "subjects on both sides: 0" in (tmp_path / "o" / "splits.txt").read_text()
     command.main(["validate", *flags])
     assert spark.read.json(str(tmp_path / "o" / "folds")).count() == 2 and spark.read.json(str(tmp_path / "o" / "summary")).count() == 6
+
+
+def test_figures(spark):
+    """A thinned curve keeps to the whole one; single classes and empty tables have figures too."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 20_000)
+    p = np.round(np.clip(0.5 + 0.2 * (2 * y - 1) + 0.2 * rng.normal(size=len(y)), 0, 1), 6)
+    scored = spark.createDataFrame([(int(a), float(b), int(b >= 0.5)) for a, b in zip(y, p, strict=True)], "y int, proba double, pred int")
+    line = reports.thinned(metrics.roc_points(metrics.curve(scored, "y", "proba")), "fpr", "tpr")
+    assert len(line) <= 2 * (reports.STEPS + 1)
+    for t in (0.2, 0.5, 0.8):
+        fpr, tpr = (p[y == 0] >= t).mean(), (p[y == 1] >= t).mean()
+        assert abs(np.interp(fpr, [a for a, _ in line], [b for _, b in line]) - tpr) < 0.01
+    auc = metrics.ranking(metrics.curve(scored, "y", "proba")).first().roc_auc
+    assert f"area {auc:.3f}" in reports.roc_figure(scored) and str(int(((p >= 0.5) & (y == 1)).sum())) in reports.confusion_figure(scored)
+    for part in (scored.where("y = 1"), scored.where("false")):
+        assert "undefined" in reports.roc_figure(part) and reports.precision_recall_figure(part) and reports.confusion_figure(part)

@@ -111,5 +111,8 @@ def test_split_before_reading_and_commands(spark, tmp_path):
     with pytest.raises(ValueError):
         Paths.from_text("raw_data_path: x")
     command.main(["nested", "--paths", str(tmp_path / "paths"), "--sample-rate", "32", "--n-time-points", "6", "--folds", "2", "--inner-folds", "2"])
+    command.main(["baselines", "--out", str(out), "--methods", "TSF", "none", "--baseline-trees", "3", "--baseline-depth", "2"])
+    compared = {r.method: r for r in spark.read.json(str(out / "baselines")).collect()}
+    assert compared["TSF"].error is None and 0 <= compared["TSF"].accuracy <= 1 and "unknown method" in compared["none"].error
     folds = spark.read.json(str(out / "nested_folds")).collect()
     assert len(folds) == 2 and sum(f.n for f in folds) == 120 and {f.mvar_order for f in folds} <= {2, 3} and spark.read.json(str(out / "nested_summary")).count() == 3
