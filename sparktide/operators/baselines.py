@@ -129,14 +129,15 @@ def predict(kind: str, train: DataFrame, test: DataFrame, flat: str, label: str,
         add = lambda rows: rows.select("*", *[shapelet_distance(F.col(flat), s).alias(n) for n, s in zip(names, shapes, strict=True)])
         return forest(add(train), names, label, z.trees, seed).transform(add(test)).withColumn("pred", F.col("prediction").cast("int"))
     if kind in ("kernels", "kernel_shares", "kernel_votes"):
-        votes, pools = [], ("share",) if kind == "kernel_shares" else kernels.POOLS
+        pools, members = ("share",) if kind == "kernel_shares" else kernels.POOLS, range(z.members if kind == "kernel_votes" else 1)
         out = test
-        for member in range(z.members if kind == "kernel_votes" else 1):
-            fitted = kernels.fit_biases(train, flat, key, channels, kernels.plan_kernels(channels, samples, z.kernel_features // len(pools), seed + member), seed=seed + member)
+        for k in members:
+            fitted = kernels.fit_biases(train, flat, key, channels, kernels.plan_kernels(channels, samples, z.kernel_features // len(pools), seed + k), seed=seed + k)
             model = kernels.fit_ridge(kernels.transform(train, flat, channels, fitted, pools), label)
-            out = model.score(kernels.transform(out, flat, channels, fitted, pools)).withColumnRenamed("pred", f"__v{member}").drop("features", "margin")
-            votes.append(F.col(f"__v{member}"))
-        return out.withColumn("pred", (2 * sum(votes, F.lit(0)) > len(votes)).cast("int")).drop(*[f"__v{k}" for k in range(len(votes))])
+            out = model.score(kernels.transform(out, flat, channels, fitted, pools)).withColumnsRenamed({"pred": f"__v{k}", "margin": f"__m{k}"}).drop("features")
+        votes, margins = (sum((F.col(f"__{c}{k}") for k in members), F.lit(0)) for c in "vm")
+        out = out.withColumn("pred", (2 * votes > len(members)).cast("int")).withColumn("margin", margins / len(members))
+        return out.drop(*[f"__{c}{k}" for k in members for c in "vm"])
     rows = interval_forests.labelled(train, flat, label)
     if kind == "random_intervals":
         specs = interval_forests.random_intervals(z.trees, samples, seed)
