@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.llm.common import write_once
+from sparktide.llm.common import forget, write_once
+from sparktide.llm.pieces import slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Hashed features, and those of a token: the first OWN tell of the token itself, the others of its neighbours and of every token.
 BUCKETS = 1 << 12
 SLOTS = 10
 OWN = 7
-#: Rows whose sites the field is fitted on, and sites of each; rounds and step of the fit, and the cost of its weights.
+#: Texts whose sites the field is fitted on, and sites of each; rounds and step of the fit, and the cost of its weights.
 TRAIN_ROWS = 4_000
 TRAIN_SITES = 100
 FIT_ROUNDS = 250
@@ -28,6 +29,8 @@ FIT_COST = 1e-4
 ROUNDS = 12
 DAMPING = 0.3
 THRESHOLD = 0.8
+#: Links that a task sends messages over at a time.
+EDGES = 1 << 16
 
 SITE = np.dtype([("start", "<i8"), ("end", "<i8"), ("label", "i1"), ("chained", "i1"), ("same", "<u8"), ("tail", "<u8"), ("slots", "<u2", (SLOTS,))])
 
@@ -202,13 +205,12 @@ def infer(rows: np.ndarray, row: np.ndarray, field: Field, rounds: int = ROUNDS,
     score[ends] += field.chain[:, 0]
     known = rows["label"] > 0
     score[known] = np.where(np.eye(n)[rows["label"][known].astype(int)] > 0, 0.0, -1e9)
-    pairs, tables = [(left, right)], [np.broadcast_to(field.chain, (len(left), n, n))]
-    for k, (a, b) in enumerate(links(rows, row)):
-        pairs.append((a, b))
-        tables.append(np.broadcast_to(np.diag(field.skip[k]), (len(a), n, n)))
-    a, b, table = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.concatenate(tables)
-    source, target = np.concatenate([a, b]), np.concatenate([b, a])
-    table = np.concatenate([table, table.transpose(0, 2, 1)])
+    # Each edge stands twice, once for either direction, with the number of its table: the chain's, its transpose, or that of a sort of likeness.
+    pairs = [(left, right), *links(rows, row)]
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    tables = np.stack([field.chain, *map(np.diag, field.skip), field.chain.T])
+    sort = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
+    source, target, sort = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sort, np.where(sort == 0, len(tables) - 1, sort)])
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
     message = np.zeros((len(source), n))
 
@@ -219,9 +221,12 @@ def infer(rows: np.ndarray, row: np.ndarray, field: Field, rounds: int = ROUNDS,
         return out
 
     for _ in range(rounds if len(source) else 0):
-        ready = (beliefs()[source] - message[back])[:, :, None] + table
-        top = ready.max(axis=1, keepdims=True)
-        new = np.log(np.exp(ready - top).sum(axis=1)) + top[:, 0]
+        belief, new = beliefs(), np.empty_like(message)
+        for k in range(0, len(source), EDGES):
+            part = slice(k, k + EDGES)
+            ready = (belief[source[part]] - message[back[part]])[:, :, None] + tables[sort[part]]
+            top = ready.max(axis=1, keepdims=True)
+            new[part] = np.log(np.exp(ready - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
         message = damping * message + (1 - damping) * new
     out = beliefs()
@@ -229,21 +234,26 @@ def infer(rows: np.ndarray, row: np.ndarray, field: Field, rounds: int = ROUNDS,
     return out / out.sum(axis=1, keepdims=True)
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """(doc_id, base array<struct<start, end, kind>>, sites binary) of each row of docs(doc_id, text): one pass over the texts, whose sites are small beside them."""
+def sample(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_sites: int = TRAIN_SITES) -> list[np.ndarray]:
+    """The first `train_sites` sites of at most `train_rows` different texts with any, those of the least hash.
+
+    Hashes are chosen first, from a table of them alone: being even over their range, a part of it holds about twice the wanted number, however many there are. Then only the chosen texts are looked at.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    hashes = write_once(texts.select("h"), "hashes")
+    reach = int(2.0**64 * min(1.0, 2.0 * train_rows / max(1, hashes.count()))) - (1 << 63) - 1
+    chosen = hashes.where(F.col("h") <= reach).distinct().orderBy("h").limit(train_rows).agg(F.max("h").alias("last")).first().last
+    forget(hashes)
+    if chosen is None:
+        return []
 
     def run(batches):
         for batch in batches:
-            base, held = [], []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text) if text else []
-                table = sites(text, spans) if text else ()
-                base.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans])
-                held.append(table.tobytes() if len(table) else None)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
-            yield pa.record_batch([batch.column(0), pa.array(base, kind), pa.array(held, pa.binary())], names=["doc_id", "base", "sites"])
+            held = [sites(t, base_spans(t))[:train_sites].tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(1), pa.array(held, pa.binary())], names=["h", "sites"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, base array<struct<start: long, end: long, kind: int>>, sites binary")
+    found = texts.where(F.col("h") <= chosen).mapInArrow(run, "h long, sites binary").groupBy("h").agg(F.min("sites").alias("sites"))
+    return [np.frombuffer(r.sites, SITE) for r in sorted(found.collect(), key=lambda r: r.h)]
 
 
 def _added(table: np.ndarray, chance: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -265,34 +275,30 @@ def find_personal_data(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_site
 
     Base spans, of score 1, are those of the patterns. The others are found by a field over the tokens that hold a digit or @ (others can't be part of a span): neighbours share potentials, and so do
     tokens of one document with the same letters and digits or the same last seven digits, however far apart. Base spans are evidence for the rest, so that a part of a number repeated
-    elsewhere gets its label. The field is fitted on the base spans of at most `train_rows` rows, those of the least hash, and `train_sites` tokens of each; all rows are searched.
+    elsewhere gets its label. The field is fitted on the base spans of at most `train_rows` different texts, those of the least hash, and `train_sites` tokens of each; all rows are searched, in one pass.
 
-    Null and empty texts have no spans; very long texts are searched whole, each in one task; ties of hashes are equal rows; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have no spans; very long texts are searched whole, each in one task; of texts of one hash one is learned from; an empty table gives no rows; other columns are ignored.
     """
-    marks = write_once(mark(docs), "marks")
-    part = F.substring("sites", 1, train_sites * SITE.itemsize)
-    held = marks.where("sites IS NOT NULL").select(part.alias("sites")).withColumn("h", F.xxhash64("sites"))
-    # Hashes are even over their range: this part of it holds about twice the wanted rows, however many there are.
-    reach = int(2.0**64 * min(1.0, 2.0 * train_rows / max(1, held.count()))) - (1 << 63) - 1
-    picked = held.where(F.col("h") <= reach).orderBy("h", "sites").select("sites").limit(train_rows).collect()
-    field = marks.sparkSession.sparkContext.broadcast(fit([np.frombuffer(r[0], SITE) for r in picked]))
+    field = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, train_rows, train_sites)))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
+
+    def spans_of(texts: list[str | None]) -> list[list[dict]]:
+        base = [base_spans(t) if t else [] for t in texts]
+        tables = [sites(t, b) if t else np.empty(0, SITE) for t, b in zip(texts, base, strict=True)]
+        out = [[(a, b, k, True, 1.0) for a, b, k in spans] for spans in base]
+        at = [k for k, t in enumerate(tables) if (t["label"] == 0).any()]
+        if at:
+            sizes = [len(tables[k]) for k in at]
+            chance = infer(np.concatenate([tables[k] for k in at]), np.repeat(np.arange(len(at)), sizes), field.value)
+            for k, part in zip(at, np.split(chance, np.cumsum(sizes)[:-1]), strict=True):
+                out[k] += [(a, b, kind, False, score) for a, b, kind, score in _added(tables[k], part)]
+        return [[{"kind": KINDS[k], "start": a, "end": b, "base": own, "score": s} for a, b, k, own, s in sorted(spans, key=lambda x: (x[0], x[2], x[1]))] for spans in out]
 
     def run(batches):
         for batch in batches:
-            base, held = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            tables = [np.frombuffer(h, SITE) if h else np.empty(0, SITE) for h in held]
-            sizes = np.array([len(t) for t in tables], int)
-            open_ = np.array([bool((t["label"] == 0).any()) for t in tables], bool)
-            out = [[(a, b, k, True, 1.0) for a, b, k in (tuple(s.values()) for s in spans)] for spans in base]
-            at = np.flatnonzero(open_)
-            if len(at):
-                rows = np.concatenate([tables[k] for k in at])
-                chance = infer(rows, np.repeat(np.arange(len(at)), sizes[at]), field.value)
-                ends = np.cumsum(sizes[at])
-                for k, end in zip(at, ends, strict=True):
-                    out[k] += [(a, b, kind, False, score) for a, b, kind, score in _added(tables[k], chance[end - sizes[k] : end])]
-            rows_out = [[{"kind": KINDS[k], "start": a, "end": b, "base": own, "score": s} for a, b, k, own, s in sorted(spans, key=lambda x: (x[0], x[2], x[1]))] for spans in out]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
-            yield pa.record_batch([batch.column(0), pa.array(rows_out, kind)], names=["doc_id", "spans"])
-
-    return marks.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean, score: double>>")
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(spans_of(texts[a:b]), kind)], names=["doc_id", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean, score: double>>")
