@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force."""
 
 import random
+import time
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -183,3 +185,22 @@ def test_rows_of_null_and_equal_ids(spark, tmp_path):
     assert got == Counter(x for x in rows if item not in x[1])
     got = Counter((x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert got == Counter([(7, item), (7, clean), (3, copied), (2, other), (9, lone + " end")])
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    """Columns named like those the stages use inside change nothing; nor do rows of nulls; empty tables give no rows."""
+    tables(spark, f"file://{tmp_path}/plain")
+    plain = spark.read.parquet(f"file://{tmp_path}/plain/documents.parquet")
+    wide = plain
+    for name in ("th", "own", "first", "row", "start", "anchor", "fp", "h", "n", "len", "lang_pred", "spans", "rest", "kept", "octets", "ids", "decoded", "component_id", "item_id", "__text", "block"):
+        wide = wide.withColumn(name, F.lit(7))
+    nothing = spark.createDataFrame([(None, None, None, None, None)], plain.schema)
+    wide.unionByName(nothing, allowMissingColumns=True).write.parquet(f"file://{tmp_path}/wide/documents.parquet")
+    spark.read.parquet(f"file://{tmp_path}/plain/benchmark.parquet").withColumn("h", F.lit(1)).write.parquet(f"file://{tmp_path}/wide/benchmark.parquet")
+    find = lambda folder: Counter((x.doc_id, x.n_tokens, bytes(x.ids), x.decoded) for x in corpus_pipeline.run(spark, f"file://{tmp_path}/{folder}").collect())
+    assert find("wide") == find("plain")
+    plain.limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"file://{tmp_path}/plain/benchmark.parquet").limit(0).write.parquet(f"file://{tmp_path}/none/benchmark.parquet")
+    began = time.time()
+    assert not find("none")
+    assert time.time() - began < 60
