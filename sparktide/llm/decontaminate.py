@@ -23,10 +23,10 @@ def _window(w: Column, i: Column, size: int) -> list[Column]:
 
 
 def _hashes(w: Column, size: int) -> Column:
-    """array<struct<len, n, h>>: hashes of all shingles of that many words, and their number."""
+    """struct<size, n, hs>: hashes of all shingles of that many words, and their number; of as many arguments as words, so that those of two sizes differ."""
     n = F.size(w) - size + 1
-    one = lambda i: F.struct(F.lit(size).alias("len"), n.alias("n"), F.xxhash64(*_window(w, i, size)).alias("h"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<len: int, n: int, h: bigint>>"))
+    hs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*_window(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(F.lit(size).alias("size"), n.alias("n"), hs.alias("hs"))
 
 
 def shingle_texts(text: Column, size: int) -> Column:
@@ -82,8 +82,9 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, c
     rows = rows.withColumn("th", F.xxhash64("text"))
     if not lengths:
         return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double")
-    hashes = rows.select("doc_id", "th", F.explode(let(words(F.col("text")), lambda w: F.concat(*[_hashes(w, size) for size in lengths]))).alias("p")).select("doc_id", "th", "p.*")
-    pairs = hashes.join(small(index), ["len", "h"]).where("n >= least").select("doc_id", "th", "item_id", "len").distinct()
+    of_size = rows.select("doc_id", "th", F.explode(let(words(F.col("text")), lambda w: F.array(*[_hashes(w, size) for size in lengths]))).alias("p"))
+    hashes = of_size.select("doc_id", "th", "p.size", "p.n", F.explode("p.hs").alias("h"))
+    pairs = hashes.join(small(index), "h").where("len = size AND n >= least").select("doc_id", "th", "item_id", "len").distinct()
     pairs = write_once(pairs, "candidates")
     small_pairs = F.broadcast if pairs.count() <= broadcast_rows else (lambda df: df)
     keys = pairs.select(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th"), "len").distinct()
