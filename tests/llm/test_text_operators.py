@@ -413,6 +413,46 @@ def test_many_languages(spark, monkeypatch):
     assert sorted((f for f, _ in found), reverse=True)[:16] == pytest.approx(sorted(fits.values(), reverse=True)[:16]) and max(found)[1] == "l7"
 
 
+def test_no_language_is_left_out(spark, monkeypatch):
+    """Shares over all of 60 near-equal languages, and a set of more than 16, as by brute force: laid out, from entries, held or a block at a time."""
+    r = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["".join(r.choice(letters) for _ in range(5)) for _ in range(30)]
+    own = ["".join(r.choice(letters) for _ in range(6)) for _ in range(60)]
+    rows = [(k, " ".join(common * 3 + [own[k]] * r.randint(150, 250)), f"l{k:02}") for k in range(60)]
+    asked = [(100, " ".join(common)), (101, " ".join(own[10:30] * 40)), (102, own[7] + " " + own[59] * 3), (103, "1"), (104, None)]
+    docs, ask = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(asked, "doc_id long, text string")
+    table = np.zeros((60, language.BUCKETS))
+    for k, text, _ in rows:
+        at, n = language.trigrams(text)
+        table[k, at] += n
+    table = (table + language.SMOOTHING) / (table.sum(axis=1, keepdims=True) + language.SMOOTHING * language.BUCKETS)
+    want = {}
+    for i, text in asked[:3]:
+        at, n = language.trigrams(text)
+        shares = np.full(60, 1 / 60)
+        for _ in range(language.ROUNDS):
+            shares = shares * (table[:, at] @ (n / (shares @ table[:, at]))) / n.sum()
+        want[i] = shares
+    for counts, held, laid_out in ((1 << 21, 1 << 22, 32), (1 << 21, 1 << 22, 64), (1 << 21, 100, 32), (500, 1 << 22, 32), (500, 100, 32)):
+        monkeypatch.setattr(language, "BLOCK_COUNTS", counts)
+        model = language.train(docs)
+        assert (model.blocks > 2) == (counts == 500)
+        monkeypatch.setattr(language, "HELD", held)
+        monkeypatch.setattr(language, "LAID_OUT", laid_out)
+        languages = language.Languages([language.load(model, k) for k in range(model.blocks)])
+        for i, text in asked[:3]:
+            at, n = language.trigrams(text)
+            shares, chosen = language.mixture(languages, at, n.astype(float))
+            assert shares == pytest.approx(want[i], rel=1e-9)
+            assert i != 101 or {languages.names[k] for k in chosen} == {f"l{k:02}" for k in range(10, 30)}
+        monkeypatch.undo()
+        monkeypatch.setattr(language, "BLOCK_COUNTS", counts)
+        got = {x.doc_id: x for x in language.identify(ask, language.train(docs)).collect()}
+        assert all(got[i].score == pytest.approx(want[i][int(got[i].lang_pred[1:])], rel=1e-9) for i in (100, 101, 102))
+        assert len(got[101].languages) == 20 and got[103].lang_pred == got[104].lang_pred == "und"
+
+
 def test_simhash_of_nothing_is_quick(spark):
     plan = simhash.plan_partitions(spark.createDataFrame([], "fp long"), 4)
     assert sum(len(list(itertools.combinations(bits, k))) for _, t, bits in plan for k in range(t + 1)) < 500
