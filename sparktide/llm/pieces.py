@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words that a worker keeps before it starts anew, and the characters of the longest that it keeps; the results don't depend on them.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps before it drops those that the texts at hand don't hold, and the characters of the longest that it keeps; the results don't depend on them. A worker's memory stays its own in later jobs.
+CACHE_WORDS = 150_000
 CACHE_CHARS = 64
 #: Symbols from which a segment is merged by itself.
 LONG = 2_000
 #: Characters that a worker splits into words at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 _WORD = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 _NONE = 1 << 30
 
@@ -246,7 +246,7 @@ class PieceModel:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[PieceModel, dict[str, bytes]]:
-    """The model and the words that this worker has encoded so far."""
+    """The model and the words that this worker keeps."""
     return PieceModel(path), {}
 
 
@@ -254,10 +254,12 @@ def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of each text without begin and end; null is empty."""
     model, seen = load(path)
     split = [split_words(t or "") for t in texts]
-    missing = list(set().union(*split).difference(seen))
+    wanted = set().union(*split)
+    missing = list(wanted.difference(seen))
     if len(seen) + len(missing) > CACHE_WORDS:
+        kept = {w: seen[w] for w in wanted.intersection(seen)}
         seen.clear()
-        missing = list(set().union(*split))
+        seen.update(kept)
     seen.update(zip(missing, model.encode_words(missing), strict=True))
     of = seen.__getitem__
     out = [b"".join(map(of, words)) for words in split]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktide.llm.common import forget, write_once
+from sparktide.llm.common import forget, slices, write_once
 from sparktide.llm.components import connected_components
 
 BITS = 64
@@ -309,7 +309,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """
 
     def of(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             digests = [_digests(x, shingle) for x in batch.column(2).to_pylist()]
             sets = [np.unique(d) for d in digests]
             marks = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
@@ -317,7 +317,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(fps, pa.int64()), pa.array(_bands(sets), pa.list_(pa.int64()))], names=["doc_id", "th", "node", "fp", "bands"])
 
     def sets(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             values = [np.unique(_digests(x, shingle)).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["node", "s"])
 

@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -371,6 +373,38 @@ def test_piece_merges(spark):
         pieces.LONG = keep
 
 
+def test_worker_memory(monkeypatch):
+    """What a worker holds of a task's chunk of strings and of its words stays small beside an executor's heap, and dropped words don't change ids."""
+    import sentencepiece
+
+    path, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(r.choices(letters, k=6)) for _ in range(500)) for _ in range(600)]
+    pieces.load.cache_clear()
+    model, seen = pieces.load(path)
+
+    def peak(body):
+        tracemalloc.start()
+        try:
+            body()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert peak(lambda: [len(pieces.encode_texts(path, texts[a:b])) for a, b in pieces.slices(texts)]) < 50
+    for length, unit in ((400, "u1"), (51, "<u8")):
+        strings = [np.random.default_rng(k // 2).integers(0, 250, 800).astype(unit).tobytes() for k in range(suffix_dedup.CHUNK // 800)]
+        assert peak(lambda: bwt.repeated_starts(strings, np.ones(len(strings), int), length, gram=bwt.gram_size(length), unit=unit)) < 40  # noqa: B023
+    assert [len(x) for x in simhash.slices(pa.record_batch([pa.array(range(2500))], names=["x"]))] == [1000, 1000, 500]
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 700)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    seen.clear()
+    for k in (0, 1, 0, 2):  # the second and later texts find some of their words, and more than the cache takes
+        text = " ".join([texts[k], texts[k + 1][:700]])
+        assert pieces.encode_texts(path, [text, None]) == [np.array(library.encode(text), "<u4").tobytes(), b""]
+    assert len(seen) <= 700
+
+
 def test_language(spark):
     r = random.Random(10)
     words = {"en": "the of and thing house".split(), "de": "der und ist straße haus".split(), "fr": "le été où maison très".split()}
